@@ -1,14 +1,18 @@
 """Queries of this subpackage and, where SQL can express them, their SQL."""
 
-from tidemill.llm import chat, licences, sharding
+from tidemill.llm import chat, classifier, decontaminate, licences, quality, sharding
 
 QUERIES = {
     "op2_chat": chat.op2_chat,
+    "op4_decontamination": decontaminate.op4_decontamination,
+    "op5_quality": quality.op5_quality,
     "op6_sharding": sharding.op6_sharding,
+    "op7_classifier": classifier.op7_classifier,
     "op10_licences": licences.op10_licences,
 }
 ORACLES = {
     "op2_chat": chat.SQL,
+    "op4_decontamination": decontaminate.SQL,
     "op6_sharding": sharding.SQL,
     "op10_licences": licences.SQL,
 }
