@@ -1,13 +1,15 @@
 """Queries of this subpackage and, where SQL can express them, their SQL."""
 
-from tidemill.llm import chat, classifier, decontaminate, licences, quality, sharding
+from tidemill.llm import chat, classifier, decontaminate, extract, licences, packing, quality, sharding
 
 QUERIES = {
+    "op1_extraction": extract.op1_extraction,
     "op2_chat": chat.op2_chat,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_quality": quality.op5_quality,
     "op6_sharding": sharding.op6_sharding,
     "op7_classifier": classifier.op7_classifier,
+    "op9_packing": packing.op9_packing,
     "op10_licences": licences.op10_licences,
 }
 ORACLES = {
