@@ -140,7 +140,8 @@ def _counts(docs: DataFrame) -> np.ndarray:
 def weights(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """Logarithm of target over raw probability, per bin."""
     trusted = labels.where("quality = 1").select(F.col("doc_id").alias("trusted_id")).distinct()
-    texts = docs.select(F.col("doc_id").alias("own_id"), "text").join(trusted, F.col("own_id") == F.col("trusted_id"), "left_semi")
+    # Labels grow with the corpus: joined by shuffle at every size, never broadcast.
+    texts = docs.select(F.col("doc_id").alias("own_id"), "text").join(trusted.hint("merge"), F.col("own_id") == F.col("trusted_id"), "left_semi")
     target, raw = _counts(texts), _counts(docs)
     if not target.any():
         return np.zeros(BINS)
