@@ -1,10 +1,11 @@
 """Queries of this subpackage and, where SQL can express them, their SQL."""
 
-from tidemill.llm import chat, classifier, decontaminate, extract, licences, packing, quality, sharding
+from tidemill.llm import chat, classifier, decontaminate, extract, licences, packing, quality, sharding, substrings
 
 QUERIES = {
     "op1_extraction": extract.op1_extraction,
     "op2_chat": chat.op2_chat,
+    "op3_suffix_dedup": substrings.op3_suffix_dedup,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_quality": quality.op5_quality,
     "op6_sharding": sharding.op6_sharding,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 ORACLES = {
     "op2_chat": chat.SQL,
+    "op3_suffix_dedup": substrings.SQL,
     "op4_decontamination": decontaminate.SQL,
     "op6_sharding": sharding.SQL,
     "op10_licences": licences.SQL,
