@@ -1,6 +1,6 @@
 """Queries of this subpackage and, where SQL can express them, their SQL."""
 
-from tidemill.llm import chat, classifier, decontaminate, extract, licences, packing, quality, sharding, substrings
+from tidemill.llm import chat, classifier, decontaminate, extract, jaccard, licences, packing, quality, sharding, substrings
 
 QUERIES = {
     "op1_extraction": extract.op1_extraction,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_quality": quality.op5_quality,
     "op6_sharding": sharding.op6_sharding,
     "op7_classifier": classifier.op7_classifier,
+    "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op9_packing": packing.op9_packing,
     "op10_licences": licences.op10_licences,
 }
@@ -18,5 +19,6 @@ ORACLES = {
     "op3_suffix_dedup": substrings.SQL,
     "op4_decontamination": decontaminate.SQL,
     "op6_sharding": sharding.SQL,
+    "op8_jaccard_join": jaccard.SQL,
     "op10_licences": licences.SQL,
 }
