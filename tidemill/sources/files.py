@@ -18,8 +18,8 @@ from tidemill.schema import BLOCK_POINTS
 
 # Fixed values of the formats.
 MAGIC, FLAGS = b"TSDB", 3
-HEADER, FOOTER, ENTRY = struct.Struct("<4sHHIqqI"), struct.Struct("<QIQI"), struct.Struct("<qQII")
-RECORD, PAYLOAD = struct.Struct("<II"), struct.Struct("<qd")
+HEADER, FOOTER, ENTRY = "<4sHHIqqI", "<QIQI", "<qQII"
+RECORD, PAYLOAD = "<II", "<qd"
 NO_POINTS = (2**63 - 1, -(2**63))
 
 
@@ -27,30 +27,30 @@ def block_file(timestamps, values, version: int = codecs.VERSION) -> bytes:
     """A file of sorted points."""
     t, v = np.asarray(timestamps, np.int64), np.asarray(values, np.float64)
     body, entries = [], []
-    at = HEADER.size
+    at = struct.calcsize(HEADER)
     for k in range(0, len(t), BLOCK_POINTS):
         parts = codecs.encode_timestamps(t[k : k + BLOCK_POINTS]), codecs.encode_values(v[k : k + BLOCK_POINTS])
         block = b"".join(struct.pack("<I", len(p)) + p for p in parts)
-        entries.append(ENTRY.pack(int(t[k]), at, len(block), len(t[k : k + BLOCK_POINTS])))
+        entries.append(struct.pack(ENTRY, int(t[k]), at, len(block), len(t[k : k + BLOCK_POINTS])))
         body.append(block)
         at += len(block)
     low, high = (int(t[0]), int(t[-1])) if len(t) else NO_POINTS
-    head = HEADER.pack(MAGIC, version, FLAGS, len(entries), low, high, 0)
-    whole = head + b"".join(body) + b"".join(entries) + struct.pack("<QIQ", at, ENTRY.size * len(entries), len(t))
+    head = struct.pack(HEADER, MAGIC, version, FLAGS, len(entries), low, high, 0)
+    whole = head + b"".join(body) + b"".join(entries) + struct.pack("<QIQ", at, struct.calcsize(ENTRY) * len(entries), len(t))
     return whole + struct.pack("<I", zlib.crc32(whole))
 
 
 def block_index(data: bytes) -> tuple[int, list[tuple[int, int, int, int]]]:
     """Codec version and (first timestamp, offset, size, points) of each block."""
-    if len(data) < HEADER.size + FOOTER.size:
+    if len(data) < struct.calcsize(HEADER) + struct.calcsize(FOOTER):
         raise ValueError("file too short")
-    magic, version, *_ = HEADER.unpack_from(data)
+    magic, version, *_ = struct.unpack_from(HEADER, data)
     if magic != MAGIC:
         raise ValueError("invalid magic")
-    at, size, _, crc = FOOTER.unpack_from(data, len(data) - FOOTER.size)
+    at, size, _, crc = struct.unpack_from(FOOTER, data, len(data) - struct.calcsize(FOOTER))
     if crc and crc != zlib.crc32(data[:-4]):
         raise ValueError("wrong checksum")
-    return version, list(ENTRY.iter_unpack(data[at : at + size]))
+    return version, list(struct.iter_unpack(ENTRY, data[at : at + size]))
 
 
 def read_block_file(data: bytes, start: int | None = None, end: int | None = None):
@@ -77,19 +77,19 @@ def read_block_file(data: bytes, start: int | None = None, end: int | None = Non
 
 
 def log_record(timestamp: int, value: float) -> bytes:
-    payload = PAYLOAD.pack(timestamp, value)
-    return RECORD.pack(len(payload) + 4, zlib.crc32(payload)) + payload
+    payload = struct.pack(PAYLOAD, timestamp, value)
+    return struct.pack(RECORD, len(payload) + 4, zlib.crc32(payload)) + payload
 
 
 def replay(data: bytes) -> list[tuple[int, float]]:
     """Points of the valid records at the start of a log."""
-    found, size = [], RECORD.size + PAYLOAD.size
+    found, size = [], struct.calcsize(RECORD) + struct.calcsize(PAYLOAD)
     for at in range(0, len(data) - size + 1, size):
-        length, crc = RECORD.unpack_from(data, at)
-        payload = data[at + RECORD.size : at + size]
-        if length != PAYLOAD.size + 4 or crc != zlib.crc32(payload):
+        length, crc = struct.unpack_from(RECORD, data, at)
+        payload = data[at + struct.calcsize(RECORD) : at + size]
+        if length != struct.calcsize(PAYLOAD) + 4 or crc != zlib.crc32(payload):
             break
-        found.append(PAYLOAD.unpack(payload))
+        found.append(struct.unpack(PAYLOAD, payload))
     return found
 
 
