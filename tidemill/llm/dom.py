@@ -137,8 +137,10 @@ def leaves(page: str, root, enter):
                     k = len(stack) - 1
                     while k and stack[k].tag not in ends and stack[k].tag not in scope:
                         k -= 1
-                    while stack[k].tag in ends and len(stack) > k:
-                        pop()
+                    while stack[k].tag in ends:
+                        while len(stack) > k:
+                            pop()
+                        k -= 1
             if tag == "body":
                 while inert:
                     pop()
