@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from tidemill.llm import scan
 
 SIZE, SHARE = 13, 20
-BLOCK = 200_000
+BLOCK = 1_000_000
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 MEASURES = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
@@ -35,46 +35,56 @@ def item_words(text: str | None) -> list[bytes]:
 
 
 class Block:
-    """Windows of some items: per length the sorted hashes, and the words and item of each."""
-
-    def __init__(self, windows: list[tuple[tuple, str]]):
+    """Windows of some items: per length the sorted hashes, and of each window its item and its
+    place in the items' words, joined by spaces."""
+
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], size: int):
+        self.names = [name for name, _ in items]
+        self.text = b" ".join(word for _, words in items for word in words)
+        data = np.frombuffer(self.text, np.uint8)
+        starts, ends, _ = scan.words(data, np.array([0, len(data)]), scan.ALNUM)
+        sums = scan.prefix(scan.word_hashes(data, starts, ends))
+        counts = np.array([len(words) for _, words in items])
+        firsts = np.cumsum(counts) - counts
+        sizes = np.minimum(counts, size)
         self.by_size = {}
-        for size in sorted({len(words) for words, _ in windows}):
-            own = [(words, item) for words, item in windows if len(words) == size]
-            text = b" ".join(word for words, _ in own for word in words)
-            data = np.frombuffer(text, np.uint8)
-            starts, ends, _ = scan.words(data, np.array([0, len(data)]), scan.ALNUM)
-            at = np.arange(0, len(starts), size)
-            hashes = scan.span(scan.prefix(scan.word_hashes(data, starts, ends)), at, at + size)
+        for n in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == n)
+            windows = counts[own] - n + 1
+            item = np.repeat(own, windows)
+            at = firsts[item] + np.arange(len(item)) - np.repeat(np.cumsum(windows) - windows, windows)
+            hashes = scan.span(sums, at, at + n)
             order = np.argsort(hashes, kind="stable")
             marks = np.zeros(1 << 20, bool)
             marks[(hashes >> np.uint64(44)).astype(np.int64)] = True
-            self.by_size[size] = (hashes[order], [own[k] for k in order], marks)
+            at = at[order]
+            self.by_size[n] = (hashes[order], item[order].astype(np.int32), starts[at], ends[at + n - 1], marks)
 
 
 def blocks(benchmark: DataFrame, size: int, limit: int):
-    """Windows of the benchmark, read row by row, in blocks."""
-    found: dict[tuple, None] = {}
+    """The benchmark, read row by row, in blocks of about ``limit`` windows."""
+    found, held = [], 0
     for row in benchmark.selectExpr("cast(item_id as string) as item", "text").toLocalIterator():
-        words = item_words(row["text"])
-        for k in range(max(1, len(words) - size + 1) if words else 0):
-            found[(tuple(words[k : k + size]), row["item"])] = None
-        if len(found) >= limit:
-            yield Block(list(found))
-            found = {}
+        if words := item_words(row["text"]):
+            found.append((row["item"], words))
+            held += max(1, len(words) - size + 1)
+        if held >= limit:
+            yield Block(found, size)
+            found, held = [], 0
     if found:
-        yield Block(list(found))
+        yield Block(found, size)
 
 
-def hits(data, offs, index, size_limit: int):
-    """(starts, ends, firsts, covered words as a mask, item sets per text) of a chunk."""
+def hits(data, offs, index):
+    """(starts, ends, firsts, hit words as a mask, item sets per text) of a chunk."""
     low = scan.LOWER[data]
     starts, ends, firsts = scan.words(low, offs, scan.ALNUM)
     hashes = scan.word_hashes(low, starts, ends)
     edges = np.zeros(len(starts) + 1, np.int64)
     items: dict[int, set] = {}
     for one in index:
-        for size, (known, windows, marks) in one.value.by_size.items():
+        block = one.value
+        for size, (known, item, begins, stops, marks) in block.by_size.items():
             at, found = scan.windows(hashes, firsts, size)
             near = np.flatnonzero(marks[(found >> np.uint64(44)).astype(np.int64)])
             at, found = at[near], found[near]
@@ -82,18 +92,28 @@ def hits(data, offs, index, size_limit: int):
             owners = np.searchsorted(firsts, at, side="right") - 1
             for k in np.flatnonzero(lo < hi).tolist():
                 first = int(at[k])
-                words = tuple(low[a:b].tobytes() for a, b in zip(starts[first : first + size].tolist(), ends[first : first + size].tolist(), strict=True))
-                same = [windows[j][1] for j in range(lo[k], hi[k]) if windows[j][0] == words]
+                words = b" ".join(low[a:b].tobytes() for a, b in zip(starts[first : first + size].tolist(), ends[first : first + size].tolist(), strict=True))
+                same = [int(item[j]) for j in range(lo[k], hi[k]) if block.text[begins[j] : stops[j]] == words]
                 if same:
                     edges[first] += 1
                     edges[first + size] -= 1
-                    items.setdefault(int(owners[k]), set()).update(x for x in same if x is not None)
+                    items.setdefault(int(owners[k]), set()).update(block.names[j] for j in same if block.names[j] is not None)
+        if len(index) > 1:
+            _release(one)
     return starts, ends, firsts, np.cumsum(edges[:-1]) > 0, items
 
 
+def _release(one) -> None:
+    """Forgets the loaded value of a broadcast; it is read from its file again when needed."""
+    one.__dict__.pop("_value", None)
+
+
 def _index(benchmark: DataFrame, size: int, limit: int) -> list:
-    context = benchmark.sparkSession.sparkContext
-    return [context.broadcast(block) for block in blocks(benchmark, size, limit)]
+    found = []
+    for block in blocks(benchmark, size, limit):
+        found.append(benchmark.sparkSession.sparkContext.broadcast(block))
+        _release(found[-1])
+    return found
 
 
 def judged(n_words: np.ndarray, n_hit: np.ndarray) -> np.ndarray:
@@ -109,7 +129,7 @@ def measure(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, block: int
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for first, end, data, offs in scan.chunks(texts):
-                _, _, firsts, mask, items = hits(data, offs, index, size)
+                _, _, firsts, mask, items = hits(data, offs, index)
                 n_words, n_hit = np.diff(firsts), scan.tally(mask, firsts)
                 names = [",".join(sorted(items.get(k, ()))) for k in range(end - first)]
                 yield pa.RecordBatch.from_arrays(
@@ -144,7 +164,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", size
         for batch in batches:
             for first, end, data, offs in scan.chunks(batch.column(place)):
                 part = batch.slice(first, end - first)
-                starts, ends, firsts, mask, _ = hits(data, offs, index, size)
+                starts, ends, firsts, mask, _ = hits(data, offs, index)
                 if remove == "documents":
                     yield part.filter(pa.array(~judged(np.diff(firsts), scan.tally(mask, firsts))))
                     continue
