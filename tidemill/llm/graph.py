@@ -9,6 +9,8 @@ round by a checkpoint in the folder that ``spark.checkpoint.dir`` names.
 
 import tempfile
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +43,40 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
     return told.where("high > low").distinct()
 
 
-def _mark(edges: DataFrame):
-    """Count and checksum of the edges."""
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))).first())
+def _mark(edges: DataFrame) -> tuple[int, int]:
+    """Count and checksum of the edges; one row per partition reaches the driver, without a shuffle."""
+
+    def summed(batches):
+        count, total = 0, 0
+        for batch in batches:
+            count += batch.num_rows
+            total += int(batch.column(0).to_numpy().view(np.uint64).sum(dtype=np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array([count]), pa.array([total % (1 << 62)])], names=["count", "total"])
+
+    rows = edges.select(F.xxhash64("high", "low")).mapInArrow(summed, "count long, total long").collect()
+    return sum(r["count"] for r in rows), sum(r["total"] for r in rows) % (1 << 62)
+
+
+def local_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, smallest node of the component) of every node but the smallest ones, by union-find."""
+    if not len(a):
+        return a, b
+    nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    parent = list(range(len(nodes)))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    half = len(a)
+    for x, y in zip(flat[:half].tolist(), flat[half:].tolist(), strict=True):
+        x, y = find(x), find(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    roots = np.array([find(x) for x in range(len(nodes))])
+    rest = roots != np.arange(len(nodes))
+    return nodes[rest], nodes[roots[rest]]
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -189,7 +189,7 @@ def _dealt(parts: int):
 
 
 def _stars(table: pa.Table) -> pa.Table:
-    """Each class of a key, with the smallest class of that key."""
+    """Components within a part of the keys: each class, with the smallest class of its component."""
     rows = table.select(["n", "keys", "docs"]).to_pydict()
     key = np.concatenate([packed.unpack(k, n) for n, k in zip(rows["n"], rows["keys"], strict=True)])
     doc = np.concatenate([packed.unpack_rising(d, n) for n, d in zip(rows["n"], rows["docs"], strict=True)])
@@ -202,7 +202,8 @@ def _stars(table: pa.Table) -> pa.Table:
     a, b = a[order], b[order]
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return pa.Table.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
+    a, b = graph.local_stars(a[new], b[new])
+    return pa.Table.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
 class CountTree:
@@ -285,8 +286,9 @@ def _verified(percent: int):
         side = table.column("side").to_numpy()
         # Equal sides on all rows: a whole cluster, or a chunk against itself.
         left = None if (side == side[0]).all() else side
-        found = links(sets, nodes, percent, left)
-        return pa.Table.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+        found = np.array(links(sets, nodes, percent, left), np.int64).reshape(-1, 2)
+        a, b = graph.local_stars(found[:, 0], found[:, 1])
+        return pa.Table.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return verified
 
@@ -300,19 +302,19 @@ def _tasks(clustered: DataFrame, percent: int) -> DataFrame:
     lows = bands(percent, int(largest)).tolist()
     band = F.array_position(F.transform(F.array(*[F.lit(x) for x in lows]), lambda x: x > F.col("n")), True) - 1
     rows = clustered.withColumn("band", F.when(band > 0, band).otherwise(len(lows)).cast("int"))
-    whole = rows.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("weight"))
-    by_band = rows.groupBy("root", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("parts"))
-    near = by_band.select("root", (F.col("band") - 1).alias("band"), F.col("parts").alias("above")).unionAll(by_band.select("root", "band", F.lit(0).alias("above")))
-    near = near.groupBy("root", "band").agg(F.max("above").alias("above"))
-    below = by_band.select("root", (F.col("band") + 1).alias("band"), F.col("parts").alias("under"))
-    rows = rows.join(whole.hint("merge"), "root").join(by_band.hint("merge"), ["root", "band"]).join(near.hint("merge"), ["root", "band"], "left").join(below.hint("merge"), ["root", "band"], "left")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int")
+    by_band = rows.groupBy("root", "band").agg(parts.alias("parts"), F.count(F.lit(1)).alias("sets"), F.sum("n").alias("weight"))
+    # A cluster has one row per band here, and there are few bands.
+    whole = by_band.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("band", "parts"))).alias("parts_of"), F.sum("sets").alias("sets"), F.sum("weight").alias("weight"))
+    b = F.col("band")
+    of = lambda x: F.coalesce(F.try_element_at("parts_of", x.cast("int")), F.lit(0))
+    rows = rows.join(whole.hint("merge"), "root").withColumn("parts", of(b)).withColumn("up", of(b + 1)).withColumn("down", of(b - 1))
     part = F.pmod(F.xxhash64("doc_id"), F.col("parts"))
     task = lambda a, b, c, d: F.concat_ws("/", a, b, c, d)
     to = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    b, up, down = F.col("band"), F.coalesce("above", F.lit(0)), F.coalesce("under", F.lit(0))
     own = F.transform(to(F.col("parts")), lambda x: F.struct(task(b, F.least(x, F.col("part")), b, F.greatest(x, F.col("part"))).alias("task"), F.when(x < F.col("part"), 1).otherwise(0).alias("side")))
-    higher = F.transform(to(up), lambda x: F.struct(task(b, F.col("part"), b + 1, x).alias("task"), F.lit(0).alias("side")))
-    lower = F.transform(to(down), lambda x: F.struct(task(b - 1, x, b, F.col("part")).alias("task"), F.lit(1).alias("side")))
+    higher = F.transform(to(F.col("up")), lambda x: F.struct(task(b, F.col("part"), b + 1, x).alias("task"), F.lit(0).alias("side")))
+    lower = F.transform(to(F.col("down")), lambda x: F.struct(task(b - 1, x, b, F.col("part")).alias("task"), F.lit(1).alias("side")))
     small = (F.col("sets") <= CHUNK_SETS) & (F.col("weight") <= CHUNK_SHINGLES)
     one = F.array(F.struct(F.lit("").alias("task"), F.lit(0).alias("side")))
     rows = rows.withColumn("part", part.cast("int")).withColumn("tasks", F.when(small, one).otherwise(F.concat(own, higher, lower)))
