@@ -6,6 +6,8 @@ operations per byte and no loop over texts. Chunks bound the memory: a chunk hol
 ``CHUNK`` bytes, or one text if that is longer.
 """
 
+import contextlib
+import ctypes
 import functools
 
 import numpy as np
@@ -26,6 +28,13 @@ def small_batches(spark) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can; workers are kept for later tasks."""
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+
+
 def table(keep) -> np.ndarray:
     return np.fromiter((bool(keep(b)) for b in range(256)), bool, 256)
 

@@ -37,12 +37,12 @@ from pyspark.sql import functions as F
 from tidemill.llm import packed, scan, suffix
 
 LENGTH, GRAM = 50, 20
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Bytes of text behind each bucket of anchors, bucket of texts and shard.
-ANCHOR_BYTES, TEXT_BYTES, SHARD_BYTES = 16 << 20, 16 << 20, 8 << 20
+ANCHOR_BYTES, TEXT_BYTES, SHARD_BYTES = 8 << 20, 8 << 20, 8 << 20
 #: Bytes of distinct fragments that are sorted at once.
-SORT_BYTES = 4 << 20
-KEPT_ANCHORS = 1_000_000
+SORT_BYTES = 3 << 19
+KEPT_ANCHORS = 500_000
 ANCHORS = [("_part", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary())]
 NOTES = [("_bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())]
 FRAGMENTS = [("_shard", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64()), *((x, pa.binary()) for x in ("docs", "slots", "places", "sizes", "keys", "text"))]
@@ -83,7 +83,8 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int):
     begins = np.flatnonzero(change)
     ends = np.append(begins[1:], n)
     keep = inside[begins]
-    return begins[keep], ends[keep], low[begins[keep]]
+    # Minima are small numbers; mixed again, they deal out evenly.
+    return begins[keep], ends[keep], scan.mix(low[begins[keep]])
 
 
 def _anchor_rows(parts: int, length: int, gram: int):
@@ -201,6 +202,7 @@ def _fragments(shards: int, length: int, gram: int, id_name: str, text_name: str
                 spread = np.repeat(begins[a:b] - (np.cumsum(size) - size), size) + np.arange(size.sum())
                 slots = first + text[a:b]
                 rows.append((shard[a], key[0].as_py(), b - a, packed.pack(number[slots]), packed.pack(slots), packed.pack(begins[a:b] - offs[text[a:b]]), packed.pack(size), packed.pack(small[a:b]), data[spread].tobytes()))
+        scan.give_back()
         return pa.Table.from_batches([packed.batch(FRAGMENTS, rows)])
 
     return found
@@ -274,6 +276,7 @@ def _cuts(length: int):
         order = np.lexsort((slots[row], bucket))
         row, begin, count, bucket = row[order], begin[order], count[order], bucket[order]
         out = [(bucket[a], CUTS, b - a, packed.pack(slots[row[a:b]]), packed.pack(places[row[a:b]] + begin[a:b]), packed.pack(count[a:b] + length - 1)) for a, b in zip(*packed.runs(bucket), strict=True)]
+        scan.give_back()
         return pa.Table.from_batches([packed.batch(NOTES, out)])
 
     return found
@@ -311,7 +314,7 @@ def _applied(id_name: str, text_name: str, columns: list[str], kinds: dict, leng
         by_slot = np.argsort(slots, kind="stable")
         slots, begins, counts = slots[by_slot], begins[by_slot], counts[by_slot]
         kept, stats = [], []
-        for first, end, data, offs in scan.chunks(column, 4 * CHUNK):
+        for first, end, data, offs in scan.chunks(column, CHUNK):
             a, b = np.searchsorted(slots, [first, end])
             edges = np.zeros(len(data) + 1, np.int64)
             at = offs[slots[a:b] - first] + begins[a:b]
