@@ -191,4 +191,41 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> Da
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:
-    return measure(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return measure(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("score")
+
+
+SQL = f"""
+WITH given AS (
+  SELECT doc_id, text, hex(encode(text)) AS h, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w,
+    list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS lines
+  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+spots AS (SELECT doc_id, k, list_slice(w, k, k + 2) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS k FROM given WHERE len(w) > 2)),
+twice AS (SELECT doc_id, g FROM spots GROUP BY ALL HAVING count(*) > 1),
+repeated AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(k, k + 3)) AS p FROM spots JOIN twice USING (doc_id, g)) GROUP BY 1),
+base AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM given LEFT JOIN repeated USING (doc_id)),
+digits AS (
+  SELECT doc_id, list_transform(string_split(h, ''), lambda c: CAST(position(c IN '0123456789ABCDEF') - 1 AS BIGINT)) AS d FROM given WHERE h <> ''),
+bytes AS (SELECT doc_id, list_transform(range(0, len(d) // 2), lambda i: 16 * d[2 * i + 1] + d[2 * i + 2]) AS b FROM digits),
+four AS (
+  SELECT doc_id, b[k] + 256 * b[k + 1] + 65536 * b[k + 2] + 16777216 * b[k + 3] AS v
+  FROM (SELECT doc_id, b, unnest(range(1, len(b) - {GRAM - 2})) AS k FROM bytes WHERE len(b) >= {GRAM})),
+once AS (SELECT doc_id, (xor(v, v >> 15) * 739982445) & 4294967295 AS v FROM four),
+binned AS (SELECT doc_id, ((xor(v, v >> 12) * 695872825) & 4294967295) >> 16 AS bin FROM once),
+trusted AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+counts AS (SELECT bin, count(*) AS raw, count(trusted.doc_id) AS target FROM binned LEFT JOIN trusted USING (doc_id) GROUP BY 1),
+sums AS (SELECT sum(raw) AS raw, sum(target) AS target FROM counts),
+weights AS (
+  SELECT bin, CASE WHEN sums.target = 0 THEN 0 ELSE ln(counts.target + 1) - ln(sums.target + {BINS}) - ln(counts.raw + 1) + ln(sums.raw + {BINS}) END AS weight
+  FROM counts, sums),
+scores AS (SELECT doc_id, avg(weight) AS score FROM binned JOIN weights USING (bin) GROUP BY 1),
+judged AS (
+  SELECT base.*, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words AS base_failed, coalesce(score, 0) AS score
+  FROM base LEFT JOIN scores USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND score >= {THRESHOLD} AS kept
+FROM judged
+"""

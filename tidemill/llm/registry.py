@@ -20,6 +20,7 @@ ORACLES = {
     "op2_chat": chat.SQL,
     "op3_suffix_dedup": substrings.SQL,
     "op4_decontamination": decontaminate.SQL,
+    "op5_quality": quality.SQL,
     "op6_sharding": sharding.SQL,
     "op8_jaccard_join": jaccard.SQL,
     "op10_licences": licences.SQL,

@@ -106,14 +106,14 @@ WITH narrow AS (
 steps AS (
   SELECT list(v ORDER BY b) AS t FROM (
     SELECT b, list_reduce(list_prepend(b, range(8)), lambda x, y: {_CRC_STEP}) AS v FROM range(256) r(b))),
-bytes AS (
-  SELECT narrow.*, steps.t, hex(encode(text)) AS h FROM narrow, steps),
+digits AS (
+  SELECT narrow.*, steps.t, list_transform(CASE WHEN text = '' THEN [] ELSE string_split(hex(encode(text)), '') END,
+    lambda c: position(c IN '0123456789ABCDEF') - 1) AS d FROM narrow, steps),
 sums AS (
   SELECT doc_id, stratum, key, size,
-    xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, size - 8),
-      lambda i: (position(h[2 * i + 1] IN '0123456789ABCDEF') - 1) * 16 + position(h[2 * i + 2] IN '0123456789ABCDEF') - 1)),
+    xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, len(d) // 2), lambda i: d[2 * i + 1] * 16 + d[2 * i + 2])),
       lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) AS text_crc32
-  FROM bytes),
+  FROM digits),
 ranked AS (
   SELECT *, CAST(2 * row_number() OVER (PARTITION BY stratum ORDER BY key, doc_id NULLS FIRST, text_crc32, size) - 1 AS DOUBLE)
     / CAST(2 * count(*) OVER (PARTITION BY stratum) AS DOUBLE) AS fraction FROM sums),
