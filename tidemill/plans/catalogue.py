@@ -3,12 +3,17 @@
 A point's timestamp is the microsecond of ``ts``; ``event_id`` is its write order.
 """
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.bits import double_bits
 from tidemill.operators import blocks, coded, lww, series
 from tidemill.schema import POINT_BYTES
+from tidemill.sources import files
+from tidemill.sources.shared import new_folder
+from tidemill.sources.table import Table
+from tidemill.streaming.ingest import ingest
 
 DAY = (1704412800000000, 1704499200000000)
 
@@ -113,9 +118,10 @@ def run_count(spark, sf_dir):
 
 
 def wal_replay(spark, sf_dir):
+    """Records before the first invalid one, here the one of sequence 7000."""
     rows = events(spark, sf_dir)
-    torn = rows.where("seq = 7000").agg(F.min("seq").alias("torn"))
-    return rows.join(F.broadcast(torn), F.col("torn").isNull() | (F.col("seq") < F.col("torn"))).select("timestamp", "value", "seq")
+    torn = rows.where("seq = 7000").agg(F.min("seq")).scalar()
+    return rows.where(F.col("seq") < F.coalesce(torn, F.lit(2**63 - 1))).select("timestamp", "value", "seq")
 
 
 def codec_round_trip(spark, sf_dir):
@@ -140,11 +146,79 @@ def array_kernels(spark, sf_dir):
     return arrays.select("user_id", F.size(d).cast("long").alias("deltas"), total(d).alias("delta_sum"), F.size(dd).cast("long").alias("dods"), total(dd).alias("dod_sum"))
 
 
+def table_engine(spark, sf_dir):
+    """A table that is written, flushed, written again, compacted and scanned."""
+    rows = _by(60_000_000, events(spark, sf_dir))
+    table = Table(spark, new_folder(spark, "table"), capacity=1 << 30)
+    table.write_batch(rows.where("seq < 5000"))
+    table.flush()
+    table.write_batch(rows.where("seq >= 2500").withColumn("value", F.col("value") * 10 + 1))
+    table.flush()
+    table.compact()
+    return table.scan_all()
+
+
+def table_range(spark, sf_dir):
+    """A range over stored and pending points of a table."""
+    table = Table(spark, new_folder(spark, "table"), capacity=1 << 30)
+    table.write_batch(events(spark, sf_dir).where("seq % 2 = 0"))
+    table.flush()
+    table.write_batch(events(spark, sf_dir).where("seq % 2 = 1"))
+    return table.scan_range(*DAY)
+
+
+def stream_ingest(spark, sf_dir):
+    """All events taken in by a stream, run twice: the second run finds its batch committed."""
+    folder = new_folder(spark, "stream")
+    table = Table(spark, f"{folder}/table")
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    for run in (1, 2):
+        rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+        minute = F.expr("unix_micros(cast(ts as timestamp)) div 60000000")
+        ingest(rows.select(minute.alias("timestamp"), "value", F.col("event_id").alias("seq")), table, f"{folder}/checkpoint-{run}").awaitTermination()
+    return table.scan_all()
+
+
+def _by_thousand(spark, sf_dir):
+    rows = events(spark, sf_dir).withColumn("part", F.expr("seq div 1000"))
+    return rows.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("seq", "timestamp", "value"))).alias("rows"))
+
+
+def _through(make, read):
+    """Makes the bytes of one file per row and reads them back."""
+
+    def run(batches):
+        for batch in batches:
+            for rows in batch.column("rows").to_pylist():
+                t, v = read(make([r["timestamp"] for r in rows], [r["value"] for r in rows]))
+                yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(v, pa.float64())], names=["timestamp", "value"])
+
+    return run
+
+
+def block_files(spark, sf_dir):
+    """Events through block files of a thousand points, of each the points of the day."""
+    return _by_thousand(spark, sf_dir).mapInArrow(_through(files.block_file, lambda data: files.read_block_file(data, *DAY)), "timestamp long, value double")
+
+
+def log_records(spark, sf_dir):
+    """Events through write-ahead logs of a thousand records, each torn in its last one."""
+
+    def make(t, v):
+        return b"".join(map(files.log_record, t, v))[:-10]
+
+    def read(data):
+        return list(zip(*files.replay(data), strict=True)) or ([], [])
+
+    return _by_thousand(spark, sf_dir).mapInArrow(_through(make, read), "timestamp long, value double")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         scan_range, scan_all, lww_upsert, merge_runs, compact, block_index, block_prune, file_header, dod_bits, delta, dod, xor, dod_decode,
         xor_decode, memtable_stats, run_count, wal_replay, codec_round_trip, reversed_range, record_crc, array_kernels,
+        table_engine, table_range, stream_ingest, block_files, log_records,
     )
 }
 
@@ -184,8 +258,17 @@ ORACLES = {
         WHERE event_id < coalesce((SELECT min(event_id) FROM p WHERE event_id = 7000), 9223372036854775807)""",
     "codec_round_trip": f"WITH {_P} SELECT timestamp, value FROM p",
     "reversed_range": f"WITH {_P} SELECT timestamp, value FROM p WHERE timestamp BETWEEN {DAY[1]} AND {DAY[0]}",
+    "record_crc": f"""WITH {_P}, steps AS (SELECT list(v ORDER BY b) AS t FROM (
+        SELECT b, list_reduce(list_prepend(b, range(8)), lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)) AS v FROM range(256) r(b)))
+        SELECT event_id AS seq, CAST(xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(timestamp AS VARCHAR), ''), lambda c: ascii(c))),
+        lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) AS BIGINT) AS crc FROM p, steps""",
+    "block_files": f"WITH {_P} SELECT timestamp, value FROM p WHERE timestamp BETWEEN {DAY[0]} AND {DAY[1]}",
+    "log_records": f"""WITH {_P} SELECT timestamp, value FROM p
+        QUALIFY event_id < max(event_id) OVER (PARTITION BY event_id // 1000)""",
     "array_kernels": """WITH d AS (SELECT user_id, epoch_us(ts) AS t, t - lag(t) OVER w AS d1, t - 2 * lag(t) OVER w + lag(t, 2) OVER w AS d2
         FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts)))
         SELECT user_id, count(d1) AS deltas, CAST(coalesce(sum(d1), 0) AS BIGINT) AS delta_sum, count(d2) AS dods,
         CAST(coalesce(sum(d2), 0) AS BIGINT) AS dod_sum FROM d GROUP BY 1""",
 }
+# A table, however it is written, holds the newest write of each timestamp.
+ORACLES |= {"table_engine": ORACLES["merge_runs"], "table_range": ORACLES["scan_range"], "stream_ingest": ORACLES["lww_upsert"]}
