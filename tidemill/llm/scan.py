@@ -8,7 +8,6 @@ operations per byte and no loop over texts. Chunks bound the memory: a chunk hol
 
 import contextlib
 import ctypes
-import functools
 
 import numpy as np
 import pyarrow as pa
@@ -107,30 +106,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@functools.cache
 def _byte_values() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * BASE)
 
 
 class Powers:
-    """Powers of BASE and of its inverse modulo 2**64, as many as asked for so far."""
+    """Powers of BASE and of its inverse modulo 2**64, as many as asked for so far in this process.
 
-    up = down = np.ones(1, np.uint64)
+    Functions go to executors by value, and this with them: without what it holds."""
 
-    @classmethod
-    def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __reduce__(self):
+        return type(self), ()
+
+    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
             size = max(n, CHUNK + 1)
             for name, base in (("up", BASE), ("down", INVERSE)):
                 steps = np.full(size, base, np.uint64)
                 steps[0] = 1
-                setattr(cls, name, np.cumprod(steps))
-        return cls.up[:n], cls.down[:n]
+                setattr(self, name, np.cumprod(steps))
+        return self.up[:n], self.down[:n]
+
+
+POWERS = Powers()
 
 
 def prefix(values: np.ndarray) -> np.ndarray:
     """Sums of values times rising powers; ``span`` takes hashes of ranges from them."""
-    up, _ = Powers.get(max(1, len(values)))
+    up, _ = POWERS.get(max(1, len(values)))
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], out=sums[1:])
     return sums
@@ -138,7 +144,7 @@ def prefix(values: np.ndarray) -> np.ndarray:
 
 def span(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of each range that depends on its values and length only."""
-    _, down = Powers.get(len(sums))
+    _, down = POWERS.get(len(sums))
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
