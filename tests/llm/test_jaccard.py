@@ -66,16 +66,26 @@ def test_linked_pairs_share_a_key():
             assert set(keys[: firsts[1]].tolist()) & set(keys[firsts[1] :].tolist())
 
 
-def test_tree_loses_nothing():
-    r = np.random.default_rng(2)
-    counts = r.poisson(3, (400, jaccard.DIMENSIONS)).astype(np.int32)
-    counts[200:] = counts[:200] + (r.random((200, jaccard.DIMENSIONS)) < 0.03)
-    sizes = counts.sum(axis=1)
-    tree = jaccard.CountTree(counts, sizes)
-    for k in range(0, 400, 7):
-        bound = np.minimum(counts, counts[k]).sum(axis=1)
-        want = np.flatnonzero(bound * 190 >= 90 * (sizes + sizes[k]))
-        assert sorted(tree.search(counts[k], sizes[k], 90).tolist()) == want.tolist()
+@pytest.mark.parametrize("sizes", [(20, 60), (400, 700), (3000, 3600)])
+def test_tree_loses_nothing(sizes):
+    r = random.Random(2)
+    sets = []
+    for _ in range(60):
+        base = [r.getrandbits(64) for _ in range(r.randint(*sizes))]
+        sets += [np.array(sorted(base), np.uint64), np.array(sorted(base[r.randint(0, len(base) // 8) :]), np.uint64)]
+    lengths = np.array([len(x) for x in sets])
+    groups = jaccard.dimensions(int(np.median(lengths)))
+    tree = jaccard.CountTree(np.array([jaccard.count_vector(x, groups) for x in sets]), lengths)
+    assert sorted(tree.order.tolist()) == list(range(len(sets)))
+    candidates = 0
+    for k in range(len(sets)):
+        near = set(tree.after(k, 80).tolist())
+        candidates += len(near)
+        a = set(sets[tree.order[k]].tolist())
+        for j in range(k + 1, len(sets)):
+            b = set(sets[tree.order[j]].tolist())
+            assert j in near or 100 * len(a & b) < 80 * len(a | b)
+    assert candidates < 400
 
 
 def test_representatives(spark):

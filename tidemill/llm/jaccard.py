@@ -11,12 +11,16 @@ if it has fewer but any. Two documents link if 100 * intersection >= percent * u
    them), so every linked pair shares a key. Keys that one class has alone are dropped.
 3. Classes joined by keys make candidate clusters. A cluster goes to one task or, when it
    is large, its bands are cut to chunks and each pair of chunks goes to one.
-4. A task indexes its sets' group counts as points of an R-tree. The overlap with
+4. A task indexes group counts of its sets as points of an R-tree. The overlap with
    anything below a node is at most the sum of minima of the coordinates of the set and of
-   the node's maxima; pairs that survive are verified on the sets. Pairs that are in one
-   component already are passed over: no link between them changes a component.
+   the node's maxima. Pairs that survive make smaller clusters, whose sets are then dealt to
+   tasks in the same way and verified. Pairs that are in one component already are passed
+   over: no link between them changes a component.
 5. Components of the links found.
 
+Where the ids that documents are filtered by are more than ``BROADCAST_IDS``, they are
+joined by shuffle instead of broadcast.
+
 No pair is lost, whatever its cluster's size, and no task holds more than a chunk pair.
 A cluster of n sets that share keys but do not link costs up to (n / chunk) ** 2 tasks.
 
@@ -26,8 +30,6 @@ one id are one document, linked by their id; an empty table gives no rows; other
 are kept by ``representatives`` and ignored by ``join``, whatever their names.
 """
 
-from functools import cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,13 +38,16 @@ from pyspark.sql import functions as F
 from tidemill.llm import graph, packed, scan
 
 SIZE, PERCENT = 5, 80
-DIMENSIONS, FANOUT = 64, 16
+DIMENSIONS, MOST_DIMENSIONS, PER_GROUP, FANOUT = 64, 4096, 8, 16
 #: Most sets, and about the most shingles, of one side of a task.
-CHUNK_SETS, CHUNK_SHINGLES = 1_000, 1 << 20
+CHUNK_SETS, CHUNK_SHINGLES = 2_000, 1 << 22
 #: (key, class) pairs behind each bucket of keys.
 BUCKET_KEYS = 1 << 20
-SETS = [("doc_id", pa.int64()), ("n", pa.int64()), ("print_a", pa.int64()), ("print_b", pa.int64()), ("keys", pa.binary())]
-PAIRS = [("_part", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary())]
+#: Most ids (16 MB) that are broadcast to filter documents; more are joined by shuffle.
+BROADCAST_IDS = 2_000_000
+SETS = [("doc_id", pa.int64()), ("n", pa.int64()), ("print_a", pa.int64()), ("print_b", pa.int64())]
+PAIRS = [("_part", pa.int32()), ("n", pa.int64()), ("m", pa.int64()), ("keys", pa.binary()), ("nodes", pa.binary()), ("counts", pa.binary())]
+NODE_BITS = np.uint64((1 << 48) - 1)
 EDGES = [("a", pa.int64()), ("b", pa.int64())]
 SHINGLES = [("doc_id", pa.int64()), ("n", pa.int64()), ("members", pa.binary())]
 WORDS = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
@@ -52,7 +57,6 @@ def shape(fields) -> str:
     return ", ".join(f"{name} {WORDS[kind]}" for name, kind in fields)
 
 
-@cache
 def bands(percent: int, largest: int) -> np.ndarray:
     """Smallest sizes of the bands: linked sets are in one band or in neighbouring ones."""
     found = [1]
@@ -61,7 +65,6 @@ def bands(percent: int, largest: int) -> np.ndarray:
     return np.array(found)
 
 
-@cache
 def groups(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
     """(groups, slack) of each band, for pairs whose smaller set is in the band; one group: equal sets only."""
     top = bands(percent, largest)[1:] - 1
@@ -134,54 +137,56 @@ def keys_of(hashes: np.ndarray, firsts: np.ndarray, percent: int):
     return keys[order], np.searchsorted(text[order], np.arange(len(firsts)))
 
 
-def _described(size: int, percent: int):
-    """One row per document: its set's size, fingerprint and keys."""
+def prints(hashes: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two fingerprints of each set."""
+    return summed(scan.mix(hashes + np.uint64(1)), firsts), summed(scan.mix(hashes ^ np.uint64(0xE7037ED1A0B428DB)), firsts)
+
+
+def _described(size: int):
+    """One row per document: its set's size and fingerprints."""
 
     def described(batches):
         for batch in batches:
             ids = batch.column(0)
             for first, end, data, offs in scan.chunks(batch.column(1)):
                 hashes, firsts = shingles(data, offs, size)
-                keys, key_firsts = keys_of(hashes, firsts, percent)
-                raw, at = keys.tobytes(), (key_firsts * 8).tolist()
-                a = summed(scan.mix(hashes + np.uint64(1)), firsts)
-                b = summed(scan.mix(hashes ^ np.uint64(0xE7037ED1A0B428DB)), firsts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(first, end - first),
-                        pa.array(np.diff(firsts), pa.int64()),
-                        pa.array(a.view(np.int64)),
-                        pa.array(b.view(np.int64)),
-                        pa.array([raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary()),
-                    ],
-                    names=[n for n, _ in SETS],
-                )
+                a, b = prints(hashes, firsts)
+                yield pa.RecordBatch.from_arrays([ids.slice(first, end - first), pa.array(np.diff(firsts), pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=[n for n, _ in SETS])
 
     return described
 
 
-def _dealt(parts: int):
-    """Packed (key, class) pairs."""
+def _dealt(size: int, percent: int, parts: int):
+    """Packed (key, node) pairs. A node is the first fingerprint of a set, cut to 48 bits: copies are
+    one node, and a clash of two sets only makes their candidate clusters one."""
 
     def dealt(batches):
-        keys, docs, held = [], [], 0
+        keys, nodes, held = [], [], 0
 
         def flush():
-            key, doc = np.concatenate(keys), np.concatenate(docs)
+            key, node = np.concatenate(keys), np.concatenate(nodes)
             part = packed.scaled(key, parts)
-            order = np.lexsort((doc, part))
-            key, doc, part = key[order], doc[order], part[order]
-            return packed.batch(PAIRS, [(part[a], b - a, packed.pack(key[a:b]), packed.pack_rising(doc[a:b])) for a, b in zip(*packed.runs(part), strict=True)])
+            order = np.lexsort((key, node, part))
+            key, node, part = key[order], node[order], part[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+            key, node, part = key[new], node[new], part[new]
+            rows = []
+            for a, b in zip(*packed.runs(part), strict=True):
+                begins, ends = packed.runs(node[a:b])
+                rows.append((part[a], b - a, len(begins), packed.pack(key[a:b]), packed.pack_rising(node[a:b][begins]), packed.pack(ends - begins)))
+            return packed.batch(PAIRS, rows)
 
         for batch in batches:
-            blobs = batch.column(1).to_pylist()
-            key = np.frombuffer(b"".join(blobs), np.uint64)
-            keys.append(key)
-            docs.append(np.repeat(batch.column(0).to_numpy(), [len(x) // 8 for x in blobs]))
-            held += len(key)
-            if held >= BUCKET_KEYS:
-                yield flush()
-                keys, docs, held = [], [], 0
+            for _, _, data, offs in scan.chunks(batch.column(0)):
+                hashes, firsts = shingles(data, offs, size)
+                found, key_firsts = keys_of(hashes, firsts, percent)
+                keys.append(found)
+                nodes.append(np.repeat((prints(hashes, firsts)[0] & NODE_BITS).astype(np.int64), np.diff(key_firsts)))
+                held += len(found)
+                if held >= BUCKET_KEYS:
+                    yield flush()
+                    keys, nodes, held = [], [], 0
         if held:
             yield flush()
 
@@ -189,15 +194,15 @@ def _dealt(parts: int):
 
 
 def _stars(table: pa.Table) -> pa.Table:
-    """Components within a part of the keys: each class, with the smallest class of its component."""
-    rows = table.select(["n", "keys", "docs"]).to_pydict()
-    key = np.concatenate([packed.unpack(k, n) for n, k in zip(rows["n"], rows["keys"], strict=True)])
-    doc = np.concatenate([packed.unpack_rising(d, n) for n, d in zip(rows["n"], rows["docs"], strict=True)])
+    """Components within a part of the keys: each node, with the smallest node of its component."""
+    rows = table.select(["n", "m", "keys", "nodes", "counts"]).to_pylist()
+    key = np.concatenate([packed.unpack(r["keys"], r["n"]) for r in rows])
+    node = np.concatenate([np.repeat(packed.unpack_rising(r["nodes"], r["m"]), packed.unpack(r["counts"], r["m"])) for r in rows])
     order = np.argsort(key)
-    key, doc = key[order], doc[order]
+    key, node = key[order], node[order]
     begins, ends = packed.runs(key)
-    low = np.repeat(np.minimum.reduceat(doc, begins), ends - begins)
-    a, b = doc[doc > low], low[doc > low]
+    low = np.repeat(np.minimum.reduceat(node, begins), ends - begins)
+    a, b = node[node > low], low[node > low]
     order = np.lexsort((a, b))
     a, b = a[order], b[order]
     new = np.ones(len(a), bool)
@@ -206,75 +211,148 @@ def _stars(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
+def dimensions(size: int) -> int:
+    """Groups of a count vector: so many that a set of this size has ``PER_GROUP`` shingles in each, as
+    counts of unrelated sets then differ by enough for the bound to tell."""
+    groups = DIMENSIONS
+    while groups * PER_GROUP < size and groups < MOST_DIMENSIONS:
+        groups *= 2
+    return groups
+
+
+def count_vector(members: np.ndarray, groups: int) -> np.ndarray:
+    return np.minimum(np.bincount((members >> np.uint64(17)) % np.uint64(groups), minlength=groups), 65_535).astype(np.uint16)
+
+
 class CountTree:
-    """R-tree over count vectors; a node keeps the coordinates' maxima and its smallest size."""
-
-    def __init__(self, counts: np.ndarray, sizes: np.ndarray, fanout: int = FANOUT):
-        # Packed by size, then along the coordinates that vary most.
-        spread = np.argsort(-counts.astype(np.float64).var(axis=0))[:4]
-        self.order = np.lexsort((*(counts[:, c] for c in spread[::-1]), sizes))
-        self.fanout = fanout
-        self.levels = [(counts[self.order], sizes[self.order])]
-        while len(self.levels[-1][1]) > fanout:
-            high, low = self.levels[-1]
-            at = np.arange(0, len(low), fanout)
-            self.levels.append((np.maximum.reduceat(high, at, axis=0), np.minimum.reduceat(low, at)))
-
-    def search(self, count: np.ndarray, size: int, percent: int) -> np.ndarray:
-        """Entries whose overlap with the set may suffice."""
-        at = np.arange(len(self.levels[-1][1]))
-        for level in reversed(range(len(self.levels))):
-            high, low = self.levels[level]
-            bound = np.minimum(high[at], count).sum(axis=1, dtype=np.int64)
-            at = at[bound * (100 + percent) >= percent * (size + low[at])]
-            if level:
-                below = len(self.levels[level - 1][1])
-                at = (at[:, None] * self.fanout + np.arange(self.fanout)).ravel()
-                at = at[at < below]
-        return self.order[at]
+    """R-tree over count vectors, packed in order of size; a node keeps its coordinates' maxima."""
+
+    def __init__(self, counts: np.ndarray, sizes: np.ndarray):
+        self.order = np.argsort(sizes, kind="stable")
+        self.sizes = sizes[self.order]
+        self.counts = counts[self.order]
+        self.most = int(self.counts.max(initial=0))
+        if self.most < 256:
+            self.counts = self.counts.astype(np.uint8)
+        self.maxima = np.maximum.reduceat(self.counts, np.arange(0, len(sizes), FANOUT), axis=0)
+
+    def after(self, row: int, percent: int) -> np.ndarray:
+        """Rows after ``row`` whose overlap with it may suffice."""
+        size, count = int(self.sizes[row]), self.counts[row]
+        end = int(np.searchsorted(self.sizes, size * 100 // percent, side="right"))
+        first, last = (row + 1) // FANOUT, -(-end // FANOUT)
+        # The overlap must be percent * (size + other) / (100 + percent) at least; a node's smallest is its first.
+        lows = np.maximum(self.sizes[np.arange(first, last) * FANOUT], size)
+        bound = np.minimum(self.maxima[first:last], count).sum(axis=1, dtype=np.int64)
+        nodes = np.flatnonzero(self._enough(bound, size, lows, percent)) + first
+        rows = (nodes[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+        rows = rows[(rows > row) & (rows < end)]
+        full = len(rows) == end - row - 1
+        bound = np.minimum(self.counts[row + 1 : end] if full else self.counts[rows], count).sum(axis=1, dtype=np.int64)
+        return rows[self._enough(bound, size, self.sizes[rows], percent)]
+
+    def _enough(self, bound, size, other, percent: int):
+        if self.most == 65_535:  # counts were cut off
+            return np.ones(len(bound), bool)
+        return bound * (100 + percent) >= percent * (size + other)
+
+
+def bound_links(counts: np.ndarray, sizes: np.ndarray, nodes: np.ndarray, percent: int, side: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs whose bound suffices, as many as join their components; where both sides occur, only
+    pairs between them."""
+    _, label = np.unique(nodes, return_inverse=True)
+    tree = CountTree(counts, sizes)
+    label, side, nodes = label[tree.order], side[tree.order], nodes[tree.order]
+    between = side.any() and not side.all()
+    found = []
+    for k in range(len(sizes)):
+        near = tree.after(k, percent)
+        near = near[(label[near] != label[k]) & ((side[near] != side[k]) if between else True)]
+        for one in near[np.unique(label[near], return_index=True)[1]].tolist():
+            found.append((int(nodes[k]), int(nodes[one])))
+            label[label == label[one]] = label[k]
+    return found
 
 
 def links(sets: list[np.ndarray], nodes: np.ndarray, percent: int, left: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that join the components of the sets; with ``left``, only between its two sides matter,
     so links inside a side may be left out."""
-    count = len(sets)
+    _, label = np.unique(nodes, return_inverse=True)
     sizes = np.array([len(x) for x in sets])
-    counts = np.zeros((count, DIMENSIONS), np.int32)
-    for k, x in enumerate(sets):
-        counts[k] = np.bincount((x >> np.uint64(17)) % np.uint64(DIMENSIONS), minlength=DIMENSIONS)
-    names, label = np.unique(nodes, return_inverse=True)
-    tree = CountTree(counts, sizes)
+    groups = dimensions(int(np.median(sizes)))
+    tree = CountTree(np.array([count_vector(x, groups) for x in sets]), sizes)
+    label = label[tree.order]
+    side = None if left is None else left[tree.order]
     found = []
-    for k in tree.order.tolist():
-        near = tree.search(counts[k], len(sets[k]), percent)
+    for k in range(len(sets)):
+        near = tree.after(k, percent)
         near = near[label[near] != label[k]]
-        if left is not None:
-            near = near[left[near] != left[k]]
+        if side is not None:
+            near = near[side[near] != side[k]]
+        own = sets[tree.order[k]]
         while len(near):
-            other = int(near[0])
-            near = near[1:]
-            both = len(sets[k]) + len(sets[other])
-            small, large = (sets[k], sets[other]) if len(sets[k]) <= len(sets[other]) else (sets[other], sets[k])
-            spot = np.minimum(np.searchsorted(large, small), len(large) - 1)
-            common = int((large[spot] == small).sum())
-            if 100 * common >= percent * (both - common):
-                found.append((int(nodes[k]), int(nodes[other])))
+            other, near = int(near[0]), near[1:]
+            large = sets[tree.order[other]]
+            spot = np.minimum(np.searchsorted(large, own), len(large) - 1)
+            common = int(np.count_nonzero(large[spot] == own))
+            if 100 * common >= percent * (len(own) + len(large) - common):
+                found.append((int(nodes[tree.order[k]]), int(nodes[tree.order[other]])))
                 label[label == label[other]] = label[k]
                 near = near[label[near] != label[k]]
     return found
 
 
+def _counted(size: int):
+    """Size and count vector of each document's set."""
+
+    def counted(batches):
+        for batch in batches:
+            ids = batch.column(0)
+            for first, end, data, offs in scan.chunks(batch.column(1)):
+                hashes, firsts = shingles(data, offs, size)
+                sizes = np.diff(firsts)
+                blobs = [count_vector(hashes[a:b], dimensions(int(b - a))).tobytes() for a, b in zip(firsts[:-1], firsts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([ids.slice(first, end - first), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "n", "counts"])
+
+    return counted
+
+
+def _bounded(percent: int):
+    """Components of the pairs in a task whose bound suffices. A pair is looked at where the smaller
+    set's band is, with vectors folded to that band's groups."""
+
+    def bounded(table: pa.Table) -> pa.Table:
+        nodes, sizes, side = (table.column(c).to_numpy() for c in ("doc_id", "n", "side"))
+        vectors = [np.frombuffer(x.as_buffer(), np.uint16) for x in table.column("counts")]
+        lows = bands(percent, int(sizes.max()))
+        band = np.searchsorted(lows, sizes, side="right") - 1
+        across = side.any() and not side.all()
+        found = []
+        for b in np.unique(band).tolist():
+            rows = np.flatnonzero((band == b) | (band == b + 1))
+            if across and (side[rows] == side[rows[0]]).all():
+                continue
+            groups = dimensions(int(lows[b]))
+            counts = np.array([np.minimum(vectors[k].reshape(-1, groups).sum(axis=0, dtype=np.int64), 65_535) for k in rows.tolist()]).astype(np.uint16)
+            found += bound_links(counts, sizes[rows], nodes[rows], percent, side[rows])
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        a, b = graph.local_stars(pairs[:, 0], pairs[:, 1])
+        return pa.Table.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return bounded
+
+
 def _members(size: int):
     """The shingle sets themselves."""
 
     def members(batches):
         for batch in batches:
-            ids, rest = batch.column(0), batch.columns[2:]
+            ids = batch.column(0)
             for first, end, data, offs in scan.chunks(batch.column(1)):
                 hashes, firsts = shingles(data, offs, size)
                 raw, at = hashes.tobytes(), (firsts * 8).tolist()
                 blobs = pa.array([raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([ids.slice(first, end - first), blobs, *(x.slice(first, end - first) for x in rest)], names=["doc_id", "members", *batch.schema.names[2:]])
+                yield pa.RecordBatch.from_arrays([ids.slice(first, end - first), pa.array(np.diff(firsts), pa.int64()), blobs], names=["doc_id", "n", "members"])
 
     return members
 
@@ -318,39 +396,55 @@ def _tasks(clustered: DataFrame, percent: int) -> DataFrame:
     small = (F.col("sets") <= CHUNK_SETS) & (F.col("weight") <= CHUNK_SHINGLES)
     one = F.array(F.struct(F.lit("").alias("task"), F.lit(0).alias("side")))
     rows = rows.withColumn("part", part.cast("int")).withColumn("tasks", F.when(small, one).otherwise(F.concat(own, higher, lower)))
-    return rows.select("doc_id", "root", F.explode("tasks").alias("t")).select("doc_id", "root", "t.task", "t.side")
+    return rows.select("doc_id", "n", "root", F.explode("tasks").alias("t")).select("doc_id", "n", "root", "t.task", "t.side")
+
+
+def _sized(ids: DataFrame) -> DataFrame:
+    """``ids`` (one column, kept in the shared folder) to be broadcast if they are few, else to be shuffled."""
+    ids = graph.cut_lineage(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
+
+
+def _of(texts: DataFrame, entries: DataFrame) -> DataFrame:
+    """The texts of the entries' ids."""
+    wanted = _sized(entries.select(F.col("doc_id").alias("wanted_id")).distinct())
+    return texts.join(wanted, F.col("doc_id") == F.col("wanted_id"), "left_semi")
 
 
 def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
     scan.small_batches(docs.sparkSession)
     texts = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
-    described = graph.cut_lineage(texts.mapInArrow(_described(size, percent), shape(SETS)))
-    rows = described.select("doc_id", "n", "print_a", "print_b")
+    rows = graph.cut_lineage(texts.mapInArrow(_described(size), shape(SETS)))
 
     # Classes: the smallest id of each set. Rows of one id join the classes of their sets.
-    prints = ["n", "print_a", "print_b"]
-    filled = rows.where("n > 0 and doc_id is not null")
-    classes = filled.groupBy(*prints).agg(F.min("doc_id").alias("class"))
-    classed = graph.cut_lineage(rows.join(classes.hint("merge"), prints, "left").withColumn("class", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id"))))
+    by_set = ["n", "print_a", "print_b"]
+    classes = rows.where("n > 0 and doc_id is not null").groupBy(*by_set).agg(F.min("doc_id").alias("class"))
+    classed = graph.cut_lineage(rows.join(classes.hint("merge"), by_set, "left").withColumn("class", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id"))))
     split = classed.where("doc_id is not null").groupBy("doc_id").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most").select("doc_id", "least")
     same_id = classed.join(split.hint("merge"), "doc_id").select(F.col("class").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
 
-    # Candidates.
-    total = described.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
-    heads = classes.select(F.col("class").alias("doc_id"), *prints)
-    keyed = described.where("n > 0").join(heads.hint("merge"), ["doc_id", *prints], "left_semi").select("doc_id", "keys")
-    pairs = keyed.mapInArrow(_dealt(1 + total // (8 * BUCKET_KEYS)), shape(PAIRS))
+    # Candidates: clusters of sets that share keys.
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    expected = total * 2 * (100 - percent) // percent
+    pairs = texts.where("doc_id is not null").select("text").mapInArrow(_dealt(size, percent, 1 + expected // BUCKET_KEYS), shape(PAIRS))
     stars = pairs.groupBy("_part").applyInArrow(_stars, shape(EDGES)).distinct()
     clusters = graph.components(stars)
-
-    # Verification.
     rooted = clusters.unionAll(clusters.select(F.col("root").alias("node"), "root").distinct())
-    entries = heads.select("doc_id", "n").join(rooted.hint("merge"), F.col("doc_id") == F.col("node")).select("doc_id", "n", "root")
-    tasks = _tasks(graph.cut_lineage(entries.groupBy("doc_id", "root").agg(F.max("n").alias("n"))), percent)
-    wanted = rooted.select("node")
-    sets = texts.join(wanted.hint("merge"), F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(_members(size), "doc_id long, members binary").where(F.octet_length("members") > 0)
-    dealt = sets.join(tasks.hint("merge"), "doc_id").select("doc_id", "members", "root", "task", "side")
+    node = F.col("print_a").bitwiseAND(F.lit(int(NODE_BITS)))
+    heads = classes.select(F.col("class").alias("doc_id"), "n", node.alias("node"))
+    entries = graph.cut_lineage(heads.join(rooted.hint("merge"), "node").select("doc_id", "root", "n").distinct())
+
+    # Bounds: count vectors, which are small, part the clusters by pairs that may link.
+    counted = _of(texts, entries).mapInArrow(_counted(size), "doc_id long, n long, counts binary").where("n > 0")
+    dealt = counted.join(_tasks(entries, percent).hint("merge"), ["doc_id", "n"])
+    near = graph.components(dealt.groupBy("root", "task").applyInArrow(_bounded(percent), shape(EDGES)))
+
+    # Verification, on the sets of what is left.
+    rooted = near.unionAll(near.select(F.col("root").alias("node"), "root").distinct())
+    entries = graph.cut_lineage(entries.select("doc_id", "n").join(rooted.hint("merge"), F.col("doc_id") == F.col("node")).select("doc_id", "root", "n").distinct())
+    sets = _of(texts, entries).mapInArrow(_members(size), "doc_id long, n long, members binary").where("n > 0")
+    dealt = sets.join(_tasks(entries, percent).hint("merge"), ["doc_id", "n"])
     found = dealt.groupBy("root", "task").applyInArrow(_verified(percent), shape(EDGES))
     roots = graph.components(found.unionAll(same_id))
     done = classed.join(roots.hint("merge"), F.col("class") == F.col("node"), "left")
@@ -365,7 +459,7 @@ def representatives(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
     while name in docs.columns:
         name = "_" + name
     keyed = docs.withColumn(name, F.col("doc_id").cast("long"))
-    return keyed.join(gone.hint("merge"), F.col(name) == F.col("gone_id"), "left_anti").drop(name)
+    return keyed.join(_sized(gone), F.col(name) == F.col("gone_id"), "left_anti").drop(name)
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
