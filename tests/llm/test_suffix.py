@@ -93,3 +93,22 @@ def test_removal_in_many_small_shards(spark, monkeypatch):
     assert bag(substrings.dedup(docs, digest=True)) == want
     kept = Counter((i, k.decode(errors="ignore") if c else t) for (i, t), (_, _, c, _, k) in zip(rows, brute(rows, 50), strict=True))
     assert bag(substrings.dedup(docs)) == kept
+
+
+def test_copies_in_one_batch_with_the_smallest_id_last(spark, monkeypatch):
+    """The smallest id of equal texts gives the fragments, so its bucket must get their anchors."""
+    monkeypatch.setattr(substrings, "TEXT_BYTES", 300)
+    r = random.Random(9)
+    text = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    rows = []
+    for group in range(40):
+        whole, ids = text(200), sorted(r.sample(range(group * 100, group * 100 + 100), 6), reverse=True)
+        copies, sharer = (ids[1:], ids[0]) if group % 2 else (ids[:-1], ids[-1])
+        rows += [*((i, whole) for i in copies), (sharer, text(40) + whole[70:150] + text(40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    import hashlib
+    from collections import Counter
+
+    want = Counter((i, n, c, s, hashlib.sha256(k).hexdigest()) for i, n, c, s, k in brute(rows, 50))
+    assert sum(c > 0 for (_, _, c, _, _) in want) > 160
+    assert bag(substrings.dedup(docs, digest=True)) == want

@@ -17,7 +17,7 @@ windows with one anchor make a fragment.
 
 Copies of an entire text are found by digest, aggregated before the shuffle: a copy of a
 smaller id's text goes at once, whole, and takes no part in the rest; copies in one batch
-give anchors once. An anchor is in a document at most once, so one anchor's share of
+give anchors once, as the smallest id among them. An anchor is in a document at most once, so one anchor's share of
 the rows is small where documents have many. Buckets and shards hold a bounded number of
 bytes of text; their count follows the input.
 
@@ -87,8 +87,23 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int):
     return begins[keep], ends[keep], scan.mix(low[begins[keep]])
 
 
+def _smallest_of_equal(column, ids: np.ndarray) -> np.ndarray:
+    """Of the rows of each distinct text, the one with the smallest id."""
+    best: dict[tuple, int] = {}
+    for first, end, data, offs in scan.chunks(column, CHUNK):
+        sums = scan.prefix(scan._byte_values()[data])
+        whole = zip(scan.span(sums, offs[:-1], offs[1:]).tolist(), np.diff(offs).tolist(), strict=True)
+        for k, x in zip(range(first, end), whole, strict=True):
+            if x not in best or ids[k] < ids[best[x]]:
+                best[x] = k
+    chosen = np.zeros(len(ids), bool)
+    chosen[list(best.values())] = True
+    return chosen
+
+
 def _anchor_rows(parts: int, length: int, gram: int):
-    """Packed (anchor, document) pairs, each once per batch."""
+    """Packed (anchor, document) pairs, each once per batch; of equal texts in a batch the smallest
+    document has them, as copies of it take no part in the rest."""
 
     def dealt(batches):
         keys, docs, held = [], [], 0
@@ -102,14 +117,11 @@ def _anchor_rows(parts: int, length: int, gram: int):
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            seen = set()
+            chosen = _smallest_of_equal(batch.column(1), ids)
             for first, end, data, offs in scan.chunks(batch.column(1), CHUNK):
-                sums = scan.prefix(scan._byte_values()[data])
-                whole = list(zip(scan.span(sums, offs[:-1], offs[1:]).tolist(), np.diff(offs).tolist(), strict=True))
-                fresh = np.array([not (x in seen or seen.add(x)) for x in whole], bool)
                 begins, _, key = anchors(data, offs, length, gram)
                 text = np.searchsorted(offs, begins, side="right") - 1
-                keep = fresh[text]
+                keep = chosen[first:end][text]
                 key, text = key[keep], text[keep]
                 order = np.lexsort((key, text))
                 key, text = key[order], text[order]
