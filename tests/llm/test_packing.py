@@ -39,6 +39,21 @@ def test_pieces(spark, small, reference):
     assert ((sizes & (sizes - 1)) == 0).all() and sizes.max() <= packing.CAPACITY
 
 
+def test_special_tokens_in_texts_are_those_of_the_library_as_it_stands(spark, small, awkward):
+    library = Tokenizer.from_file(str(public_tokenizers.path(packing.VOCABULARY)))
+    end = "<|endoftext|>"
+    texts = [r[1] or "" for r in awkward] + [f"hello {end} world", end, end * 3, f"a{end}b", f" {end}\n\n{end}  x", f"it{end}'s", "<|endoftext|", "<|ENDOFTEXT|>", f"é{end}é", f"<|{end}|>"]
+    texts += [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pieces = packing.pack(docs, packing.default_vocabulary(), ids=True).toPandas()
+    for doc_id, text in enumerate(texts):
+        want = np.array([*library.encode(text, add_special_tokens=False).ids, packing.END_ID], "<u4")
+        own = pieces[pieces.doc_id == doc_id].sort_values("start")
+        assert np.concatenate(own.ids.to_list()).tolist() == want.tolist()
+        assert (own.doc_tokens == len(want)).all()
+        assert [zlib.crc32(want[p.start : p.start + p.length].tobytes()) for p in own.itertuples()] == own.ids_crc32.to_list()
+
+
 def test_level_choice_minimises_the_sum_of_squares():
     r = np.random.default_rng(1)
     levels = packing.Levels(32)

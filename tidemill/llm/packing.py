@@ -46,13 +46,13 @@ def byte_letters() -> dict[str, int]:
 
 def encoder(path: str) -> tiktoken.Encoding:
     """The byte-level BPE of a tokenizers file. Its ids rise in the order of its merges, so they
-    serve as ranks; strings of special tokens are ordinary text."""
+    serve as ranks; a special token's string in a text is that token, as in the library."""
     with open(path, encoding="utf-8") as file:
         stored = json.load(file)
-    special = {x["content"] for x in stored["added_tokens"]}
+    special = {x["content"]: x["id"] for x in stored["added_tokens"]}
     letters = byte_letters()
     ranks = {bytes(letters[c] for c in token): k for token, k in stored["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
 
 
 class Levels:
@@ -170,7 +170,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, ids: bool =
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tokens = np.append(encode(text.as_py() or "", disallowed_special=()), np.uint32(END_ID))
+                tokens = np.append(encode(text.as_py() or "", allowed_special="all"), np.uint32(END_ID))
                 for sequence in packer.add(doc, tokens):
                     place(sequence)
                 if len(rows) > 20_000:
