@@ -2,6 +2,7 @@
 
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -125,3 +126,19 @@ def test_licences(spark):
     assert len({r["digest"] for r in licences.scan(spark.createDataFrame(rows[:2], "doc_id long, text string")).collect()}) <= 2
     with pytest.raises(ValueError):
         licences.known(spark, {str(k): str(k) for k in range(licences.LIMIT + 1)})
+
+
+def test_whole_licences_with_and_without_title(spark):
+    # Line breaks and capitals of a whole licence are of no account.
+    wrapped = "Copyright (c) 2020 A. Person\nAll rights reserved.\n\n" + licences.KNOWN["MIT"].upper().replace(", ", ",\n  ")
+    texts = {file.stem: file.read_text(encoding="utf-8") for file in (Path(licences.__file__).parent / "licence_texts").glob("*.txt")}
+    apache, gpl, cc0 = texts["Apache-2.0"], texts["GPL-3.0"], texts["CC0-1.0"]
+    cases = [("MIT", wrapped), *texts.items()]
+    cases += [(name, f"{title}\n\nCopyright (c) 2021 B. Person\n\n{licences.KNOWN[name]}\n") for name, titles in licences.TITLES.items() for title in titles]
+    cases += [("Apache-2.0", apache.replace("[yyyy] [name of copyright owner]", "2022 C. Person")), ("Apache-2.0", apache[: apache.index("APPENDIX")]), ("Apache-2.0", apache[apache.index("TERMS AND COND") :])]
+    cases += [("GPL-3.0", gpl[gpl.index("Copyright (C)") :]), ("GPL-3.0", gpl.replace("https:", "http:")), ("CC0-1.0", cc0[cc0.index("CREATIVE COMMONS CORP") :]), ("CC0-1.0", cc0[cc0.index("CC0 1.0 Univ") :])]
+    cases += [(None, apache + "\nand more"), (None, gpl[: len(gpl) // 2]), (None, "MIT License"), (None, "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/")]
+    docs = spark.createDataFrame([(k, text) for k, (_, text) in enumerate(cases)], "doc_id long, text string")
+    found = {r["doc_id"]: r["licence"] for r in licences.scan(docs).collect()}
+    assert len(texts) >= 14
+    assert [found[k] for k in range(len(cases))] == [name for name, _ in cases]

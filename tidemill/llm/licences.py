@@ -7,6 +7,10 @@ canonical form of the entire text is joined to the digests of known licences, ma
 by the same functions from their texts. ``LIMIT`` bounds the known licences, and
 that bound is checked, so their table is broadcast.
 
+Unless others are given, the known licences are ``KNOWN`` and the files of
+``licence_texts``, in the forms in which whole licences are found (``forms``): with and
+without the title, the appendix on how to apply them, and a filled-in copyright line.
+
 Every document gets a row. A text that merely contains a licence does not match.
 
 Defined results: a null text counts as empty; an empty canonical form matches
@@ -14,6 +18,10 @@ nothing; null or repeated ids are kept; an empty table gives no rows; other colu
 are ignored, whatever their names.
 """
 
+import functools
+import importlib.resources
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +80,20 @@ KNOWN = {
     "GPL-3.0-short": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0-short": "Licensed under CC BY-NC 4.0.",
 }
+#: Titles above texts that have none of their own.
+_BSD_TITLES = ("BSD License", "The BSD License")
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "MIT License (MIT)", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"),
+    "BSD-2-Clause": (*_BSD_TITLES, "BSD 2-Clause License", "The BSD 2-Clause License", "2-Clause BSD License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License"),
+    "BSD-3-Clause": (*_BSD_TITLES, "BSD 3-Clause License", "The BSD 3-Clause License", "3-Clause BSD License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "zlib License (zlib)", "zlib/libpng License", "The zlib/libpng License"),
+}
+#: Paragraphs of title at the head of a file of ``licence_texts``, if not one.
+TITLE_PARAGRAPHS = {"BSD-3-Clause": 0, "CC0-1.0": 2}
+#: The line after which a text only says how to apply it, and a copyright line to fill in.
+TERMS_END = "END OF TERMS AND CONDITIONS"
+TO_FILL_IN = "Copyright [yyyy] [name of copyright owner]"
 #: Spellings that count as the same.
 SPELLINGS = (
     ("acknowledgement", "acknowledgment"),
@@ -108,20 +130,44 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SEPARATORS, " "))
 
 
-def known(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
+def forms(name: str, text: str, title_paragraphs: int) -> set[str]:
+    """A licence's text as whole documents have it."""
+    found = {text, text.replace(TO_FILL_IN, "")}
+    if TERMS_END in text:
+        head = text[: text.index(TERMS_END)]
+        found |= {head, head + TERMS_END}
+    for whole in list(found):
+        paragraphs = re.split(r"\n\s*\n", whole.strip())
+        found |= {"\n\n".join(paragraphs[k + 1 :]) for k in range(title_paragraphs)}
+    found |= {f"{title}\n\n{text}" for title in TITLES.get(name, ())}
+    # Newer copies of one text give its links with https.
+    return found | {x.replace("http://", "https://") for x in found} | {x.replace("https://", "http://") for x in found}
+
+
+@functools.cache
+def included() -> tuple[tuple[str, str], ...]:
+    """(licence, text) of every form of the texts that this module has."""
+    rows = {(name, form) for name, text in KNOWN.items() for form in forms(name, text, 0)}
+    for file in importlib.resources.files(__package__).joinpath("licence_texts").iterdir():
+        name = file.name.removesuffix(".txt")
+        rows |= {(name, form) for form in forms(name, file.read_text(encoding="utf-8"), TITLE_PARAGRAPHS.get(name, 1))}
+    return tuple(sorted(rows))
+
+
+def known(spark: SparkSession, texts: dict[str, str] | tuple[tuple[str, str], ...]) -> DataFrame:
     if len(texts) > LIMIT:
         raise ValueError(f"{len(texts)} known licences; at most {LIMIT} are broadcast")
-    rows = spark.createDataFrame(list(texts.items()), "licence string, licence_text string")
+    rows = spark.createDataFrame(list(texts.items() if isinstance(texts, dict) else texts), "licence string, licence_text string")
     digest = F.sha2(canonical(F.col("licence_text")).cast("binary"), 256)
     return rows.groupBy(digest.alias("digest")).agg(F.min("licence").alias("licence"))
 
 
-def scan(docs: DataFrame, texts: dict[str, str] = KNOWN) -> DataFrame:
+def scan(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
     """doc_id, canonical_chars, digest, licence (null: none) of every row of ``docs``."""
     form = docs.select("doc_id", canonical(F.col("text")).alias("form"))
     digests = form.select("doc_id", F.char_length("form").cast("long").alias("canonical_chars"), F.sha2(F.col("form").cast("binary"), 256).alias("digest"))
     found = F.when(F.col("canonical_chars") > 0, F.col("licence")).alias("licence")
-    return digests.join(F.broadcast(known(docs.sparkSession, texts)), "digest", "left").select("doc_id", "canonical_chars", "digest", found)
+    return digests.join(F.broadcast(known(docs.sparkSession, included() if texts is None else texts)), "digest", "left").select("doc_id", "canonical_chars", "digest", found)
 
 
 def op10_licences(spark, sf_dir: str) -> DataFrame:
