@@ -57,3 +57,20 @@ def test_marginals_by_enumeration():
         for a, b in itertools.pairwise(y):
             want[a, b] += w / total
     assert np.allclose(both, want)
+
+
+def test_long_notice_without_a_telling_name():
+    prose = "The river rose in the night, and by morning the lower fields were under water. The farmers moved their animals to the hill. "
+    notice = "We value your choices. Cookies help us to remember them, and our privacy policy explains how. You may subscribe to the newsletter at any time. " * 3 + "All rights reserved."
+    other = "Historians still argue over the copyright of these letters, which the family sold to the museum. " + prose * 4
+    assert len(notice) > 400
+    texts = [(prose * 5).strip(), other.strip(), (prose * 4).strip()]
+    for tag, head, tail in (("p", "", ""), ("div", "", ""), ("p", '<div class="content">', "</div>"), ("p", "<article>", "</article>")):
+        blocks = [f"<{tag}>{x}</{tag}>" for x in texts]
+        page = f"<html><body>{head}{''.join(blocks)}<{tag}>{notice}</{tag}>{tail}</body></html>"
+        assert extract.train().main_text(page) == "\n".join(texts)
+
+
+def test_formulas_are_shown_without_annotations():
+    page = '<p>So <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding="application/x-tex">x = {2}</annotation></semantics></math> holds.'
+    assert [x.text for x in dom.leaves(page, None, lambda c, t, a: None)] == ["So x=2 holds."]

@@ -2,7 +2,7 @@
 
 A tolerant scanner: tags need not be closed or nested well, quotes may hold ``>``,
 and a reference may lack its semicolon. Scripts, styles and other raw elements, and
-the head, give no text.
+the head, give no text; formulas give what is shown of them, without annotations.
 """
 
 import html
@@ -17,7 +17,7 @@ BLOCK = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
-INERT = frozenset("head template svg math object audio video canvas datalist".split())
+INERT = frozenset("head template svg annotation annotation-xml object audio video canvas datalist".split())
 #: What an opening tag closes, if it is open inside the nearest listed scope.
 CLOSES = {
     "li": ("li", "ul ol menu"),

@@ -24,6 +24,8 @@ from tidemill.llm import dom, scan, training_pages
 PAGES, STEPS, RATE, DECAY = 400, 250, 0.15, 1e-4
 #: Words that tell notices, adverts and footers.
 CUES = ("cookie", "privacy", "subscribe", "newsletter", "rights reserved", "copyright", "©", "log in", "sign up", "advert", "powered by", "wrote:")
+#: Characters from which a block's cues are counted instead of named.
+LONG = 400
 NAME_WORD = re.compile(r"[a-z]+")
 
 
@@ -39,7 +41,8 @@ def names_of(tag: str, attributes: dict) -> list[str]:
 def text_features(leaf: dom.Leaf) -> list[str]:
     text = leaf.text
     n = len(text)
-    low = text.lower() if n < 400 else ""
+    low = text.lower()
+    cues = [cue for cue in CUES if cue in low]
     found = [
         f"own:{leaf.tag}",
         f"size:{min(n.bit_length(), 11)}",
@@ -47,7 +50,10 @@ def text_features(leaf: dom.Leaf) -> list[str]:
         f"end:{text[-1] if text[-1] in '.!?:,' else 'x'}",
         f"comma:{',' in text}",
     ]
-    return found + [f"cue:{cue}" for cue in CUES if cue in low]
+    if n < LONG:
+        return found + [f"cue:{cue}" for cue in cues]
+    # A long article may hold a cue or two; how many different ones tells a long notice.
+    return found + ([f"long-cues:{min(len(cues), 4)}"] if cues else [])
 
 
 class Model:
@@ -121,7 +127,7 @@ def _marginals(scores, mask, pairs):
 
 @functools.cache
 def train(count: int = PAGES, steps: int = STEPS) -> Model:
-    pages = [x for x in map(_labelled, training_pages.pages(count)) if x]
+    pages = [x for x in map(_labelled, training_pages.pages(count) + training_pages.long_notices(count // 4)) if x]
     ids: dict[str, int] = {}
     for page in pages:
         for names, _ in page:

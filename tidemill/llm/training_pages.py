@@ -21,6 +21,11 @@ HEAD = ("site-header", "masthead", "top", "header", "branding")
 FOOT = ("footer", "site-footer", "bottom", "copyright", "legal")
 NAV = ("nav", "menu", "navbar", "navigation", "toc")
 NOTICE_TEXT = ("We use cookies to improve this site.", "By continuing you accept our privacy policy.", "Subscribe to our newsletter for updates.", "Please log in to continue reading.")
+LONG_TEXT = (
+    "We and our partners use cookies to store and read information on your device.", "Read our privacy policy to learn how we handle your data.", "Subscribe to our newsletter for updates.",
+    "All rights reserved.", "Copyright of the texts stays with their authors.", "Log in or sign up to manage your choices.", "Adverts help us to keep this site free.", "This site is powered by its readers.",
+)
+CUE_WORDS = ("cookie", "privacy", "copyright", "newsletter", "advert", "subscribe")
 FOOT_TEXT = ("All rights reserved.", "Privacy Terms Contact", "Powered by")
 SYLLABLES = "ba de fi go hu ka le mi no pu ra se ti vo wu xa ye zo ch sch tion ment ing ou".split()
 
@@ -123,7 +128,33 @@ class Writer:
         main = "".join(self.main() for _ in range(r.choice((1, 1, 1, 2))))
         return f'<html><head><title>{self.sentence(1, 4)}</title></head><body data-y="0">{"".join(before)}{main}{"".join(after)}</body></html>'
 
+    def long_prose(self, extra: list[str]) -> str:
+        """At least 400 characters with the given parts among the sentences."""
+        parts = list(extra)
+        while sum(map(len, parts)) < 420 or self.r.random() < 0.6:
+            parts.append(self.sentence(6, 20))
+        self.r.shuffle(parts)
+        return " ".join(parts)
+
+    def long_page(self) -> str:
+        """Long notices in elements without telling names, and articles with a cue or two."""
+        r = self.r
+        tags = lambda y: (t := r.choice(("p", "div")), f'<{t} data-y="{y}">', f"</{t}>")[1:]
+        parts = []
+        for _ in range(r.choice((3, 4, 6))):
+            a, b = tags(1)
+            parts.append(a + self.long_prose(r.sample(CUE_WORDS, r.choice((0, 0, 1, 2)))) + b)
+        for _ in range(r.choice((1, 1, 2))):
+            a, b = tags(0)
+            parts.insert(r.choice((0, len(parts), r.randint(0, len(parts)))), a + self.long_prose(r.sample(LONG_TEXT, r.randint(3, len(LONG_TEXT)))) + b)
+        return f'<html><body data-y="0">{"".join(parts)}</body></html>'
+
 
 def pages(count: int, seed: int = 1) -> list[str]:
     writer = Writer(seed)
     return [writer.page() for _ in range(count)]
+
+
+def long_notices(count: int, seed: int = 2) -> list[str]:
+    writer = Writer(seed)
+    return [writer.long_page() for _ in range(count)]
