@@ -102,7 +102,8 @@ def test_run_gives_the_last_stage(spark, stages):
     assert Counter(map(tuple, found[key].drop_duplicates().to_numpy().tolist())) == Counter(map(tuple, stages[5][key].drop_duplicates().to_numpy().tolist()))
 
 
-def test_components_of_random_graphs(spark):
+@pytest.mark.parametrize("per_task", [graph.PER_TASK, 40, 1])
+def test_components_of_random_graphs(spark, per_task):
     r = random.Random(6)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(1000 + k, 1001 + k) for k in range(60)]
     root = {x: x for e in edges for x in e}
@@ -115,7 +116,8 @@ def test_components_of_random_graphs(spark):
     for a, b in edges:
         a, b = sorted((find(a), find(b)))
         root[b] = a
-    found = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    given = spark.createDataFrame([*edges, (None, 1), (2, None), (None, None)], "a long, b long").repartition(7)
+    found = {r["node"]: r["root"] for r in graph.components(given, per_task).collect()}
     assert found == {x: find(x) for x in root if find(x) != x}
     a, b = graph.local_stars(np.array([e[0] for e in edges]), np.array([e[1] for e in edges]))
     assert dict(zip(a.tolist(), b.tolist(), strict=True)) == found

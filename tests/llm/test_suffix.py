@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -11,9 +12,9 @@ def symbols(text: bytes) -> np.ndarray:
     return np.append(np.frombuffer(text, np.uint8).astype(np.int32) + 1, 0)
 
 
-@pytest.mark.parametrize("per_bucket", [suffix.PER_BUCKET, 0])
-def test_order_is_that_of_sorting(monkeypatch, per_bucket):
-    monkeypatch.setattr(suffix, "PER_BUCKET", per_bucket)
+@pytest.mark.parametrize("buckets", [suffix.BUCKETS, 0])
+def test_order_is_that_of_sorting(monkeypatch, buckets):
+    monkeypatch.setattr(suffix, "BUCKETS", buckets)
     r = random.Random(4)
     for _ in range(150):
         word = bytes(r.choice(b"abc") for _ in range(r.randint(1, 20)))
@@ -23,7 +24,30 @@ def test_order_is_that_of_sorting(monkeypatch, per_bucket):
             assert suffix.suffix_array(t).tolist() == sorted(range(len(t)), key=lambda i: plain[i:])  # noqa: B023
 
 
-def test_order_up_to_a_depth():
+def test_names_are_sorted_recursively(monkeypatch, spark, small):
+    """Every level whose names are not all different goes to the next, down to different names."""
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    t = symbols("\n".join(texts).encode()[:400_000])
+    levels, plain = [], suffix.suffix_array
+    monkeypatch.setattr(suffix, "suffix_array", lambda text, depth=None: (levels.append(len(text)), plain(text, depth))[1])
+    order = suffix.suffix_array(t, 50)
+    assert len(levels) >= 4 and all(b * 2 <= a for a, b in itertools.pairwise(levels))
+    raw = t.tolist()
+    heads = [raw[i : i + 50] for i in order.tolist()]
+    assert all(a <= b for a, b in itertools.pairwise(heads))
+
+
+def test_long_runs_and_periods():
+    for text in (b"=" * 300_000 + b"a" + b"=" * 200_000, b"ab" * 150_000, b"abc" * 90_000 + b"z" + b"abc" * 90_000, bytes(range(1, 250)) * 900):
+        order = suffix.suffix_array(symbols(text), 50)
+        padded = text + bytes(50)
+        heads = [padded[i : i + 50] for i in order.tolist()]
+        assert heads == sorted(heads) and len(set(order.tolist())) == len(text) + 1
+
+
+@pytest.mark.parametrize("buckets", [suffix.BUCKETS, 0])
+def test_order_up_to_a_depth(monkeypatch, buckets):
+    monkeypatch.setattr(suffix, "BUCKETS", buckets)
     t = symbols(bytes(random.Random(5).choice(b"ab") for _ in range(3000)) * 2)
     heads = [t[i : i + 12].tolist() for i in suffix.suffix_array(t, 12)]
     assert heads == sorted(heads)
@@ -112,3 +136,21 @@ def test_copies_in_one_batch_with_the_smallest_id_last(spark, monkeypatch):
     want = Counter((i, n, c, s, hashlib.sha256(k).hexdigest()) for i, n, c, s, k in brute(rows, 50))
     assert sum(c > 0 for (_, _, c, _, _) in want) > 160
     assert bag(substrings.dedup(docs, digest=True)) == want
+
+
+def test_regular_texts_are_told_apart(spark):
+    """Polynomial hashes modulo 2**64 take the two Thue-Morse words of 2,048 letters for one."""
+    import hashlib
+    from collections import Counter
+
+    x, y = ("".join(letters[bin(k).count("1") % 2] for k in range(2048)) for letters in ("ab", "ba"))
+    rows = [(1, x), (2, y), (3, f"{x}{y}"), (4, f"q{x}"), (5, f"{y}r"), (None, x), (6, "=" * 5000), (7, "=" * 300 + "!")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = Counter((i, n, c, s, hashlib.sha256(k).hexdigest()) for i, n, c, s, k in brute(rows, 50))
+    assert bag(substrings.dedup(docs, digest=True)) == want
+
+
+def test_ranges_are_compared_by_their_bytes():
+    data = np.frombuffer(b"abcdefghijabcdefghijabcdefghiXabcdefgh1abcdefgh2", np.uint8)
+    begins, sizes = np.array([0, 10, 20, 30, 39]), np.array([10, 10, 10, 9, 9])
+    assert substrings._as_before(data, begins, sizes, np.array([False, True, True, False, True])).tolist() == [False, True, False, False, False]

@@ -1,24 +1,34 @@
 """Connected components of a distributed graph.
 
-Alternating large-star and small-star steps bring every node next to the smallest node
-of its component in a number of rounds that grows with the logarithm of the longest
-path. A step groups edges by node for a minimum, which combines before the shuffle, and
+Edges are first replaced, partition by partition, by stars around the smallest nodes that a
+union-find shows; where at most ``PER_TASK`` are left, which is checked, one task finishes them so. Alternating large-star and small-star steps then bring every node next to the
+smallest node of its component in a number of rounds that grows with the logarithm of the
+longest path. A step groups edges by node for a minimum, which combines before the shuffle, and
 joins that minimum back; no node's edges are ever gathered. Lineage is cut after each
 round by a checkpoint in the folder that ``spark.checkpoint.dir`` names.
+
+Null nodes are no nodes: edges with one are left out.
 """
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Edges (16 bytes each) that one task takes.
+PER_TASK = 1 << 20
+
 
 def shared_folder(spark) -> str:
-    """The checkpoint folder of the session, set to a new temporary one only where it is unset."""
+    """The folder that ``spark.checkpoint.dir`` names, or the context's checkpoint folder. Only where neither is
+    set, and the master is local, a new temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         folder = tempfile.mkdtemp(prefix="checkpoints")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
@@ -30,6 +40,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, for large rows that several steps read."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Each partition's edges (high, low) as stars around the smallest nodes of their components."""
+
+    def stars(batches):
+        found = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if found:
+            high, low = local_stars(*map(np.concatenate, zip(*found, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(high), pa.array(low)], names=["high", "low"])
+
+    return edges.mapInArrow(stars, "high long, low long")
+
+
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
     """Every node tells its smallest neighbour (or itself) to its larger or other neighbours."""
     both = edges if not larger else edges.unionAll(edges.select(F.col("low").alias("high"), F.col("high").alias("low")))
@@ -79,14 +108,15 @@ def local_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[rest], nodes[roots[rest]]
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, per_task: int = PER_TASK) -> DataFrame:
     """(node, root) of every node of an edge but the roots; edges are columns ``a`` and ``b``."""
-    stars = edges.select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).where("high > low").distinct()
-    stars = cut_lineage(stars)
-    mark = _mark(stars)
-    while mark[0]:
+    stars = edges.select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).where("a is not null and b is not null and high > low")
+    stars = cut_lineage(contracted(stars))
+    before = (-1, 0)
+    # While the edges are more than a task takes; else a union-find has them all at once.
+    while (mark := _mark(stars)) != before and mark[0] > per_task:
+        before = mark
+        stars = contracted(stars.coalesce(1 + mark[0] // per_task))
         stars = cut_lineage(_star(_star(stars, True), False))
-        mark, before = _mark(stars), mark
-        if mark == before:
-            break
-    return stars.select(F.col("high").alias("node"), F.col("low").alias("root"))
+    found = contracted(stars.coalesce(1)) if mark[0] <= per_task else stars
+    return found.select(F.col("high").alias("node"), F.col("low").alias("root"))

@@ -8,23 +8,27 @@ operations per byte and no loop over texts. Chunks bound the memory: a chunk hol
 
 import contextlib
 import ctypes
+import hashlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 2 << 20
-#: Rows handed to Python at once; a batch of long texts must fit in memory.
-BATCH_ROWS = 1000
+#: Rows and bytes handed to Python at once; a batch of long texts must fit in memory.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
 def small_batches(spark) -> None:
-    """Lowers Spark's rows per Arrow batch to BATCH_ROWS; texts may be long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lowers the session's limits of an Arrow batch to BATCH_ROWS and BATCH_BYTES, and leaves lower ones.
+
+    Spark reads them when a query runs, so they stay lowered; no result depends on them."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < int(spark.conf.get(key).removesuffix("b")) <= most:
+            spark.conf.set(key, str(most))
 
 
 def give_back() -> None:
@@ -143,11 +147,35 @@ def prefix(values: np.ndarray) -> np.ndarray:
 
 
 def span(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each range that depends on its values and length only."""
+    """A hash of each range that depends on its values and length only. Different long ranges of
+    regular structure may have one hash, so equal hashes do not prove equal ranges."""
     _, down = POWERS.get(len(sums))
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def same_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(number of each range's bytes, the bytes of each number): ranges have one number if, and only
+    if, their bytes are equal. Ranges rise, are not empty and do not overlap."""
+    edges = np.zeros(len(data) + 1, np.int8)
+    edges[starts] = 1
+    edges[ends] -= 1
+    inside = data[np.cumsum(edges[:-1], dtype=np.int8).view(bool)]
+    offs = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=offs[1:])
+    ranges = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offs), pa.py_buffer(inside)])
+    numbered = ranges.dictionary_encode()
+    return numbered.indices.to_numpy().astype(np.int64), numbered.dictionary
+
+
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of a 128-bit BLAKE2b digest of each range; see ``same_bytes``."""
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    number, distinct = same_bytes(data, starts, ends)
+    halves = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in distinct.to_pylist()), "<u8").reshape(-1, 2)
+    return halves[number, 0], halves[number, 1]
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return span(prefix(_byte_values()[data]), starts, ends)
 
@@ -163,6 +191,19 @@ def windows(hashes: np.ndarray, firsts: np.ndarray, size: int) -> tuple[np.ndarr
     return at, span(prefix(hashes), at, at + size)
 
 
+def combined(*columns: tuple[np.ndarray, int]) -> np.ndarray:
+    """A number per row that is equal where all columns are; each is given with an upper bound of its
+    numbers (excluded)."""
+    value, span = columns[0][0].astype(np.int64), max(1, columns[0][1])
+    for more, bound in columns[1:]:
+        bound = max(1, bound)
+        if span * bound >= 1 << 62:
+            distinct, value = np.unique(value, return_inverse=True)
+            span = max(1, len(distinct))
+        value, span = value * bound + more, span * bound
+    return value
+
+
 def tally(values: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     """Sums of the values per text."""
     sums = np.zeros(len(values) + 1, np.int64)

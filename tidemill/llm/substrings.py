@@ -15,11 +15,12 @@ windows with one anchor make a fragment.
    ``LENGTH`` form a class with a smallest document id; what is larger loses its windows.
 4. Texts meet the cuts, bucket by bucket.
 
-Copies of an entire text are found by digest, aggregated before the shuffle: a copy of a
-smaller id's text goes at once, whole, and takes no part in the rest; copies in one batch
-give anchors once, as the smallest id among them. An anchor is in a document at most once, so one anchor's share of
-the rows is small where documents have many. Buckets and shards hold a bounded number of
-bytes of text; their count follows the input.
+Copies of an entire text are found by digest (128 bits), aggregated before the shuffle, with
+digests of very many rows joined by broadcast: a copy of a smaller id's text goes at once,
+whole, and takes no part in the rest; copies in one batch give anchors once, as the smallest id
+among them. Fragments count as equal by their bytes. An anchor is in a document at most once, so
+one anchor's share of the rows is small where documents have many. Buckets and shards hold a
+bounded number of bytes of text; their count follows the input. Rows with a null id are in no bucket.
 
 Defined results: a null text counts as empty; a row with a null id loses nothing and
 removes nothing; rows of one id never remove from one another; repeated rows are all
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm import packed, scan, suffix
+from tidemill.llm import graph, packed, scan, skew, suffix
 
 LENGTH, GRAM = 50, 20
 CHUNK = 1 << 19
@@ -89,13 +90,13 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int):
 
 def _smallest_of_equal(column, ids: np.ndarray) -> np.ndarray:
     """Of the rows of each distinct text, the one with the smallest id."""
-    best: dict[tuple, int] = {}
+    best: dict[bytes, int] = {}
     for first, end, data, offs in scan.chunks(column, CHUNK):
-        sums = scan.prefix(scan._byte_values()[data])
-        whole = zip(scan.span(sums, offs[:-1], offs[1:]).tolist(), np.diff(offs).tolist(), strict=True)
-        for k, x in zip(range(first, end), whole, strict=True):
-            if x not in best or ids[k] < ids[best[x]]:
-                best[x] = k
+        raw = memoryview(data)
+        for k in range(first, end):
+            text = hashlib.blake2b(raw[offs[k - first] : offs[k - first + 1]], digest_size=16).digest()
+            if text not in best or ids[k] < ids[best[text]]:
+                best[text] = k
     chosen = np.zeros(len(ids), bool)
     chosen[list(best.values())] = True
     return chosen
@@ -265,6 +266,7 @@ def _cuts(length: int):
         docs, slots, places, sizes, keys, buckets, hashes, offs = docs[order], slots[order], places[order], sizes[order], keys[order], buckets[order], hashes[order], offs[:-1][order]
         new = np.ones(len(order), bool)
         new[1:] = (hashes[1:] != hashes[:-1]) | (keys[1:] != keys[:-1]) | (sizes[1:] != sizes[:-1])
+        new |= ~_as_before(data, offs, sizes, ~new)
         group = np.cumsum(new) - 1
         heads = np.flatnonzero(new)
         # Sorted in blocks; all fragments of an anchor are in one.
@@ -294,6 +296,22 @@ def _cuts(length: int):
     return found
 
 
+def _as_before(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each range that is ``asked`` for equal those of the range before, of the same size."""
+    padded = np.append(data, np.zeros(8, np.uint8))
+    words = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    same = asked.copy()
+    rest, k = np.flatnonzero(asked), 0
+    while len(rest):
+        left = sizes[rest] - k
+        differ = words[begins[rest] + k] ^ words[begins[rest - 1] + k]
+        # Of the last word only the bytes of the range count, which are its lowest.
+        differ <<= (8 * np.maximum(8 - left, 0)).astype(np.uint64)
+        same[rest[differ != 0]] = False
+        rest, k = rest[(differ == 0) & (left > 8)], k + 8
+    return same
+
+
 def _slices(offs: np.ndarray, limit: int):
     first, n = 0, len(offs) - 1
     while first < n:
@@ -384,28 +402,33 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, digest: bool
     buckets = packed.prime_from(1 + total // TEXT_BYTES)
     bucket = F.coalesce(F.pmod(F.col("doc_id"), F.lit(buckets)), F.lit(0)).cast("int")
 
-    # Copies of an entire text, by digest; the aggregation combines before its shuffle.
-    digests = texts.where("doc_id is not null").select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
-    smallest = digests.groupBy("digest").agg(F.min("doc_id").alias("smallest"))
-    copies = digests.join(smallest.hint("merge"), "digest").where("doc_id > smallest").select(bucket.alias("_bucket"), "doc_id", "digest")
+    # Copies of an entire text, by digest.
+    digests = texts.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("digest"))
+    copies = skew.with_least(graph.written(digests, "digests"), ["digest"], "doc_id", "smallest").where("doc_id > smallest").select(bucket.alias("_bucket"), "doc_id", "digest")
 
     def noted(table: pa.Table) -> pa.Table:
-        ids, hexes = table.column("doc_id").to_numpy(), table.column("digest").to_pylist()
-        return pa.Table.from_batches([packed.batch(NOTES, [(table.column("_bucket")[0].as_py(), COPIES, len(ids), packed.pack(ids), bytes.fromhex("".join(hexes)), None)])])
+        ids, found = table.column("doc_id").to_numpy(), b"".join(table.column("digest").to_pylist())
+        return pa.Table.from_batches([packed.batch(NOTES, [(table.column("_bucket")[0].as_py(), COPIES, len(ids), packed.pack(ids), found, None)])])
 
     copies = copies.groupBy("_bucket").applyInArrow(noted, shape(NOTES))
     pairs = texts.where("doc_id is not null").selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_anchor_rows(parts, length, gram), shape(ANCHORS))
     keys = pairs.groupBy("_part").applyInArrow(_repeated(buckets), shape(NOTES))
 
     name = _free("_bucket", docs.columns)
-    side = (texts if digest else docs).withColumn(name, bucket)
+    side = (texts if digest else docs).where("doc_id is not null").withColumn(name, bucket)
     held = side.groupBy(name)
     fragments = held.cogroup(keys.unionAll(copies).groupBy("_bucket")).applyInArrow(_fragments(shards, length, gram, "doc_id", "text"), shape(FRAGMENTS))
     cuts = fragments.groupBy("_shard").applyInArrow(_cuts(length), shape(NOTES))
     columns = [c for c in side.columns if c != name]
     schema = DIGEST if digest else docs.schema
     applied = _applied("doc_id", "text", columns, {"text": pa.string()}, length, digest)
-    return held.cogroup(cuts.unionAll(copies).groupBy("_bucket")).applyInArrow(applied, schema)
+    done = held.cogroup(cuts.unionAll(copies).groupBy("_bucket")).applyInArrow(applied, schema)
+    nameless = (texts if digest else docs).where("doc_id is null")
+    if digest:
+        raw = F.coalesce("text", F.lit("")).cast("binary")
+        zero = F.lit(0).cast("long")
+        nameless = nameless.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(raw).cast("long"), zero, zero, F.sha2(raw, 256))
+    return done.unionAll(nameless)
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,12 +1,17 @@
-"""Suffix arrays by induced sorting, vectorised over buckets.
+"""Suffix arrays by induced sorting, vectorised.
 
 ``suffix_array`` classifies suffixes as larger or smaller than the next one, sorts the
 substrings between leftmost-smaller positions by inducing, names them, sorts the
-string of names (recursively while its alphabet is small), and induces the whole
-order from that. A pass over a bucket is a few NumPy operations, however many
-suffixes the bucket holds, so a text of few symbols costs time in proportion to its
-length. A string of very many different names is sorted by ranks of name triples
-instead, as a pass per bucket would then be a pass per suffix.
+string of names in the same way, recursively until all names differ, and induces the whole
+order from that.
+
+Inducing has two forms with the same result. ``induce`` passes over the buckets of the
+first symbol; a pass over a bucket is a few NumPy operations, however many suffixes it
+holds. It serves for the bytes of texts. ``induce_by_runs`` serves for names, of which
+there are too many for a pass each, and for texts with long runs of one byte, through which
+a bucket is walked one by one: a larger suffix is a run of larger positions down to the next
+leftmost-smaller one, whose order is known, so runs are sorted by their few symbols
+and the order of what ends them; and a smaller suffix is likewise a run up to the next larger one.
 
 Orders may be asked for up to a depth: suffixes that agree on their first ``depth``
 symbols then stand together in any order.
@@ -14,8 +19,8 @@ symbols then stand together in any order.
 
 import numpy as np
 
-#: An alphabet is small if a bucket has this many suffixes on average.
-PER_BUCKET = 2_000
+#: Symbols up to which buckets are passed over, and the longest run of one symbol for that.
+BUCKETS, LONGEST_RUN = 1 << 10, 1 << 10
 
 
 def smaller(text: np.ndarray) -> np.ndarray:
@@ -120,30 +125,81 @@ def _name(text: np.ndarray, ordered: np.ndarray, leftmost: np.ndarray) -> np.nda
     return names[leftmost]
 
 
-def by_triples(names: np.ndarray, depth: int | None) -> np.ndarray:
-    """The order of a string's suffixes by ranks of triples, of triples of triples and so on."""
-    n = len(names)
-    _, rank = np.unique(names, return_inverse=True)
-    step = 1
-    while True:
-        if n < 1 << 20:
-            ahead = np.zeros(n + 2 * step, np.int64)
-            ahead[:n] = rank + 1
-            key = (ahead[:n] << 42) | (ahead[step : n + step] << 21) | ahead[2 * step : n + 2 * step]
-            reach = 3 * step
-        else:
-            ahead = np.zeros(n + step, np.int64)
-            ahead[:n] = rank + 1
-            key = (ahead[:n] << 31) | ahead[step : n + step]
-            reach = 2 * step
-        order = np.argsort(key)
-        ordered = key[order]
-        fresh = np.append(0, np.cumsum(ordered[1:] != ordered[:-1]))
-        if fresh[-1] == n - 1 or (depth is not None and reach >= depth):
-            return order
-        rank = np.empty(n, np.int64)
-        rank[order] = fresh
-        step = reach
+def _run_order(code: np.ndarray, last: np.ndarray, positions: np.ndarray, depth: int | None) -> np.ndarray:
+    """``positions`` sorted by the codes from each one to the first ``last`` one after it, which is included."""
+    n = len(code)
+    # Behind the end of a run stands place n, with code 0 for ever.
+    code = np.append(code + 1, 0)
+    after = np.arange(1, n + 2)
+    after[:-1][last] = n
+    after[n] = n
+    bits = int(code.max()).bit_length()
+    most = 62 // bits
+    at, key, read = positions, np.zeros(len(positions), np.int64), 0
+    for _ in range(most):
+        key = (key << bits) | code[at]
+        at, read = after[at], read + 1
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    group = np.append(0, np.cumsum(key[1:] != key[:-1])) if len(key) else key
+    at = at[order]
+    found = positions[order]
+    while depth is None or read < depth:
+        same = np.zeros(len(group) + 1, bool)
+        same[1:-1] = group[1:] == group[:-1]
+        rest = np.flatnonzero((same[1:] | same[:-1]) & (at < n))
+        # A run that has ended stands before longer ones of its group, as code 0 is the smallest.
+        tied = np.isin(group, group[rest]) if len(rest) else None
+        if tied is None:
+            break
+        rest = np.flatnonzero(tied)
+        # The group, and as many codes as there is room for besides.
+        _, small = np.unique(group[rest], return_inverse=True)
+        room = (62 - int(small.max()).bit_length()) // bits
+        key, spot = small, at[rest]
+        for _ in range(room):
+            key = (key << bits) | code[spot]
+            spot = after[spot]
+        read += room
+        order = np.argsort(key, kind="stable")
+        found[rest], at[rest] = found[rest][order], spot[order]
+        key = key[order]
+        new = np.append(True, key[1:] != key[:-1])
+        group[rest] = rest[np.maximum.accumulate(np.where(new, np.arange(len(rest)), 0))] + len(group)
+    return found
+
+
+def induce_by_runs(text: np.ndarray, is_smaller: np.ndarray, leftmost: np.ndarray, symbols: int, depth: int | None) -> np.ndarray:
+    """As ``induce``, for any number of symbols."""
+    n = len(text)
+    wide = text.astype(np.int64)
+
+    def codes(known: np.ndarray, before: bool):
+        """Codes of all positions: ``known`` ones, given in order, by their ranks, others by their symbols.
+        Of one symbol the known ones stand before the others or after them."""
+        counts = np.cumsum(np.bincount(wide[known], minlength=symbols))
+        if not before:
+            counts = np.append(0, counts[:-1])
+        code = counts[wide] + wide
+        code[known] = np.arange(len(known)) + wide[known] + (not before)
+        return code
+
+    known = leftmost[np.argsort(wide[leftmost], kind="stable")]
+    last = np.zeros(n, bool)
+    last[known] = True
+    larger = _run_order(codes(known, False), last, np.flatnonzero(~is_smaller), depth)
+    small = _run_order(codes(larger, True), ~is_smaller, np.flatnonzero(is_smaller), depth)
+    array = np.empty(n, np.int64)
+    above = np.cumsum(np.bincount(wide[larger], minlength=symbols))
+    below = np.append(0, np.cumsum(np.bincount(wide[small], minlength=symbols))[:-1])
+    array[np.arange(len(larger)) + below[wide[larger]]] = larger
+    array[np.arange(len(small)) + above[wide[small]]] = small
+    return array
+
+
+def longest_run(text: np.ndarray) -> int:
+    change = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+    return int(np.diff(np.append(change, len(text))).max())
 
 
 def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
@@ -157,21 +213,20 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
         text = text.astype(np.uint16)  # sorted by radix
     is_smaller = smaller(text)
     leftmost = np.flatnonzero(is_smaller[1:] & ~is_smaller[:-1]) + 1
-    rough = induce(text, is_smaller, leftmost, symbols)
+    if symbols <= BUCKETS and longest_run(text) <= LONGEST_RUN:
+        induced = lambda found: induce(text, is_smaller, found, symbols)
+    else:
+        induced = lambda found: induce_by_runs(text, is_smaller, found, symbols, depth)
+    rough = induced(leftmost)
     marked = np.zeros(n, bool)
     marked[leftmost] = True
-    ordered = rough[marked[rough]]
-    names = _name(text, ordered, leftmost)
-    count = int(names.max()) + 1
-    # Each leftmost-smaller substring takes two symbols at least.
-    deep = None if depth is None else depth // 2 + 1
-    if count == len(leftmost):
+    names = _name(text, rough[marked[rough]], leftmost)
+    if int(names.max()) + 1 == len(leftmost):
         order = np.argsort(names)
-    elif count * PER_BUCKET <= len(leftmost):
-        order = suffix_array(names, deep)
     else:
-        order = by_triples(names, deep)
-    return induce(text, is_smaller, leftmost[order], symbols)
+        # Each leftmost-smaller substring takes two symbols at least.
+        order = suffix_array(names, None if depth is None else depth // 2 + 1)
+    return induced(leftmost[order])
 
 
 def permuted_prefix_at_least(text: bytes, order: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
