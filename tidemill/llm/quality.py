@@ -5,10 +5,15 @@ corpus is every document. Both give a multinomial over ``BINS`` hashed byte 4-gr
 smoothed by one. A document's score is the mean, over its 4-grams, of the logarithm
 of target over raw probability; it is kept if it passes the base rules and scores
 ``THRESHOLD`` or more. Bytes serve here because most junk is words not seen before:
-a 4-gram still shows the signs attached to them.
+a 4-gram still shows the signs attached to them. Weights are whole multiples of 1 / ``UNIT``,
+so a sum has no rounding and a verdict depends on nothing but the text and the weights.
 
-Counts cover all documents. Each task sums its own counts to ``SLICES`` slices, and
-slices are added up by key, first within ``FANS`` parts, so what reaches the driver is ``BINS`` counts at any size.
+Counts cover all documents. Each task sums its own counts, raw and target in one scan, to
+``SLICES`` slices, and slices are added up by key, first within ``FANS`` parts, so what reaches the
+driver is 2 * ``BINS`` counts at any size. The trusted ids are broadcast while they are at
+most ``skew.BROADCAST_IDS``, which is checked; more are joined by shuffle.
+
+Base counts compare words and lines by their bytes, not by hashes.
 
 Defined results: a null text counts as empty, has no words and fails; a text of fewer
 than four bytes scores 0; without any trusted document all scores are 0; null or
@@ -25,10 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm import scan
+from tidemill.llm import scan, skew
 
 GRAM, BINS, SLICES, FANS = 4, 1 << 16, 64, 64
 THRESHOLD = -0.3
+UNIT = 1 << 32
 MIN_WORDS, MAX_REPEATED = 50, 50
 #: Fixed value: the characters that count as symbols.
 SYMBOLS = scan.table(lambda b: b in b"#*$%&|<>")
@@ -85,11 +91,12 @@ def base_counts(data: np.ndarray, offs: np.ndarray):
     chars = scan.tally(scan.NOT_SPACE[data] & scan.STARTS_CHAR[data], offs)
     symbols = scan.tally(SYMBOLS[data], offs)
 
-    sums = scan.prefix(scan._byte_values()[data])
-    texts = scan.owner(firsts)
-    salt = scan.mix(np.arange(len(offs) - 1, dtype=np.uint64))
-    at, keys = scan.windows(scan.span(sums, starts, ends), firsts, 3)
-    at = at[repeats(keys ^ salt[texts[at]])]
+    texts, count = scan.owner(firsts), len(offs) - 1
+    number, distinct = scan.same_bytes(data, starts, ends)
+    at = np.arange(max(0, len(starts) - 2))
+    at = at[texts[at] == texts[at + 2]]
+    kinds = len(distinct)
+    at = at[repeats(scan.combined((texts[at], count), *((number[at + k], kinds) for k in range(3))))]
     edges = np.zeros(len(starts) + 1, np.int64)
     np.add.at(edges, at, 1)
     np.add.at(edges, at + 3, -1)
@@ -103,50 +110,55 @@ def base_counts(data: np.ndarray, offs: np.ndarray):
     filled = np.searchsorted(starts, begins) < np.searchsorted(starts, stops)
     begins, stops = begins[filled], stops[filled]
     texts = np.searchsorted(offs, begins, side="right") - 1
-    again = duplicates(scan.span(sums, begins, stops) ^ salt[texts])
-    lines = np.bincount(texts[again], minlength=len(offs) - 1)
+    number, distinct = scan.same_bytes(data, begins, stops)
+    again = duplicates(scan.combined((texts, count), (number, len(distinct))))
+    lines = np.bincount(texts[again], minlength=count)
     return n_words, chars, symbols, lines, repeated
 
 
 def _counts(docs: DataFrame) -> np.ndarray:
-    """Counts of all 4-grams of all texts."""
+    """Counts of all 4-grams of all texts and of the trusted ones; rows are (text, trusted)."""
+    both = 2 * BINS
 
     def summed(batches):
-        total = np.zeros(BINS, np.int64)
+        total = np.zeros((2, BINS), np.int64)
         for batch in batches:
-            for _, _, data, offs in scan.chunks(batch.column(0)):
-                total += np.bincount(grams(data, offs)[0], minlength=BINS)
+            trusted = batch.column(1).to_numpy(zero_copy_only=False)
+            for first, end, data, offs in scan.chunks(batch.column(0)):
+                bins, firsts = grams(data, offs)
+                total[0] += np.bincount(bins, minlength=BINS)
+                total[1] += np.bincount(bins[np.repeat(trusted[first:end], np.diff(firsts))], minlength=BINS)
         if total.any():
             part = TaskContext.get().partitionId() % FANS
-            columns = [pa.array(range(SLICES), pa.int32()), pa.array([part] * SLICES, pa.int32()), pa.array([x.tobytes() for x in np.split(total, SLICES)])]
+            columns = [pa.array(range(SLICES), pa.int32()), pa.array([part] * SLICES, pa.int32()), pa.array([x.tobytes() for x in np.split(total.ravel(), SLICES)])]
             yield pa.RecordBatch.from_arrays(columns, names=["slice", "part", "counts"])
 
     def added(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BINS // SLICES, np.int64)
+        total = np.zeros(both // SLICES, np.int64)
         for batch in batches:
             for x in batch.column("counts"):
                 total += np.frombuffer(x.as_buffer(), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([total.tobytes()])], names=["slice", "part", "counts"])
 
     shape = "slice int, part int, counts binary"
-    fanned = docs.select("text").mapInArrow(summed, shape).groupBy("slice", "part").applyInArrow(added, shape)
+    fanned = docs.mapInArrow(summed, shape).groupBy("slice", "part").applyInArrow(added, shape)
     rows = fanned.groupBy("slice").applyInArrow(added, shape).collect()
-    total = np.zeros((SLICES, BINS // SLICES), np.int64)
+    total = np.zeros((SLICES, both // SLICES), np.int64)
     for row in rows:
         total[row["slice"]] = np.frombuffer(row["counts"], np.int64)
-    return total.ravel()
+    return total.reshape(2, BINS)
 
 
 def weights(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """Logarithm of target over raw probability, per bin."""
-    trusted = labels.where("quality = 1").select(F.col("doc_id").alias("trusted_id")).distinct()
-    # Labels grow with the corpus: joined by shuffle at every size, never broadcast.
-    texts = docs.select(F.col("doc_id").alias("own_id"), "text").join(trusted.hint("merge"), F.col("own_id") == F.col("trusted_id"), "left_semi")
-    target, raw = _counts(texts), _counts(docs)
+    """Logarithm of target over raw probability, per bin, in units of 1 / ``UNIT``."""
+    trusted = skew.sized(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("trusted_id")).distinct())
+    own = docs.select(F.col("doc_id").alias("own_id"), "text")
+    flagged = own.join(trusted, F.col("own_id") == F.col("trusted_id"), "left").select("text", F.col("trusted_id").isNotNull().alias("trusted"))
+    raw, target = _counts(flagged)
     if not target.any():
-        return np.zeros(BINS)
+        return np.zeros(BINS, np.int64)
     share = lambda x: np.log(x + 1.0) - np.log(x.sum() + BINS)
-    return share(target) - share(raw)
+    return np.rint((share(target) - share(raw)) * UNIT).astype(np.int64)
 
 
 def verdicts(data, offs, weight, threshold):
@@ -155,8 +167,7 @@ def verdicts(data, offs, weight, threshold):
     n_words, repeated = counts[0], counts[4]
     failed = (n_words < MIN_WORDS) | (100 * repeated > MAX_REPEATED * n_words)
     bins, firsts = grams(data, offs)
-    sums = np.concatenate([[0.0], np.cumsum(weight[bins])])
-    score = (sums[firsts[1:]] - sums[firsts[:-1]]) / np.maximum(1, np.diff(firsts))
+    score = scan.tally(weight[bins], firsts) / (np.maximum(1, np.diff(firsts)) * float(UNIT))
     return counts, failed, ~failed & (score >= threshold), score
 
 
