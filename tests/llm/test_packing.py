@@ -54,6 +54,31 @@ def test_special_tokens_in_texts_are_those_of_the_library_as_it_stands(spark, sm
         assert [zlib.crc32(want[p.start : p.start + p.length].tobytes()) for p in own.itertuples()] == own.ids_crc32.to_list()
 
 
+def test_very_long_runs(reference):
+    ours, end = packing.Encoder(packing.default_vocabulary()), "<|endoftext|>"
+    library = Tokenizer.from_file(str(public_tokenizers.path(packing.VOCABULARY)))
+    blank = " " * 1_200_000
+    texts = [blank, f"a{blank}", f"{blank}b", f"x  y{blank}z", f"x{blank}\n", "\n" * 1_200_000 + "q", f"{end}{blank}{end}{blank}1", f"{blank}{end}", f"q{blank}{end} {blank}\u3000 it's"]
+    texts += ["\u2003\t" * 600_000 + "!", "\x1c" * 300_000 + " z", "a" * 1_200_000, "!" * 1_200_000]
+    for text in texts:
+        assert ours.ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_placements_are_kept_when_sequences_are_closed():
+    """Only sequences of the lowest levels are cut up; all others keep their pieces and are topped up."""
+    r = np.random.default_rng(8)
+    packer = packing.Packer(64)
+    docs = [np.arange(n, dtype=np.uint32) for n in r.integers(1, 64, 90)]
+    assert all(len(s) for k, ids in enumerate(docs) for s in packer.add(k, ids))
+    placed = [(level, [tuple(p[:2]) + (len(p[2]),) for p in s]) for level, found in enumerate(packer.levels.open) for s in found]
+    closed = [[tuple(p[:2]) + (len(p[2]),) for p in s] for s in packer.close()]
+    kept = [level for level, s in placed if any(c[: len(s)] == s for c in closed)]
+    lost = sorted(level for level, _ in placed)[: len(placed) - len(kept)]
+    assert sum(lost) <= sum(64 - level for level in kept) + 64 and len(kept) >= len(placed) // 2
+    sizes = [sum(n for *_, n in c) for c in closed]
+    assert sum(sizes) == sum(level for level, _ in placed) and sum(n < 64 for n in sizes) <= 6
+
+
 def test_level_choice_minimises_the_sum_of_squares():
     r = np.random.default_rng(1)
     levels = packing.Levels(32)

@@ -3,10 +3,11 @@
 Each task packs its own documents as they come. A document longer than a sequence
 first fills whole sequences; what remains goes to the open sequence whose fill level
 makes the sum of squared counts of partially filled sequences smallest, or opens a
-new one. ``Levels`` keeps that count per level. At the end of a task, or when
-``MAX_OPEN`` sequences are open, the open ones are closed without padding: pieces of
-the emptiest are cut to fill the fullest, and the last one is cut into sequences
-whose lengths are powers of two, which need no padding.
+new one. ``Levels`` keeps that count per level. While more than ``MAX_OPEN`` sequences
+are open, the fullest is topped up with tokens of the emptiest, whose pieces are cut for
+that. At the end of a task all open sequences are closed so: each keeps what was placed
+in it and gets its gap filled, until the emptiest are used up; what is left of the last one
+is cut into sequences whose lengths are powers of two, which need no padding.
 
 There is no shuffle, and a task holds the tokens of its open sequences only. A task
 that runs again after a lost executor packs the same rows the same way; sequence ids
@@ -18,6 +19,7 @@ are ignored, whatever their names.
 """
 
 import json
+import re
 import zlib
 
 import numpy as np
@@ -34,6 +36,10 @@ VOCABULARY = "byte_bpe_50k.json"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Fixed value: how this vocabulary splits a text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed value: white space of that split. Its matcher gives up in runs of about a million, so texts of
+#: ``RUN`` characters or more have long runs taken out first.
+SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+RUN = 100_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -55,19 +61,49 @@ def encoder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
 
 
+class Encoder:
+    """Ids of whole texts, of any length."""
+
+    def __init__(self, path: str):
+        self.model = encoder(path)
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.model.special_tokens_set))) + ")")
+        self.run = re.compile(f"[{SPACES}]{{{RUN},}}")
+
+    def ids(self, text: str) -> np.ndarray:
+        if len(text) < RUN or not self.run.search(text):
+            return self.model.encode_to_numpy(text, allowed_special="all")
+        # Special tokens part a text first. In a part, all of a run but its last character is one word;
+        # at the end of a part, the whole run.
+        found = []
+        for part in self.special.split(text):
+            at = 0
+            if part not in self.model.special_tokens_set:
+                for run in self.run.finditer(part):
+                    end = run.end() if run.end() == len(part) else run.end() - 1
+                    found.append(self.model.encode_to_numpy(part[at : run.start()]))
+                    found.append(np.array(self.model._encode_single_piece(part[run.start() : end]), np.uint32))
+                    at = end
+            found.append(self.model.encode_to_numpy(part[at:], allowed_special="all"))
+        return np.concatenate(found)
+
+
+#: The cost of leaving a level that has no sequence.
+NONE = np.iinfo(np.int64).max // 4
+
+
 class Levels:
     """Counts of open sequences by fill level, and the cost of leaving and entering each."""
 
     def __init__(self, capacity: int):
         self.capacity = capacity
         self.open: list[list] = [[] for _ in range(capacity)]
-        self.leave = np.full(capacity + 1, np.iinfo(np.int64).max // 4, np.int64)
+        self.leave = np.full(capacity + 1, NONE, np.int64)
         self.enter = np.ones(capacity + 1, np.int64)
         self.leave[0] = self.enter[capacity] = 0
 
     def _count(self, level: int) -> None:
         n = len(self.open[level])
-        self.leave[level] = 1 - 2 * n if n else np.iinfo(np.int64).max // 4
+        self.leave[level] = 1 - 2 * n if n else NONE
         self.enter[level] = 2 * n + 1
 
     def take(self, size: int):
@@ -84,13 +120,17 @@ class Levels:
         self.open[fill].append(sequence)
         self._count(fill)
 
-    def drain(self) -> list[list]:
-        found = [x for level in reversed(self.open) for x in level]
-        for level in range(1, self.capacity):
-            if self.open[level]:
-                self.open[level] = []
-                self._count(level)
-        return found
+    def _taken(self, level: int) -> tuple[list, int]:
+        found = self.open[level].pop()
+        self._count(level)
+        return found, level
+
+    def fullest(self) -> tuple[list, int]:
+        """Removes and returns an open sequence of the highest level, and the level."""
+        return self._taken(int(np.flatnonzero(self.leave[1 : self.capacity] < NONE)[-1]) + 1)
+
+    def emptiest(self) -> tuple[list, int]:
+        return self._taken(int(np.argmax(self.leave[1 : self.capacity] < NONE)) + 1)
 
 
 class Packer:
@@ -119,26 +159,48 @@ class Packer:
             yield sequence
             return
         self.levels.put(sequence, fill)
-        if self.n_open >= self.max_open:
-            yield from self.close()
+        while self.n_open > self.max_open:
+            yield from self._topped_up()
+
+    def _topped_up(self):
+        """Fills the fullest open sequence from the emptiest ones; yields it when it is full."""
+        sequence, fill = self.levels.fullest()
+        self.n_open -= 1
+        while fill < self.capacity and self.n_open:
+            donor, left = self.levels.emptiest()
+            doc, start, ids, total = donor.pop()
+            cut = ids[: self.capacity - fill]
+            sequence.append([doc, start, cut, total])
+            fill += len(cut)
+            if len(cut) < len(ids):
+                donor.append([doc, start + len(cut), ids[len(cut) :], total])
+            if donor:
+                self.levels.put(donor, left - len(cut))
+            else:
+                self.n_open -= 1
+        if fill == self.capacity:
+            yield sequence
+        else:
+            yield from self._in_powers(sequence, fill)
 
-    def close(self):
-        """Closes all open sequences by cutting; none gets padding."""
-        self.n_open = 0
-        rest = [piece for sequence in self.levels.drain() for piece in sequence]
-        left = sum(len(p[2]) for p in rest)
-        room, sequence = min(self.capacity, 1 << left.bit_length() - 1) if left else 0, []
-        for piece in rest:
-            doc, start, ids, total = piece
+    def _in_powers(self, sequence: list, left: int):
+        """Sequences of lengths that are powers of two, with the same tokens."""
+        room, found = 1 << left.bit_length() - 1, []
+        for doc, start, ids, total in sequence:
             while len(ids):
                 part, ids = ids[:room], ids[room:]
-                sequence.append([doc, start, part, total])
+                found.append([doc, start, part, total])
                 start += len(part)
                 room -= len(part)
                 left -= len(part)
                 if not room:
-                    yield sequence
-                    sequence, room = [], min(self.capacity, 1 << left.bit_length() - 1) if left else 0
+                    yield found
+                    room, found = 1 << left.bit_length() - 1 if left else 0, []
+
+    def close(self):
+        """Closes all open sequences; none gets padding."""
+        while self.n_open:
+            yield from self._topped_up()
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
@@ -147,7 +209,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, ids: bool =
     shape = PIECES + (", ids array<int>" if ids else "")
 
     def packed(batches):
-        encode = encoder(vocabulary).encode_to_numpy
+        encode = Encoder(vocabulary).ids
         packer = Packer(capacity)
         base = TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
@@ -170,7 +232,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, ids: bool =
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tokens = np.append(encode(text.as_py() or "", allowed_special="all"), np.uint32(END_ID))
+                tokens = np.append(encode(text.as_py() or ""), np.uint32(END_ID))
                 for sequence in packer.add(doc, tokens):
                     place(sequence)
                 if len(rows) > 20_000:
