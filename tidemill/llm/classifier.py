@@ -4,10 +4,12 @@ A token is a run of letters and digits or a run of other signs; a token equal to
 one before it is written as a repeat mark, so that loops look alike whatever their
 words. Features are tokens and pairs of tokens, hashed to ``BINS``; a feature's value
 is its count over the square root of the number of features, so a score is one
-sparse dot product.
+sparse dot product. Weights are rounded to whole multiples of 1 / ``UNIT``; their
+sums have no rounding, so equal texts have equal scores whatever stands beside them.
 
 Training is sequential by nature: it takes at most ``SAMPLE`` labelled documents, those
-of the smallest MD5 of their ids, in that order, ``EPOCHS`` times, in one task. Rows whose
+of the smallest MD5 of their ids, in that order, ``EPOCHS`` times, in one task. Of rows that
+repeat an id the smallest text is learnt from. Rows whose
 crc32(doc_id as text) mod 5 is 0 are held out and never learnt from. Every document
 is scored, by its whole text.
 
@@ -26,6 +28,7 @@ from tidemill.llm import scan
 
 BINS = 1 << 18
 SAMPLE, EPOCHS = 8_000, 2
+UNIT = 1 << 32
 CUT = 0.3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.01, 0.01
 TOKENS = scan.ALNUM.astype(np.uint8) + 2 * (scan.NOT_SPACE & ~scan.ALNUM)
@@ -62,9 +65,8 @@ def _bins(hashes: np.ndarray) -> np.ndarray:
 
 
 def scores(weight: np.ndarray, bins: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    sums = np.concatenate([[0.0], np.cumsum(weight[bins])])
-    n = np.diff(begins)
-    z = (sums[begins[1:]] - sums[begins[:-1]]) / np.sqrt(n)
+    whole = np.rint(weight * UNIT).astype(np.int64)
+    z = scan.tally(whole[bins], begins) / (float(UNIT) * np.sqrt(np.diff(begins)))
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
@@ -97,13 +99,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int
     order = F.md5(F.col("doc_id").cast("string").cast("binary"))
     chosen = usable.groupBy(F.col("doc_id").cast("long").alias("learnt_id")).agg(F.max("quality").cast("int").alias("label"), F.first(order).alias("place"))
     chosen = chosen.orderBy("place", "learnt_id").limit(sample)
-    texts = docs.select(F.col("doc_id").alias("own_id"), "text").join(F.broadcast(chosen), F.col("own_id") == F.col("learnt_id")).select("place", "own_id", "text", "label")
+    own = docs.select(F.col("doc_id").cast("long").alias("own_id"), "text")
+    texts = own.join(F.broadcast(chosen), F.col("own_id") == F.col("learnt_id")).groupBy("place", "own_id", "label").agg(F.min("text").alias("text"))
 
     def learnt(batches):
         rows = []
         for batch in batches:
-            labels = batch.column(3).to_pylist()
-            for first, end, data, offs in scan.chunks(batch.column(2)):
+            labels = batch.column(2).to_pylist()
+            for first, end, data, offs in scan.chunks(batch.column(3)):
                 bins, begins = features(data, offs)
                 for k in range(end - first):
                     at, count = np.unique(bins[begins[k] : begins[k + 1]], return_counts=True)
@@ -112,12 +115,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int
         for _ in range(epochs):
             for row in rows:
                 model.learn(*row)
-        yield pa.RecordBatch.from_arrays([pa.array([model.weight().astype(np.float32).tobytes()])], names=["weights"])
+        yield pa.RecordBatch.from_arrays([pa.array([model.weight().tobytes()])], names=["weights"])
 
     # Bounded by the sample, so one task holds it.
-    ordered = texts.repartition(1).sortWithinPartitions("place", "own_id", "text")
+    ordered = texts.repartition(1).sortWithinPartitions("place", "own_id")
     found = ordered.mapInArrow(learnt, "weights binary").collect()
-    return np.frombuffer(found[0]["weights"], np.float32).astype(np.float64) if found else np.zeros(BINS)
+    return np.frombuffer(found[0]["weights"]) if found else np.zeros(BINS)
 
 
 def score(docs: DataFrame, weight: np.ndarray) -> DataFrame:
