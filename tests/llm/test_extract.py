@@ -2,6 +2,7 @@ import itertools
 
 import numpy as np
 
+from tests.llm.layouts import LAYOUTS
 from tidemill.llm import dom, extract, training_pages
 
 
@@ -32,6 +33,10 @@ def test_leaves_of_broken_markup():
     assert texts("1 < 2 & 3 > 2 &amp &notit;") == ["1 < 2 & 3 > 2 & ¬it;"]
     assert texts('<a href="x>y">link</a> <b title=\'q">\'>z') == ["link z"]
     assert texts("<script>never closed <p>x") == []
+    assert texts("<html><head><title>T</title><p>Hello") == ["Hello"]
+    assert texts("<html><head><meta charset=utf-8><title>T</title>\n Hello <b>you</b>") == ["Hello you"]
+    assert texts("<head><noscript><style>x</style></noscript><script>1</script><link rel=x><article>A</article>") == ["A"]
+    assert texts("<head><template><p>not shown</p></template></head>shown") == ["shown"]
     assert texts("<b>" * 5000 + "deep" + "</i>" * 5000 + "</b>" * 5000) == ["deep"]
     assert texts("<div>" * 5000 + "deep") == ["deep"]
 
@@ -71,6 +76,49 @@ def test_long_notice_without_a_telling_name():
         assert extract.train().main_text(page) == "\n".join(texts)
 
 
+def test_a_notice_of_any_length_is_left_out():
+    prose = "The river rose in the night, and by morning the lower fields were under water. The farmers moved their animals to the hill. "
+    notice = "We use cookies to improve this site, as our privacy policy explains, and you may subscribe to the newsletter at any time. "
+    more = "Your choices are kept for thirty days and then asked for again, unless you say otherwise in the settings of your account. " * 6
+    for tag in ("p", "div"):
+        for n in (*range(130, 520, 13), 700, 830):
+            page = f"<html><body><{tag}>{prose * 4}</{tag}><{tag}>{prose * 3}</{tag}><{tag}>{(notice + more)[:n]}</{tag}></body></html>"
+            assert extract.train().main_text(page) == f"{(prose * 4).strip()}\n{(prose * 3).strip()}", n
+
+
 def test_formulas_are_shown_without_annotations():
     page = '<p>So <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding="application/x-tex">x = {2}</annotation></semantics></math> holds.'
     assert [x.text for x in dom.leaves(page, None, lambda c, t, a: None)] == ["So x=2 holds."]
+
+
+def test_layouts_written_by_hand():
+    """Characters of main text, over pages of ten kinds of sites that are not in the training set."""
+    model = extract.train()
+    right = wrong = missed = 0
+    for page in LAYOUTS.values():
+        kept = model.main_text(page).split("\n")
+        for leaf, (_, label) in zip(dom.leaves(page, None, lambda c, t, a: None), extract._labelled(page), strict=True):
+            found = bool(kept) and kept[0] == leaf.text
+            kept = kept[found:]
+            right, wrong, missed = right + found * label * len(leaf.text), wrong + (found and not label) * len(leaf.text), missed + (label and not found) * len(leaf.text)
+        assert not kept
+    assert right / (right + wrong) > 0.95 and right / (right + missed) > 0.95
+
+
+def test_whole_query_against_a_plain_version(spark, small):
+    """Features of each block from scratch and the best of all paths by plain dynamic programming."""
+    model = extract.train()
+
+    def plain(page):
+        texts = [leaf.text for leaf in dom.leaves(page or "", None, lambda c, t, a: None)]
+        best = {0: (0.0, []), 1: (0.0, [])}
+        for k, (names, _) in enumerate(extract._labelled(page or "")):
+            score = sum(model.by_feature.get(x, 0.0) for x in set(names))
+            step = lambda y: max(((v + (model.pairs[x, y] if k else 0.0), path) for x, (v, path) in best.items()), key=lambda z: z[0])  # noqa: B023, E731
+            best = {y: ((old := step(y))[0] + y * score, [*old[1], y]) for y in (0, 1)}
+        path = max(best.values(), key=lambda z: z[0])[1]
+        return "\n".join(t for t, y in zip(texts, path, strict=True) if y)
+
+    given = spark.read.parquet(f"{small}/pages.parquet").collect()
+    found = {r["page_id"]: (r["url"], r["text"], r["n_chars"]) for r in extract.op1_extraction(spark, small).collect()}
+    assert found == {r["page_id"]: (r["url"], text := plain(r["html"]), len(text)) for r in given}

@@ -2,7 +2,7 @@
 
 A tolerant scanner: tags need not be closed or nested well, quotes may hold ``>``,
 and a reference may lack its semicolon. Scripts, styles and other raw elements, and
-the head, give no text; formulas give what is shown of them, without annotations.
+the head, give no text; a head that is not closed ends where something stands that it cannot hold; formulas give what is shown of them, without annotations.
 """
 
 import html
@@ -18,6 +18,8 @@ BLOCK = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 INERT = frozenset("head template svg annotation annotation-xml object audio video canvas datalist".split())
+#: What a head may hold; anything else ends it.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: What an opening tag closes, if it is open inside the nearest listed scope.
 CLOSES = {
     "li": ("li", "ul ol menu"),
@@ -81,7 +83,11 @@ def leaves(page: str, root, enter):
 
     def add(text):
         nonlocal linked, place
-        if not text or inert:
+        if not text:
+            return
+        if inert and stack[-1].tag == "head" and not text.isspace():
+            pop()
+        if inert:
             return
         if place is None and not text.isspace():
             k = len(stack) - 1
@@ -118,6 +124,9 @@ def leaves(page: str, root, enter):
                     pop()
                 pop()
             continue
+        if opened.get("head") and tag not in IN_HEAD and not opened.get("template"):
+            while opened["head"]:
+                pop()
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = end.end() if end else len(page)

@@ -24,8 +24,8 @@ from tidemill.llm import dom, scan, training_pages
 PAGES, STEPS, RATE, DECAY = 400, 250, 0.15, 1e-4
 #: Words that tell notices, adverts and footers.
 CUES = ("cookie", "privacy", "subscribe", "newsletter", "rights reserved", "copyright", "©", "log in", "sign up", "advert", "powered by", "wrote:")
-#: Characters from which a block's cues are counted instead of named.
-LONG = 400
+#: Characters to a cue at the first of the steps by which the density of cues is told.
+SPARSE = 400
 NAME_WORD = re.compile(r"[a-z]+")
 
 
@@ -50,10 +50,10 @@ def text_features(leaf: dom.Leaf) -> list[str]:
         f"end:{text[-1] if text[-1] in '.!?:,' else 'x'}",
         f"comma:{',' in text}",
     ]
-    if n < LONG:
-        return found + [f"cue:{cue}" for cue in cues]
-    # A long article may hold a cue or two; how many different ones tells a long notice.
-    return found + ([f"long-cues:{min(len(cues), 4)}"] if cues else [])
+    if cues:
+        # An article may hold a cue or two; how many different ones, and how dense, tells a notice of any length.
+        found += [f"cues:{min(len(cues), 4)}", f"dense:{min((len(cues) * SPARSE // n).bit_length(), 5)}"]
+    return found
 
 
 class Model:
@@ -127,7 +127,7 @@ def _marginals(scores, mask, pairs):
 
 @functools.cache
 def train(count: int = PAGES, steps: int = STEPS) -> Model:
-    pages = [x for x in map(_labelled, training_pages.pages(count) + training_pages.long_notices(count // 4)) if x]
+    pages = [x for x in map(_labelled, training_pages.pages(count) + training_pages.site_pages(count) + training_pages.long_notices(count // 2)) if x]
     ids: dict[str, int] = {}
     for page in pages:
         for names, _ in page:

@@ -25,6 +25,15 @@ LONG_TEXT = (
     "We and our partners use cookies to store and read information on your device.", "Read our privacy policy to learn how we handle your data.", "Subscribe to our newsletter for updates.",
     "All rights reserved.", "Copyright of the texts stays with their authors.", "Log in or sign up to manage your choices.", "Adverts help us to keep this site free.", "This site is powered by its readers.",
 )
+#: Parts of pages of publishing systems: names of wrappers of main text and of boxes beside it, and headings of these.
+WRAPPERS = ("wrapper", "container", "inner", "wrap", "row", "col", "page", "site", "body", "layout", "root", "app", "section", "block")
+AUTHOR = ("author", "author-bio", "author-box", "about-author", "bio", "profile", "byline", "meta", "post-meta", "entry-meta")
+MORE = ("related", "related-posts", "more", "read-more", "also-like", "most-read", "popular", "recent", "recent-posts", "promo-box", "next-prev", "post-navigation")
+OVERLAY = ("modal", "modal-body", "overlay", "dialog", "banner", "alert-banner", "popup", "notice-bar", "paywall", "subscribe-box")
+SERVICE = ("contact", "contact-box", "feedback", "helpful", "print", "language", "accessibility", "skip-link", "search", "login", "account", "toolbar", "topbar", "tagline", "site-description")
+REVIEWS = ("reviews", "review", "ratings", "feedback-list", "responses", "thread", "comments-area")
+MORE_HEADS = ("Related", "More on this", "Most read", "You may also like", "Recent posts", "About the author", "Written by", "Contact", "Reviews", "Comments", "Contents", "Follow us", "Tags", "Categories", "Search")
+BUTTONS = ("Accept", "Follow", "Share", "Sign in", "Send", "Yes", "No", "Subscribe", "OK", "Menu", "Search")
 CUE_WORDS = ("cookie", "privacy", "copyright", "newsletter", "advert", "subscribe")
 FOOT_TEXT = ("All rights reserved.", "Privacy Terms Contact", "Powered by")
 SYLLABLES = "ba de fi go hu ka le mi no pu ra se ti vo wu xa ye zo ch sch tion ment ing ou".split()
@@ -128,16 +137,78 @@ class Writer:
         main = "".join(self.main() for _ in range(r.choice((1, 1, 1, 2))))
         return f'<html><head><title>{self.sentence(1, 4)}</title></head><body data-y="0">{"".join(before)}{main}{"".join(after)}</body></html>'
 
+    def box(self) -> str:
+        """A box of a publishing system that isn't main text."""
+        r = self.r
+        names = r.choice((AUTHOR, MORE, OVERLAY, SERVICE, REVIEWS, (f"css-{self.word()}",)))
+        tag = r.choice(("div", "div", "div", "section", "aside", "nav" if names is MORE else "div"))
+        label = f' {r.choice(("class", "class", "id"))}="{r.choice(names)}"' if r.random() < 0.9 else ""
+        head = f"<h{(k := r.choice((2, 3, 4)))}>{r.choice(MORE_HEADS)}{r.choice(('', ' ' + self.word()))}</h{k}>" if r.random() < 0.7 else ""
+        button = f"<button>{r.choice(BUTTONS)}</button>"
+        body = r.choice(
+            (
+                f"<p>{self.sentence(3, 12)}</p>",
+                f"<p>{self.sentence(3, 12)}</p>{button}",
+                f"<ul>{self.links(2, 5)}</ul>",
+                "".join(f'<div><a href="/{self.word()}">{self.sentence(1, 5)}</a></div>' for _ in range(r.randint(1, 4))),
+                "".join(f"<a href=/>{self.word()}</a> " for _ in range(r.randint(1, 5))),
+                f"<span>{self.sentence(1, 4)}</span>{button}",
+                f"<form><label>{self.sentence(2, 5)}</label><input>{button}</form>",
+            )
+        )
+        return f'<{tag}{label} data-y="0">{head}{body}</{tag}>'
+
+    def site_main(self) -> str:
+        """Main text inside neutral wrappers, some with names that tell nothing, with boxes among its paragraphs."""
+        r = self.r
+        plain = lambda: r.choice(("", f' class="css-{self.word()}"', f' class="{self.word()}"', f' id="{self.word()}"'))
+        parts = [f"<h1{plain()}>{self.sentence(1, 9)}</h1>"] if r.random() < 0.9 else []
+        if r.random() < 0.3:
+            parts.append(f"<h2>{self.sentence(3, 10)}</h2>")
+        for _ in range(r.choice((2, 3, 4, 6))):
+            kind = r.random()
+            if kind < 0.75:
+                parts.append(f"<p{plain()}>{self.prose() if r.random() < 0.85 else self.sentence(1, 3)}</p>")
+            elif kind < 0.85:
+                parts.append(f"<h2>{self.sentence(1, 5)}</h2><p>{self.prose()}</p>")
+            elif kind < 0.92:
+                parts.append(f"<{(t := r.choice(('ul', 'ol')))}>" + "".join(f"<li>{self.sentence(1, 12)}</li>" for _ in range(r.randint(2, 5))) + f"</{t}>")
+            elif kind < 0.96:
+                parts.append(f"<figure><img><figcaption>{self.sentence(2, 8)}</figcaption></figure>")
+            else:
+                parts.append(f"<table><tr><th>{self.word()}</th><th>{self.word()}</th></tr><tr><td>{self.word()}</td><td>{self.sentence(1, 4)}</td></tr></table>")
+            if r.random() < 0.2:
+                parts.append(self.box())
+        inner = "".join(parts)
+        for _ in range(r.choice((0, 1, 1, 2))):
+            tag = r.choice(("div", "div", "section"))
+            inner = f"<{tag}{r.choice((plain(), ' class=' + repr(r.choice(WRAPPERS))))}>{inner}</{tag}>"
+        tag, name = r.choice(MAIN_WRAP)
+        return f'<{tag}{f""" class="{name}" """ if name else ""} data-y="1">{inner}</{tag}>'
+
+    def site_page(self) -> str:
+        """A page of a publishing system: main text and boxes in wrappers."""
+        r = self.r
+        before = [self.box() for _ in range(r.choice((1, 2, 3)))]
+        if r.random() < 0.7:
+            before.insert(0, f'<div class="{r.choice((*HEAD, *WRAPPERS))}" data-y="0">' + "".join(f'<a href="/{self.word()}">{self.word()}</a> ' for _ in range(r.randint(1, 5))) + f"<span>{r.choice(BUTTONS)}</span></div>")
+        after = [self.box() for _ in range(r.choice((1, 2, 3, 4)))]
+        after.append(self.named(("footer", "div"), FOOT, f"<p>{r.choice((*FOOT_TEXT, self.sentence(2, 9)))}</p>"))
+        body = "".join(before) + self.site_main() + "".join(after)
+        for _ in range(r.choice((0, 1, 2))):
+            body = f'<div class="{r.choice(WRAPPERS)}">{body}</div>'
+        return f'<html><head><title>{self.sentence(1, 4)}</title></head><body data-y="0">{body}</body></html>'
+
     def long_prose(self, extra: list[str]) -> str:
-        """At least 400 characters with the given parts among the sentences."""
-        parts = list(extra)
-        while sum(map(len, parts)) < 420 or self.r.random() < 0.6:
+        """A block of any length with the given parts among the sentences."""
+        parts, least = list(extra), self.r.choice((0, 120, 250, 420, 600))
+        while sum(map(len, parts)) < least or self.r.random() < 0.5:
             parts.append(self.sentence(6, 20))
         self.r.shuffle(parts)
         return " ".join(parts)
 
     def long_page(self) -> str:
-        """Long notices in elements without telling names, and articles with a cue or two."""
+        """Notices in elements without telling names, and articles with a cue or two."""
         r = self.r
         tags = lambda y: (t := r.choice(("p", "div")), f'<{t} data-y="{y}">', f"</{t}>")[1:]
         parts = []
@@ -158,3 +229,8 @@ def pages(count: int, seed: int = 1) -> list[str]:
 def long_notices(count: int, seed: int = 2) -> list[str]:
     writer = Writer(seed)
     return [writer.long_page() for _ in range(count)]
+
+
+def site_pages(count: int, seed: int = 3) -> list[str]:
+    writer = Writer(seed)
+    return [writer.site_page() for _ in range(count)]
