@@ -106,3 +106,57 @@ def test_series_operators_do_not_depend_on_slots(spark, width):
     assert sorted(rows(series.delta_of_delta(df, width))) == [(t[k], t[k] - 2 * t[k - 1] + t[k - 2]) for k in range(2, len(t))]
     assert sorted(rows(series.ranked(df, width).select("timestamp", "rank"))) == list(zip(t, range(len(t)), strict=True))
     assert sorted(rows(series.running_sum(df, "timestamp", width).select("timestamp", "running")))[-1][1] == sum(t)
+
+
+def test_a_reference_folder_becomes_a_table(spark, tmp_path):
+    from tidemill.sources import files
+
+    folder = tmp_path / "data"
+    folder.mkdir()
+    (folder / "000001.sst").write_bytes(files.block_file([100, 200, 300], [1.0, 2.0, 3.0]))
+    (folder / "000010.sst").write_bytes(files.block_file([200, 400], [20.0, 40.0], version=1))
+    (folder / "000009.sst").write_bytes(files.block_file([200, 300], [9.0, 9.0]))
+    (folder / "wal.bin").write_bytes(b"".join(files.log_record(*r) for r in ((400, 1.0), (400, 41.0), (50, 5.0))) + b"torn")
+    table = Table.from_folder(spark, f"file://{folder}", f"file://{tmp_path}/t")
+    assert rows(table.scan_all()) == [(50, 5.0), (100, 1.0), (200, 20.0), (300, 9.0), (400, 41.0)]
+    assert table.run_count() == 1 and table.pending_count() == 2
+    assert rows(Table.from_folder(spark, f"file://{tmp_path}/none", f"file://{tmp_path}/u").scan_all()) == []
+
+
+def test_fill_is_counted_when_it_may_be_reached(spark, tmp_path):
+    table = Table(spark, f"file://{tmp_path}/t", capacity=64 * 10)
+    for k in range(4):
+        table.write_batch(batch(spark, [(j, k) for j in range(4)]))  # four timestamps, again and again
+    assert table.run_count() == 0 and table.pending_count() == 4
+    table.write_batch(batch(spark, [(100 + j, 1) for j in range(6)]))
+    assert table.run_count() == 1 and table.pending_count() == 0
+    assert table.store.names(f"{table.path}/fill") == [] and table.store.read().consumed == (1, 2, 3, 4, 5)
+    table.write_batch(batch(spark, [(100 + j, 2) for j in range(10)]))
+    assert table.store.read().consumed == (6,) and len(rows(table.scan_all())) == 14
+
+
+def test_readers_keep_their_runs_for_a_time(spark, tmp_path):
+    for grace, left in ((3600, 3), (0, 1)):
+        table = Table(spark, f"file://{tmp_path}/{grace}", grace=grace)
+        for k in range(2):
+            table.write_batch(batch(spark, [(k, k)]))
+            table.flush()
+        before = table.scan_all()
+        table.compact()
+        assert len(table.store.names(f"{table.path}/runs")) == left
+        assert rows(table.scan_all()) == [(0, 0.0), (1, 1.0)]
+        if grace:
+            assert rows(before) == [(0, 0.0), (1, 1.0)]
+        else:
+            assert len(table.store.versions()) == 1
+
+
+def test_slots_follow_the_data(spark, monkeypatch):
+    monkeypatch.setattr(series, "SLOT_ROWS", 500)
+    for t in ([1_700_000_000 + k for k in range(6000)], [k * k * k for k in range(6000)], [7] + [10**15 + k for k in range(6000)]):
+        df = spark.createDataFrame([(x,) for x in t], "timestamp long")
+        sizes = [r["n"] for r in series.slotted(df, series.slot_of(df)).groupBy(series.SLOT).agg({"timestamp": "count"}).toDF("slot", "n").collect()]
+        assert sum(sizes) == len(t) and len(sizes) >= 8 and max(sizes) <= 1500
+        assert sorted(rows(series.delta(df))) == [(b, b - a) for a, b in zip(t, t[1:], strict=False)]
+        assert sorted(rows(series.ranked(df).select("timestamp", "rank"))) == list(zip(t, range(len(t)), strict=True))
+    assert rows(series.delta(df.where("false"))) == []

@@ -1,21 +1,18 @@
 """Blocks of 1024 points: sparse index, file header, pruning, coded sizes."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.functions.codecs import CLASSES
 from tidemill.operators import series
 from tidemill.schema import BLOCK_POINTS
 
-#: Bits of a second difference by its class, as (lowest, highest, bits).
-DOD_CLASSES = ((0, 0, 1), (-63, 64, 9), (-255, 256, 12), (-2047, 2048, 16))
-DOD_OTHER = 68
 
-
-def blocked(points: DataFrame, width: int = series.WIDTH) -> DataFrame:
+def blocked(points: DataFrame, width: "int | Column | None" = None) -> DataFrame:
     return series.ranked(points, width).withColumn("block_id", F.expr(f"rank div {BLOCK_POINTS}"))
 
 
-def index(points: DataFrame, width: int = series.WIDTH) -> DataFrame:
+def index(points: DataFrame, width: "int | Column | None" = None) -> DataFrame:
     """block_id, first_timestamp, last_timestamp, point_count."""
     return (
         blocked(points, width)
@@ -38,12 +35,14 @@ def header(points: DataFrame) -> DataFrame:
     )
 
 
-def dod_bits(points: DataFrame, width: int = series.WIDTH) -> DataFrame:
-    """Bits that each block's timestamps take: 64 for each of the first two, a class for the rest."""
+def dod_bits(points: DataFrame, width: "int | Column | None" = None) -> DataFrame:
+    """Bits that each block's timestamps take in the codec: 64 for each of the first two, a class for the rest."""
     order = Window.partitionBy("block_id").orderBy("timestamp")
     t = F.col("timestamp")
     dod = t - 2 * F.lag(t, 1).over(order) + F.lag(t, 2).over(order)
-    cost = F.when(F.col("dod").isNull(), 64)
-    for low, high, bits in DOD_CLASSES:
-        cost = cost.when(F.col("dod").between(low, high), bits)
-    return blocked(points, width).withColumn("dod", dod).groupBy("block_id").agg(F.sum(cost.otherwise(DOD_OTHER)).cast("long").alias("dod_bits"))
+    cost = F.when(F.col("dod").isNull(), 64).when(F.col("dod") == 0, 1)
+    for _, prefix, payload in CLASSES[:-1]:
+        half = 1 << (payload - 1)
+        cost = cost.when(F.col("dod").between(-half, half - 1), prefix + payload)
+    rest = CLASSES[-1][1] + CLASSES[-1][2]
+    return blocked(points, width).withColumn("dod", dod).groupBy("block_id").agg(F.sum(cost.otherwise(rest)).cast("long").alias("dod_bits"))

@@ -109,7 +109,7 @@ def xor_decode(spark, sf_dir):
 
 
 def memtable_stats(spark, sf_dir):
-    return lww.distinct_count(_by(60_000_000, events(spark, sf_dir).where("seq < 100")), 4096, POINT_BYTES)
+    return lww.distinct_count(_by(60_000_000, events(spark, sf_dir)), 1 << 19, POINT_BYTES)
 
 
 def run_count(spark, sf_dir):
@@ -118,10 +118,15 @@ def run_count(spark, sf_dir):
 
 
 def wal_replay(spark, sf_dir):
-    """Records before the first invalid one, here the one of sequence 7000."""
-    rows = events(spark, sf_dir)
-    torn = rows.where("seq = 7000").agg(F.min("seq")).scalar()
-    return rows.where(F.col("seq") < F.coalesce(torn, F.lit(2**63 - 1))).select("timestamp", "value", "seq")
+    """Logs of a thousand records, each with a wrong checksum in record 700: the 700 before it come back."""
+
+    def make(t, v):
+        data = bytearray(b"".join(map(files.log_record, t, v)))
+        if len(t) > 700:
+            data[700 * 24 + 4] ^= 1
+        return bytes(data)
+
+    return _by_thousand(spark, sf_dir).mapInArrow(_through(make, _replayed), "timestamp long, value double")
 
 
 def codec_round_trip(spark, sf_dir):
@@ -132,18 +137,30 @@ def reversed_range(spark, sf_dir):
     return lww.between(points(spark, sf_dir), DAY[1], DAY[0])
 
 
+def _little_endian(bits):
+    """The eight bytes of a BIGINT, lowest first."""
+    code = F.lpad(F.hex(bits), 16, "0")
+    return F.unhex(F.concat(*[F.substring(code, 15 - 2 * k, 2) for k in range(8)]))
+
+
 def record_crc(spark, sf_dir):
-    """Checksum of each record's decimal form."""
-    return events(spark, sf_dir).select("seq", F.crc32(F.col("timestamp").cast("string").cast("binary")).alias("crc"))
+    """Checksum of each log record's payload: timestamp and value, little-endian."""
+    rows = events(spark, sf_dir).select("seq", "timestamp", double_bits("value").alias("bits"))
+    return rows.select("seq", F.crc32(F.concat(_little_endian(F.col("timestamp")), _little_endian(F.col("bits")))).alias("crc"))
 
 
 def array_kernels(spark, sf_dir):
-    """Differences and second differences inside each user's array of timestamps."""
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    arrays = rows.groupBy("user_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    """Differences, second differences and XORs inside each user's arrays of timestamps and values."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), double_bits("value").alias("bits"))
+    points = F.array_sort(F.collect_list(F.struct("t", "bits")))
+    arrays = rows.groupBy("user_id").agg(points.alias("p")).select("user_id", F.transform("p", lambda x: x["t"]).alias("t"), F.transform("p", lambda x: x["bits"]).alias("bits"))
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
-    d, dd = series.array_delta(F.col("t")), series.array_delta_of_delta(F.col("t"))
-    return arrays.select("user_id", F.size(d).cast("long").alias("deltas"), total(d).alias("delta_sum"), F.size(dd).cast("long").alias("dods"), total(dd).alias("dod_sum"))
+    d, dd, x = series.array_delta(F.col("t")), series.array_delta_of_delta(F.col("t")), series.array_xor(F.col("bits"))
+    return arrays.select(
+        "user_id",
+        F.size(d).cast("long").alias("deltas"), total(d).alias("delta_sum"), F.size(dd).cast("long").alias("dods"), total(dd).alias("dod_sum"),
+        F.size(x).cast("long").alias("xors"), total(F.transform(x, lambda y: F.bit_count(y).cast("long"))).alias("xor_bits"),
+    )
 
 
 def table_engine(spark, sf_dir):
@@ -201,16 +218,76 @@ def block_files(spark, sf_dir):
     return _by_thousand(spark, sf_dir).mapInArrow(_through(files.block_file, lambda data: files.read_block_file(data, *DAY)), "timestamp long, value double")
 
 
+def _replayed(data):
+    return list(zip(*files.replay(data), strict=True)) or ([], [])
+
+
 def log_records(spark, sf_dir):
     """Events through write-ahead logs of a thousand records, each torn in its last one."""
 
     def make(t, v):
         return b"".join(map(files.log_record, t, v))[:-10]
 
-    def read(data):
-        return list(zip(*files.replay(data), strict=True)) or ([], [])
+    return _by_thousand(spark, sf_dir).mapInArrow(_through(make, _replayed), "timestamp long, value double")
+
+
+def log_files(spark, sf_dir):
+    """Events appended by many writers to logs on disk, some of which are discarded, and replayed."""
+    folder = new_folder(spark, "logs")
 
-    return _by_thousand(spark, sf_dir).mapInArrow(_through(make, read), "timestamp long, value double")
+    def appended(batches):
+        for batch in batches:
+            for part, rows in zip(batch.column("part").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+                log = files.Log(f"{folder}/{part}")
+                for k, row in enumerate(rows):
+                    log.append(row["timestamp"], row["value"])
+                    if k % 250 == 0:
+                        log.sync()
+                if part % 5 == 4:
+                    log.discard()
+                else:
+                    log.close()
+                yield pa.RecordBatch.from_arrays([pa.array([part])], names=["part"])
+
+    _by_thousand(spark, sf_dir).mapInArrow(appended, "part long").write.format("noop").mode("overwrite").save()
+    return files.read_logs(spark, f"{folder}/*/{files.LOG}").select("timestamp", "value")
+
+
+def sst_files(spark, sf_dir):
+    """Events as numbered block files on disk, of which the day's points are read back."""
+    folder = new_folder(spark, "files")
+    files.write_block_files(points(spark, sf_dir), folder, per_file=3000)
+    return files.read_block_files(spark, folder, *DAY)
+
+
+def recover_folder(spark, sf_dir):
+    """A folder of block files and a log, as a stopped engine leaves it, opened as a table."""
+    folder = new_folder(spark, "folder")
+    rows = _by(60_000_000, events(spark, sf_dir))
+    files.write_block_files(lww.newest(rows.where("seq < 5000"), "seq"), folder, per_file=1000)
+    late = rows.where("seq >= 2500 and seq < 7500").groupBy().agg(F.array_sort(F.collect_list(F.struct("seq", "timestamp", "value"))).alias("rows"))
+
+    def appended(batches):
+        for batch in batches:
+            log = files.Log(folder)
+            for row in batch.column("rows").to_pylist()[0]:
+                log.append(row["timestamp"], row["value"] * 10 + 1)
+            log.close()
+            yield pa.RecordBatch.from_arrays([pa.array([1])], names=["done"])
+
+    late.mapInArrow(appended, "done long").write.format("noop").mode("overwrite").save()  # one log, of at most 5,000 records
+    return Table.from_folder(spark, folder, new_folder(spark, "table")).scan_all()
+
+
+def auto_compaction(spark, sf_dir):
+    """Runs and points after each of six flushes, which a full table does by itself; four runs are compacted."""
+    rows = _by(600_000_000, events(spark, sf_dir))
+    table = Table(spark, new_folder(spark, "table"), capacity=POINT_BYTES)
+    found = []
+    for k in range(6):
+        table.write_batch(rows.where(F.col("seq") % 6 == k))
+        found.append((k, table.run_count(), table.scan_all().count()))
+    return spark.createDataFrame(found, "step long, runs long, points long")
 
 
 QUERIES = {
@@ -218,7 +295,7 @@ QUERIES = {
     for f in (
         scan_range, scan_all, lww_upsert, merge_runs, compact, block_index, block_prune, file_header, dod_bits, delta, dod, xor, dod_decode,
         xor_decode, memtable_stats, run_count, wal_replay, codec_round_trip, reversed_range, record_crc, array_kernels,
-        table_engine, table_range, stream_ingest, block_files, log_records,
+        table_engine, table_range, stream_ingest, block_files, log_records, log_files, sst_files, recover_folder, auto_compaction,
     )
 }
 
@@ -242,8 +319,8 @@ ORACLES = {
         CAST(ceil(count(*) / 1024.0) AS BIGINT) AS block_count FROM p""",
     "dod_bits": f"""{_BLOCKS}, d AS (SELECT block_id, timestamp - 2 * lag(timestamp, 1) OVER w + lag(timestamp, 2) OVER w AS dod
         FROM b WINDOW w AS (PARTITION BY block_id ORDER BY timestamp))
-        SELECT block_id, CAST(sum(CASE WHEN dod IS NULL THEN 64 WHEN dod = 0 THEN 1 WHEN dod BETWEEN -63 AND 64 THEN 9
-        WHEN dod BETWEEN -255 AND 256 THEN 12 WHEN dod BETWEEN -2047 AND 2048 THEN 16 ELSE 68 END) AS BIGINT) AS dod_bits FROM d GROUP BY 1""",
+        SELECT block_id, CAST(sum(CASE WHEN dod IS NULL THEN 64 WHEN dod = 0 THEN 1 WHEN dod BETWEEN -64 AND 63 THEN 9
+        WHEN dod BETWEEN -256 AND 255 THEN 12 WHEN dod BETWEEN -2048 AND 2047 THEN 16 ELSE 68 END) AS BIGINT) AS dod_bits FROM d GROUP BY 1""",
     "delta": f"WITH {_P} SELECT timestamp, delta FROM (SELECT timestamp, timestamp - lag(timestamp) OVER (ORDER BY timestamp) AS delta FROM p) WHERE delta IS NOT NULL",
     "dod": f"""WITH {_P} SELECT timestamp, dod FROM (SELECT timestamp, timestamp - 2 * lag(timestamp, 1) OVER w + lag(timestamp, 2) OVER w AS dod
         FROM p WINDOW w AS (ORDER BY timestamp)) WHERE dod IS NOT NULL""",
@@ -251,24 +328,33 @@ ORACLES = {
         SELECT timestamp, xor(bits, lag(bits) OVER (ORDER BY timestamp)) AS xor FROM b) WHERE xor IS NOT NULL""",
     "dod_decode": f"WITH {_P} SELECT timestamp, timestamp AS decoded FROM p",
     "xor_decode": f"WITH {_P} SELECT timestamp, {_X} AS bits FROM p",
-    "memtable_stats": f"""WITH {_P} SELECT count(DISTINCT timestamp // 60000000) AS len, count(DISTINCT timestamp // 60000000) * 64 >= 4096 AS is_full,
-        count(DISTINCT timestamp // 60000000) = 0 AS is_empty FROM p WHERE event_id < 100""",
+    "memtable_stats": f"""WITH {_P} SELECT count(DISTINCT timestamp // 60000000) AS len, count(DISTINCT timestamp // 60000000) * 64 >= {1 << 19} AS is_full,
+        count(DISTINCT timestamp // 60000000) = 0 AS is_empty FROM p""",
     "run_count": "SELECT count(DISTINCT event_id // 2500) AS sst_count, count(DISTINCT event_id // 2500) >= 4 AS compacts FROM events",
-    "wal_replay": f"""WITH {_P} SELECT timestamp, value, event_id AS seq FROM p
-        WHERE event_id < coalesce((SELECT min(event_id) FROM p WHERE event_id = 7000), 9223372036854775807)""",
+    "wal_replay": f"""WITH {_P} SELECT timestamp, value FROM p
+        QUALIFY row_number() OVER (PARTITION BY event_id // 1000 ORDER BY event_id) <= 700""",
     "codec_round_trip": f"WITH {_P} SELECT timestamp, value FROM p",
     "reversed_range": f"WITH {_P} SELECT timestamp, value FROM p WHERE timestamp BETWEEN {DAY[1]} AND {DAY[0]}",
     "record_crc": f"""WITH {_P}, steps AS (SELECT list(v ORDER BY b) AS t FROM (
-        SELECT b, list_reduce(list_prepend(b, range(8)), lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)) AS v FROM range(256) r(b)))
-        SELECT event_id AS seq, CAST(xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(timestamp AS VARCHAR), ''), lambda c: ascii(c))),
-        lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) AS BIGINT) AS crc FROM p, steps""",
+        SELECT b, list_reduce(list_prepend(b, range(8)), lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)) AS v FROM range(256) r(b))),
+        payload AS (SELECT event_id, [timestamp, {_X}] AS words FROM p)
+        SELECT event_id AS seq, CAST(xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(16), lambda i: (words[i // 8 + 1] >> (8 * (i % 8))) & 255)),
+        lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) AS BIGINT) AS crc FROM payload, steps""",
     "block_files": f"WITH {_P} SELECT timestamp, value FROM p WHERE timestamp BETWEEN {DAY[0]} AND {DAY[1]}",
     "log_records": f"""WITH {_P} SELECT timestamp, value FROM p
         QUALIFY event_id < max(event_id) OVER (PARTITION BY event_id // 1000)""",
-    "array_kernels": """WITH d AS (SELECT user_id, epoch_us(ts) AS t, t - lag(t) OVER w AS d1, t - 2 * lag(t) OVER w + lag(t, 2) OVER w AS d2
-        FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts)))
+    "array_kernels": f"""WITH {_P}, d AS (SELECT user_id, epoch_us(ts) AS t, t - lag(t) OVER w AS d1, t - 2 * lag(t) OVER w + lag(t, 2) OVER w AS d2,
+        bit_count(xor({_X}, lag({_X}) OVER w)) AS x FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts)))
         SELECT user_id, count(d1) AS deltas, CAST(coalesce(sum(d1), 0) AS BIGINT) AS delta_sum, count(d2) AS dods,
-        CAST(coalesce(sum(d2), 0) AS BIGINT) AS dod_sum FROM d GROUP BY 1""",
+        CAST(coalesce(sum(d2), 0) AS BIGINT) AS dod_sum, count(x) AS xors, CAST(coalesce(sum(x), 0) AS BIGINT) AS xor_bits FROM d GROUP BY 1""",
+    "log_files": f"WITH {_P} SELECT timestamp, value FROM p WHERE event_id // 1000 % 5 <> 4",
+    "recover_folder": f"""WITH {_P}, r AS (
+        SELECT timestamp // 60000000 AS timestamp, 0 AS g, arg_max(value, event_id) AS value FROM p WHERE event_id < 5000 GROUP BY 1
+        UNION ALL SELECT timestamp // 60000000, 1, arg_max(value, event_id) * 10 + 1 FROM p WHERE event_id >= 2500 AND event_id < 7500 GROUP BY 1)
+        SELECT timestamp, arg_max(value, g) AS value FROM r GROUP BY 1""",
+    "auto_compaction": f"""WITH {_P}, s AS (SELECT range AS step FROM range(6))
+        SELECT step, CASE WHEN step < 3 THEN step + 1 ELSE (step - 3) % 3 + 1 END AS runs,
+        (SELECT count(DISTINCT timestamp // 600000000) FROM p WHERE event_id % 6 <= step) AS points FROM s""",
 }
 # A table, however it is written, holds the newest write of each timestamp.
-ORACLES |= {"table_engine": ORACLES["merge_runs"], "table_range": ORACLES["scan_range"], "stream_ingest": ORACLES["lww_upsert"]}
+ORACLES |= {"table_engine": ORACLES["merge_runs"], "table_range": ORACLES["scan_range"], "sst_files": ORACLES["scan_range"], "stream_ingest": ORACLES["lww_upsert"]}

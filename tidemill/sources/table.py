@@ -3,9 +3,11 @@
 ``write_batch`` appends to a journal of Parquet batches; they are the pending
 points. ``flush`` turns them into one sorted generation. Opening a table always
 sees committed generations and journal batches alike, so nothing is lost when a
-writer stops. Every scan gives one row per timestamp, the newest write, in order.
+writer stops. Runs that are no longer live stay for ``grace`` seconds, for readers that
+began before. Every scan gives one row per timestamp, the newest write, in order.
 """
 
+import time
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,19 +15,38 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import lww
 from tidemill.schema import POINT, POINT_BYTES, POINT_SEQ, checked
+from tidemill.sources import files
 from tidemill.sources.manifest import Snapshot, Store
 
 #: Live runs at which a flush is followed by a compaction.
 COMPACT_AT = 4
+#: Seconds for which runs stay after they have left the list.
+GRACE = 3600
 #: Sorted timestamps shrink to a few bits each as second differences; doubles as zstd.
 LAYOUT = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"}
 
 
 class Table:
-    def __init__(self, spark: SparkSession, path: str, capacity: int = 4 << 20, compact_at: int = COMPACT_AT):
-        self.spark, self.path, self.capacity, self.compact_at = spark, path.rstrip("/"), capacity, compact_at
+    def __init__(self, spark: SparkSession, path: str, capacity: int = 4 << 20, compact_at: int = COMPACT_AT, grace: float = GRACE):
+        self.spark, self.path, self.capacity, self.compact_at, self.grace = spark, path.rstrip("/"), capacity, compact_at, grace
         self.store = Store(spark, self.path)
 
+    @classmethod
+    def from_folder(cls, spark: SparkSession, folder: str, path: str, **options) -> "Table":
+        """A new table at ``path`` with the points of a folder of numbered block files and a log: the
+        files' points are one run, those of the log are pending. Of several values of a timestamp the log's
+        last one counts, else that of the highest number."""
+        table = cls(spark, path, **options)
+        found = [name for name in table.store.names(folder) if name.endswith(".sst")]
+        if found:
+            stored = files.read_block_files(spark, f"{folder.rstrip('/')}/*.sst", numbered=True)
+            snapshot = table.store.read()
+            run = table._store_run(lww.newest(stored, "generation"), snapshot)
+            table.store.commit(replace(snapshot, runs=(*snapshot.runs, (run, run)), next_id=run + 1))
+        if table.store.exists(f"{folder.rstrip('/')}/{files.LOG}"):
+            table.write_batch(files.read_logs(spark, f"{folder.rstrip('/')}/{files.LOG}"))
+        return table
+
     # Reading
 
     def _run_path(self, run: int) -> str:
@@ -70,12 +91,34 @@ class Table:
         """Upserts (timestamp, value, seq); a higher seq is newer. Flushes when full."""
         snapshot = self.store.read()
         taken = [int(n) for n in self.store.names(f"{self.path}/journal")]
-        batch = max([0, *taken, *snapshot.consumed]) + 1
-        checked(points, "timestamp", "value", "seq").write.parquet(f"{self.path}/journal/{batch}")
-        fill = lww.distinct_count(self.pending(snapshot), self.capacity, POINT_BYTES).first()
-        if fill["is_full"]:
+        batch = max([snapshot.next_batch, *(n + 1 for n in taken)])
+        rows = checked(points, "timestamp", "value", "seq")
+        rows.write.parquet(f"{self.path}/journal/{batch}")
+        if self._full(snapshot, batch):
             self.flush()
 
+    def _full(self, snapshot: Snapshot, batch: int) -> bool:
+        """Whether the pending points use up the capacity.
+
+        A file ``fill/<batch>.<count>.<kind>`` keeps the distinct timestamps of a batch (``own``) or of all that
+        were pending with it (``all``). Their sum is an upper bound, so all pending points are
+        counted only when it reaches the capacity."""
+        marks = {}
+        for name in self.store.names(f"{self.path}/fill"):
+            number, count, kind = name.split(".")
+            marks[int(number), kind] = int(count)
+        names = [int(n) for n in self._journal(snapshot)]
+        own = self.spark.read.schema(POINT_SEQ).parquet(f"{self.path}/journal/{batch}")
+        marks[batch, "own"] = lww.distinct_count(own, self.capacity, POINT_BYTES).first()["len"]
+        self.store.touch(f"{self.path}/fill/{batch}.{marks[batch, 'own']}.own")
+        whole = max((n for n, kind in marks if kind == "all" and n >= names[0]), default=None)
+        bound = (marks[whole, "all"] if whole else 0) + sum(marks.get((n, "own"), self.capacity) for n in names if not whole or n > whole)
+        if bound * POINT_BYTES < self.capacity:
+            return False
+        found = lww.distinct_count(self.pending(snapshot), self.capacity, POINT_BYTES).first()
+        self.store.touch(f"{self.path}/fill/{batch}.{found['len']}.all")
+        return found["is_full"]
+
     def write(self, timestamp: int, value: float) -> None:
         self.write_batch(self.spark.createDataFrame([(timestamp, value, 0)], POINT_SEQ))
 
@@ -92,18 +135,25 @@ class Table:
         if not names:
             return
         run = self._store_run(self.pending(snapshot), snapshot)
-        self.store.commit(replace(snapshot, runs=(*snapshot.runs, (run, run)), next_id=run + 1, consumed=(*snapshot.consumed, *map(int, names))))
-        for name in names:
-            self.store.remove(f"{self.path}/journal/{name}")
+        there = set(self.store.names(f"{self.path}/journal"))
+        consumed = (*(n for n in snapshot.consumed if str(n) in there), *map(int, names))
+        new = replace(snapshot, runs=(*snapshot.runs, (run, run)), next_id=run + 1, consumed=consumed, next_batch=max(snapshot.next_batch, *consumed) + 1)
+        self.store.commit(new)
+        for n in consumed:
+            self.store.remove(f"{self.path}/journal/{n}")
+        for name in self.store.names(f"{self.path}/fill"):
+            if int(name.split(".")[0]) in consumed:
+                self.store.remove(f"{self.path}/fill/{name}")
         self.settle()
 
     def add_run(self, points: DataFrame, query: str, batch: int) -> bool:
-        """One streaming batch as a generation; False if it is already in the table."""
+        """One streaming batch as a generation; False if it is already in the table. A query's batches rise."""
         snapshot = self.store.read()
-        if (query, batch) in snapshot.batches:
+        done = dict(snapshot.batches)
+        if batch <= done.get(query, -1):
             return False
         run = self._store_run(lww.newest(points, "seq"), snapshot)
-        self.store.commit(replace(snapshot, runs=(*snapshot.runs, (run, run)), next_id=run + 1, batches=(*snapshot.batches, (query, batch))))
+        self.store.commit(replace(snapshot, runs=(*snapshot.runs, (run, run)), next_id=run + 1, batches=tuple((done | {query: batch}).items())))
         self.settle()
         return True
 
@@ -111,20 +161,26 @@ class Table:
         if self.run_count() >= self.compact_at:
             self.compact()
 
-    def compact(self, keep_old: bool = False) -> None:
-        """All live runs become one; ``keep_old`` leaves the old files to readers."""
+    def compact(self) -> None:
+        """All live runs become one."""
         snapshot = self.store.read()
         if len(snapshot.runs) < 2:
             return
         run = self._store_run(lww.merged(self.runs(snapshot)), snapshot)
         rank = max(generation for _, generation in snapshot.runs)
         self.store.commit(replace(snapshot, runs=((run, rank),), next_id=run + 1))
-        if not keep_old:
-            self.clean()
+        self.clean()
 
     def clean(self) -> None:
-        """Removes run directories that no manifest lists; call it when no reader is left."""
-        live = {str(x) for x in self.store.read().names()}
+        """Removes the runs, and the lists, that were replaced more than ``grace`` seconds ago."""
+        versions = self.store.versions()
+        now = time.time()
+        kept = [number for (number, _), (_, replaced) in zip(versions, [*versions[1:], (0, now)], strict=True) if now - replaced < self.grace or number == versions[-1][0]]
+        live = {str(x) for number in kept for x in self.store.read(number).names()}
+        newest = self.store.read().next_id
         for name in self.store.names(f"{self.path}/runs"):
-            if name not in live:
+            if name not in live and int(name) < newest:
                 self.store.remove(f"{self.path}/runs/{name}")
+        for number, _ in versions:
+            if number not in kept:
+                self.store.remove(f"{self.path}/manifest/{number}.json")
