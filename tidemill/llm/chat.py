@@ -32,6 +32,8 @@ ESCAPES = (("\\", "\\\\"), ("###", "\\h"), ("</turn>", "\\e"))
 RESETS = ("edit", "regenerate")
 LOSS_ROLE = "assistant"
 PROBE = "\\### Assistant: </turn> ok"
+#: Sequence numbers between two turns of an eventful log.
+EVENTS = 8
 
 
 def escape(text: Column) -> Column:
@@ -115,17 +117,31 @@ def masked(formatted: Column, loss: Column) -> Column:
     return F.array_join(F.transform(loss, lambda s: unescape(formatted.substr((s["start"] + 1).cast("int"), s["chars"].cast("int")))), "")
 
 
-def as_log(conversations: DataFrame) -> DataFrame:
-    """Rows by turn as a log: row k of a conversation is the event of sequence k."""
+def as_log(conversations: DataFrame, eventful: bool = False) -> DataFrame:
+    """Rows by turn as a log, whose fold gives the rows back.
+
+    A turn is one delta. With ``eventful`` it arrives as events do in a live log: a first draft, which
+    for every third turn is one of the next turn too, is taken back by an edit (of a user) or a
+    regeneration that starts anew with the text's first third; the other thirds follow as deltas."""
     order = Window.partitionBy("conv_id").orderBy(*[F.asc_nulls_first(c) for c in ("turn", "role", "text")])
-    return conversations.select("conv_id", "turn", "role", "text").select(
-        "conv_id",
-        F.row_number().over(order).cast("long").alias("seq"),
-        F.row_number().over(order).cast("long").alias("turn"),
-        F.lit("delta").alias("kind"),
-        "role",
-        "text",
+    rows = conversations.select("conv_id", "turn", "role", "text").withColumn("k", F.row_number().over(order).cast("long"))
+    if not eventful:
+        return rows.select("conv_id", F.col("k").alias("seq"), F.col("k").alias("turn"), F.lit("delta").alias("kind"), "role", "text")
+    text, third = F.coalesce("text", F.lit("")), F.ceil(F.char_length(F.coalesce("text", F.lit(""))) / 3).cast("int")
+    part = lambda n: text.substr(third * n + 1, third if n < 2 else F.char_length(text))
+    anew = F.when(F.col("role") == LOSS_ROLE, "regenerate").otherwise("edit")
+    event = lambda step, turn, kind, text, role="role": F.struct(
+        (F.col("k") * EVENTS + step).alias("seq"), turn.alias("turn"), kind.alias("kind"), (F.col(role) if role == "role" else F.lit(role)).alias("role"), text.alias("text")
     )
+    delta, ahead = F.lit("delta"), F.when(F.col("k") % 3 == 0, F.col("k") + 1).otherwise(F.col("k"))
+    steps = [
+        event(0, F.col("k"), delta, F.concat(F.lit("draft: "), text)),
+        event(1, ahead, delta, F.lit("### taken back </turn>"), "draft"),
+        event(2, F.col("k"), anew, part(0)),
+        event(3, F.col("k"), delta, part(1)),
+        event(4, F.col("k"), delta, part(2)),
+    ]
+    return rows.select("conv_id", F.explode(F.array(*steps)).alias("e")).select("conv_id", "e.*")
 
 
 def op2_chat(spark, sf_dir: str) -> DataFrame:
@@ -138,7 +154,7 @@ def op2_chat(spark, sf_dir: str) -> DataFrame:
     )
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return (
-        render(fold(as_log(rows.unionByName(probe))))
+        render(fold(as_log(rows.unionByName(probe), eventful=True)))
         .select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"), masked(F.col("formatted"), F.col("loss")).alias("learnt"))
         .select(
             "conv_id",
