@@ -1,7 +1,7 @@
 """Licence scan by canonical digest lookup, in DataFrame functions only.
 
-A text is brought to a canonical form: letters in lower case; lines that hold only
-a copyright statement left out; equivalent spellings made one; every run of other
+A text is brought to a canonical form: letters in lower case; copyright statements left out, whole
+lines or up to the terms that follow on their line; equivalent spellings made one; every run of other
 characters than letters and digits made one space; trimmed. The SHA-256 of the
 canonical form of the entire text is joined to the digests of known licences, made
 by the same functions from their texts. ``LIMIT`` bounds the known licences, and
@@ -116,15 +116,26 @@ SPELLINGS = (
     ("utilisation", "utilization"),
     ("whilst", "while"),
 )
-#: A line that is only a copyright statement, and a run of separators.
-COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n©]*(copyright[ \t]*(\(c\)|©|[0-9]{4}|<year>|\[year\])|\(c\)[ \t]*(copyright|[0-9]{4})|©|all rights reserved[^a-z0-9\n]*$)[^\n]*$"
+#: How the terms begin that may follow a copyright statement on its line.
+TERMS = (
+    "everyone is permitted", "licensed under", "permission is hereby granted", "permission to use", "redistribution and use", "redistribute and use",
+    "released under", "this program is free software", "this software is provided", "this work is licensed",
+)
+_TERMS = "|".join(TERMS)
+#: Copyright statements. One with a sign or a year goes up to the terms or the end of its line; one with a
+#: name only must be a paragraph of its own or begin one whose terms follow on its line.
+STATEMENT = rf"(?m)^[^a-z0-9\n©]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]{{4}}|<year>|\[year\])|\(c\)[ \t]*(?:copyright|[0-9]{{4}})|©)[^\n]*?({_TERMS}|\n|\z)"
+RESERVED = r"(?m)^[^a-z0-9\n©]*all rights reserved[^a-z0-9\n]*$"
+NAMED = rf"(?:\A|\n[ \t\r]*\n)[^a-z0-9\n©]*copyright[ \t][^\n]*?({_TERMS}|\n[ \t\r]*\n|\n?\z)"
+#: Fixed value: a run of separators.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x{A0}\x{2000}-\x{206F}]+"
 
 
 def canonical(text: Column) -> Column:
     text = F.lower(F.coalesce(text, F.lit("")))
     marked = text.contains("copyright") | text.contains("(c)") | text.contains("©") | text.contains("all rights reserved")
-    text = F.when(marked, F.regexp_replace(text, COPYRIGHT_LINE, "")).otherwise(text)
+    plain = F.regexp_replace(F.regexp_replace(text, STATEMENT, "$1"), RESERVED, "")
+    text = F.when(marked, F.regexp_replace(plain, NAMED, "\n\n$1")).otherwise(text)
     for other, one in SPELLINGS:
         text = F.replace(text, F.lit(other), F.lit(one))
     return F.trim(F.regexp_replace(text, SEPARATORS, " "))
@@ -175,7 +186,9 @@ def op10_licences(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql_form(text: str) -> str:
-    form = f"regexp_replace(lower(coalesce({text}, '')), '{COPYRIGHT_LINE}', '', 'g')"
+    form = f"lower(coalesce({text}, ''))"
+    for pattern, rest in ((STATEMENT, "'\\1'"), (RESERVED, "''"), (NAMED, "chr(10) || chr(10) || '\\1'")):
+        form = f"regexp_replace({form}, '{pattern}', {rest}, 'g')"
     for other, one in SPELLINGS:
         form = f"replace({form}, '{other}', '{one}')"
     return f"trim(regexp_replace({form}, '{SEPARATORS}', ' ', 'g'))"
