@@ -1,6 +1,7 @@
 """Proportional stratified interleaving of documents into shards (law ``rows``).
 
-Rows of each source are ranked in a seeded shuffled order. A row of rank r among
+Rows of each source are ranked in a seeded shuffled order, that of a digest of seed, id and checksum
+of the text, so rows without an id or with one id are spread like any others. A row of rank r among
 the n rows of its source has the fractional rank (2r + 1) / 2n. All rows, sorted
 by fractional rank, are cut into ranges whose lengths differ by at most one, so
 each shard holds every source in the proportion of the whole.
@@ -37,13 +38,14 @@ def _before(counts: DataFrame, within: list[str], by: str) -> DataFrame:
 def keyed(docs: DataFrame, seed: str, buckets: int) -> DataFrame:
     """One narrow row per document; the text goes no further than its size and checksum."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    crc = F.crc32(text)
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), crc.cast("string")).cast("binary"))
     stratum = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("v"), F.col("source")))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         stratum.alias("stratum"),
         (F.octet_length(text).cast("long") + 8).alias("size"),
-        F.crc32(text).alias("text_crc32"),
+        crc.alias("text_crc32"),
         key.alias("key"),
         _slice(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), 1 << 32, buckets).alias("bucket"),
     )
@@ -100,7 +102,7 @@ _CRC_STEP = "xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)"
 SQL = f"""
 WITH narrow AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 'v' || source END AS stratum,
-    md5('tide:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key, coalesce(text, '') AS text,
+    coalesce(text, '') AS text,
     CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) + 8 AS size
   FROM documents),
 steps AS (
@@ -110,13 +112,14 @@ digits AS (
   SELECT narrow.*, steps.t, list_transform(CASE WHEN text = '' THEN [] ELSE string_split(hex(encode(text)), '') END,
     lambda c: position(c IN '0123456789ABCDEF') - 1) AS d FROM narrow, steps),
 sums AS (
-  SELECT doc_id, stratum, key, size,
+  SELECT doc_id, stratum, size,
     xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, len(d) // 2), lambda i: d[2 * i + 1] * 16 + d[2 * i + 2])),
       lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) AS text_crc32
   FROM digits),
+keyed AS (SELECT *, md5('tide:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(text_crc32 AS VARCHAR)) AS key FROM sums),
 ranked AS (
   SELECT *, CAST(2 * row_number() OVER (PARTITION BY stratum ORDER BY key, doc_id NULLS FIRST, text_crc32, size) - 1 AS DOUBLE)
-    / CAST(2 * count(*) OVER (PARTITION BY stratum) AS DOUBLE) AS fraction FROM sums),
+    / CAST(2 * count(*) OVER (PARTITION BY stratum) AS DOUBLE) AS fraction FROM keyed),
 placed AS (
   SELECT *, row_number() OVER (ORDER BY fraction, stratum, key, doc_id NULLS FIRST, text_crc32, size) - 1 AS place,
     count(*) OVER () AS total FROM ranked)
