@@ -52,6 +52,56 @@ def test_components_by_definition(spark, monkeypatch, size, percent, chunk):
     assert found == brute(rows, size, percent)
 
 
+def test_regular_texts_are_told_apart(spark):
+    """Polynomial hashes modulo 2**64 take the two Thue-Morse words of 2,048 letters for one."""
+    x, y = ("".join(letters[bin(k).count("1") % 2] for k in range(2048)) for letters in ("ab", "ba"))
+    rows = [(1, f"w1 w2 {x}"), (2, f"w1 w2 {y}"), (3, f"w1 w2 {x}"), (4, x), (5, y), (6, f"{x} {y}"), (7, f"{y} {x}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.join(docs, 3, 90).collect()), key=str) == brute(rows, 3, 90)
+
+
+@pytest.mark.parametrize("crowd", [1000, 4])
+@pytest.mark.parametrize("flush", [1 << 20, 300])
+def test_crowded_keys_and_many_tasks(spark, monkeypatch, crowd, flush):
+    monkeypatch.setattr(jaccard, "KEY_SETS", crowd)
+    monkeypatch.setattr(jaccard, "PACK_KEYS", flush)
+    monkeypatch.setattr(jaccard, "CHUNK_SETS", 25)
+    monkeypatch.setattr(jaccard, "BIN_SETS", 5)
+    rows = near_copies(31, 260)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(map(tuple, jaccard.join(docs, 3, 90).collect()), key=str) == brute(rows, 3, 90)
+
+
+def test_neighbours_by_definition():
+    r = np.random.default_rng(5)
+    size = r.integers(20, 60, 40)
+    vector = np.array([np.bincount(r.integers(0, 4, n) * r.integers(1, 3), minlength=jaccard.DIMENSIONS) for n in size]).astype(np.uint8)
+    pairs = sorted({(int(r.integers(0, 12)), int(r.integers(0, 40))) for _ in range(90)})
+    key, node = np.array(pairs).T
+    fits = lambda a, b: 190 * int(np.minimum(vector[a], vector[b]).sum()) >= 90 * int(size[a] + size[b])
+    want = {x: x for x in range(40)}
+
+    def find(of, x):
+        while of[x] != x:
+            x = of[x]
+        return x
+
+    for k in set(key.tolist()):
+        own = node[key == k].tolist()
+        for a in own:
+            for b in own:
+                if a < b and fits(a, b):
+                    p, q = sorted((find(want, a), find(want, b)))
+                    want[q] = p
+    got = {x: x for x in range(40)}
+    for a, b in zip(*(x.tolist() for x in jaccard.neighbours(key, node, np.zeros(len(key), bool), size, vector, 90)), strict=True):
+        assert fits(a, b)
+        p, q = sorted((find(got, a), find(got, b)))
+        got[q] = p
+    assert [find(got, x) for x in range(40)] == [find(want, x) for x in range(40)]
+    assert len({find(got, x) for x in range(40)}) > 5
+
+
 def test_linked_pairs_share_a_key():
     r = random.Random(1)
     for percent in (80, 90):

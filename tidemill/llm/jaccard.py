@@ -2,27 +2,33 @@
 
 A document is the set of its distinct shingles: runs of ``size`` words, or all its words
 if it has fewer but any. Two documents link if 100 * intersection >= percent * union.
+A shingle is known by 128 bits made from BLAKE2b digests of its words.
 
 1. Documents with one set are one class; its smallest id stands for it.
 2. Candidates. Sets in one size band (or in neighbouring bands) are dealt to G groups
    by shingle hash. A linked pair differs in at most ``differ`` shingles, so with G =
    differ + 1 + slack groups at least 1 + slack groups hold the same shingles in both.
    A class gives a key per filled group (and per empty one if it has more than slack of
-   them), so every linked pair shares a key. Keys that one class has alone are dropped.
-3. Classes joined by keys make candidate clusters. A cluster goes to one task or, when it
-   is large, its bands are cut to chunks and each pair of chunks goes to one.
+   them), so every linked pair shares a key. Keys that one set has alone are dropped. Sets of
+   a key become neighbours only if their short count vectors, sent to the keys that are
+   left, let them link; so sets that share a key by chance don't chain. Only of a key
+   with more than ``KEY_SETS`` sets all are neighbours; such a key is combined in each task
+   before the shuffle.
+3. Neighbours make candidate clusters. Small clusters are dealt to bins. Those of more than a
+   chunk are parted once more by full count vectors, and what is still large is cut to
+   chunks, by bands of size, and each pair of chunks goes to one task.
 4. A task indexes group counts of its sets as points of an R-tree. The overlap with
    anything below a node is at most the sum of minima of the coordinates of the set and of
-   the node's maxima. Pairs that survive make smaller clusters, whose sets are then dealt to
-   tasks in the same way and verified. Pairs that are in one component already are passed
-   over: no link between them changes a component.
+   the node's maxima. Pairs that survive are verified. Pairs that are in one component
+   already are passed over: no link between them changes a component.
 5. Components of the links found.
 
-Where the ids that documents are filtered by are more than ``BROADCAST_IDS``, they are
-joined by shuffle instead of broadcast.
+Where the ids that documents are filtered by are more than ``skew.BROADCAST_IDS``, they
+are joined by shuffle instead of broadcast.
 
 No pair is lost, whatever its cluster's size, and no task holds more than a chunk pair.
-A cluster of n sets that share keys but do not link costs up to (n / chunk) ** 2 tasks.
+A cluster of n sets whose count vectors let them link, but which do not, costs up to
+(n / chunk) ** 2 tasks.
 
 Defined results: a null text counts as empty; a document without words has no shingles and
 links with nothing; rows with a null id link with nothing and have no component; rows of
@@ -35,21 +41,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm import graph, packed, scan
+from tidemill.llm import graph, packed, scan, skew
 
 SIZE, PERCENT = 5, 80
 DIMENSIONS, MOST_DIMENSIONS, PER_GROUP, FANOUT = 64, 4096, 8, 16
-#: Most sets, and about the most shingles, of one side of a task.
-CHUNK_SETS, CHUNK_SHINGLES = 2_000, 1 << 22
-#: (key, class) pairs behind each bucket of keys.
-BUCKET_KEYS = 1 << 20
-#: Most ids (16 MB) that are broadcast to filter documents; more are joined by shuffle.
-BROADCAST_IDS = 2_000_000
+#: Most sets, and about the most shingles, of one side of a task; sets of small clusters in a bin.
+CHUNK_SETS, CHUNK_SHINGLES, BIN_SETS = 2_000, 1 << 22, 500
+#: (key, set) pairs behind each part of the keys and in each pack of them, and bytes of text taken for one shingle.
+PART_KEYS, PACK_KEYS, SHINGLE_BYTES = 1 << 20, 1 << 18, 6
+#: Most sets of a key that are compared by their short count vectors.
+KEY_SETS = 1_000
 SETS = [("doc_id", pa.int64()), ("n", pa.int64()), ("print_a", pa.int64()), ("print_b", pa.int64())]
-PAIRS = [("_part", pa.int32()), ("n", pa.int64()), ("m", pa.int64()), ("keys", pa.binary()), ("nodes", pa.binary()), ("counts", pa.binary())]
-NODE_BITS = np.uint64((1 << 48) - 1)
+PAIRS = [("_part", pa.int32()), ("pairs", pa.int64()), ("nodes", pa.int64()), *((x, pa.binary()) for x in ("key", "node", "per_node", "edge_a", "edge_b"))]
+VECTORS = [("node", pa.int64()), ("_part", pa.int32()), ("n", pa.int64()), ("vector", pa.binary())]
+SCANNED = [*SETS, ("vector", pa.binary()), *PAIRS]
+NODE_BITS = np.uint64((1 << 62) - 1)
 EDGES = [("a", pa.int64()), ("b", pa.int64())]
-SHINGLES = [("doc_id", pa.int64()), ("n", pa.int64()), ("members", pa.binary())]
 WORDS = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
 
 
@@ -74,21 +81,22 @@ def groups(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, size: int):
-    """(hashes, firsts): the distinct shingles of each text, in order of their hashes."""
+    """(hashes, other halves of them, firsts): the distinct shingles of each text, in order of hash."""
     low = scan.LOWER[data]
     starts, ends, firsts = scan.words(low, offs, scan.NOT_SPACE)
-    words = scan.word_hashes(low, starts, ends)
-    at, hashes = scan.windows(words, firsts, size)
-    text = np.searchsorted(firsts, at, side="right") - 1
     counts = np.diff(firsts)
     short = np.flatnonzero((counts > 0) & (counts < size))
-    whole = scan.span(scan.prefix(words), firsts[short], firsts[short + 1])
-    hashes, text = np.concatenate([hashes, whole]), np.concatenate([text, short])
-    order = np.lexsort((hashes, text))
-    hashes, text = hashes[order], text[order]
+    lanes = []
+    for words in scan.digests(low, starts, ends):
+        at, hashes = scan.windows(words, firsts, size)
+        lanes.append(np.concatenate([hashes, scan.span(scan.prefix(words), firsts[short], firsts[short + 1])]))
+    text = np.concatenate([np.searchsorted(firsts, at, side="right") - 1, short])
+    hashes, others = lanes
+    order = np.lexsort((others, hashes, text))
+    hashes, others, text = hashes[order], others[order], text[order]
     new = np.ones(len(hashes), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
-    return hashes[new], np.searchsorted(text[new], np.arange(len(offs)))
+    new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1]) | (others[1:] != others[:-1])
+    return hashes[new], others[new], np.searchsorted(text[new], np.arange(len(offs)))
 
 
 def summed(values: np.ndarray, firsts: np.ndarray) -> np.ndarray:
@@ -137,78 +145,223 @@ def keys_of(hashes: np.ndarray, firsts: np.ndarray, percent: int):
     return keys[order], np.searchsorted(text[order], np.arange(len(firsts)))
 
 
-def prints(hashes: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def prints(hashes: np.ndarray, others: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two fingerprints of each set."""
-    return summed(scan.mix(hashes + np.uint64(1)), firsts), summed(scan.mix(hashes ^ np.uint64(0xE7037ED1A0B428DB)), firsts)
+    return summed(scan.mix(hashes + np.uint64(1)), firsts), summed(scan.mix(others ^ np.uint64(0xE7037ED1A0B428DB)), firsts)
+
+
+def short_vectors(hashes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Counts of ``DIMENSIONS`` groups, cut off at 255, of each set."""
+    spot = scan.owner(firsts) * DIMENSIONS + ((hashes >> np.uint64(17)) % np.uint64(DIMENSIONS)).astype(np.int64)
+    return np.minimum(np.bincount(spot, minlength=(len(firsts) - 1) * DIMENSIONS), 255).astype(np.uint8).reshape(-1, DIMENSIONS)
+
+
+def _rows(fields, columns: dict, count: int) -> pa.RecordBatch:
+    """A batch of all fields, null where there is no column."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[name], kind) if name in columns else pa.nulls(count, kind) for name, kind in fields], names=[name for name, _ in fields])
+
+
+class Keys:
+    """Gathers the keys of sets and packs them by part. A node is the first fingerprint of a set, cut to
+    62 bits: copies are one node."""
+
+    def __init__(self, percent: int, parts: int):
+        self.percent, self.parts = percent, parts
+        self.key, self.node, self.count = [], [], 0
+
+    def add(self, hashes, firsts, print_a) -> None:
+        key, key_firsts = keys_of(hashes, firsts, self.percent)
+        self.key.append(key)
+        self.node.append(np.repeat((print_a & NODE_BITS).astype(np.int64), np.diff(key_firsts)))
+        self.count += len(key)
+
+    def flush(self) -> pa.RecordBatch:
+        key, node = np.concatenate(self.key), np.concatenate(self.node)
+        self.__init__(self.percent, self.parts)
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        key, node = key[new], node[new]
+        # Keys of very many sets go on with the smallest of them; the others are its neighbours.
+        begins, ends = packed.runs(key)
+        many = np.repeat(ends - begins > KEY_SETS, ends - begins)
+        head = np.zeros(len(key), bool)
+        head[begins] = True
+        gone = many & ~head
+        edges = graph.local_stars(node[gone], np.repeat(node[begins], ends - begins)[gone])
+        rows = _packed(key[~gone], node[~gone], (many & head)[~gone], packed.scaled(key[~gone], self.parts))
+        if len(edges[0]):
+            rows.append((int(edges[1][0]) % self.parts, len(edges[0]), 0, None, None, None, *map(packed.pack, edges)))
+        columns = dict(zip([name for name, _ in PAIRS], zip(*rows, strict=True), strict=True))
+        return _rows(SCANNED, columns, len(rows))
+
+
+def _packed(key: np.ndarray, node: np.ndarray, crowded: np.ndarray, part: np.ndarray) -> list[tuple]:
+    """A row of PAIRS for each part."""
+    order = np.lexsort((key, node, part))
+    key, node, crowded, part = key[order], node[order], crowded[order], part[order]
+    rows = []
+    for a, b in zip(*packed.runs(part), strict=True):
+        starts, stops = packed.runs(node[a:b])
+        keys = packed.pack(key[a:b]) + np.packbits(crowded[a:b]).tobytes()
+        rows.append((int(part[a]), int(b - a), len(starts), keys, packed.pack_rising(node[a:b][starts]), packed.pack(stops - starts), None, None))
+    return rows
+
+
+def _unpacked(rows: list[dict]):
+    """(keys, nodes, crowded) of rows of PAIRS."""
+    found = []
+    for r in rows:
+        n, m = r["pairs"], r["nodes"]
+        cut = len(r["key"]) - (n + 7) // 8
+        crowded = np.unpackbits(np.frombuffer(r["key"][cut:], np.uint8), count=n).astype(bool)
+        found.append((packed.unpack(r["key"][:cut], n), np.repeat(packed.unpack_rising(r["node"], m), packed.unpack(r["per_node"], m)), crowded))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """The keys of a part that several sets have, and the edges."""
+    rows = table.to_pylist()
+    key, node, crowded = _unpacked([r for r in rows if r["nodes"]])
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+    crowded = np.logical_or.reduceat(crowded[order], np.flatnonzero(new)) if len(key) else crowded
+    key, node = key[new], node[new]
+    begins, ends = packed.runs(key)
+    keep = np.repeat(ends - begins > 1, ends - begins)
+    part = rows[0]["_part"]
+    found = _packed(key[keep], node[keep], crowded[keep], np.full(int(keep.sum()), part))
+    found += [tuple(r.values()) for r in rows if not r["nodes"]]
+    scan.give_back()
+    return pa.Table.from_batches([packed.batch(PAIRS, found)])
+
+
+def _wanted(batches):
+    """(node, part) of the nodes whose count vectors a part needs."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["nodes"]:
+                yield pa.RecordBatch.from_arrays([pa.array(packed.unpack_rising(r["node"], r["nodes"])), pa.array(np.full(r["nodes"], r["_part"], np.int32))], names=["node", "_part"])
 
 
-def _described(size: int):
-    """One row per document: its set's size and fingerprints."""
+def _nodes(node: np.ndarray, size: np.ndarray, vector: np.ndarray):
+    """Distinct nodes, rising; of several sets of one node the smallest size and the largest counts,
+    which bound the overlap with each of them."""
+    order = np.argsort(node, kind="stable")
+    begins, _ = packed.runs(node[order])
+    if not len(begins):
+        return node, size, vector
+    return node[order][begins], np.minimum.reduceat(size[order], begins), np.maximum.reduceat(vector[order], begins, axis=0)
 
-    def described(batches):
+
+def _scanned(size: int, percent: int, parts: int):
+    """One row per document (its set's size and fingerprints), and packed keys of the sets."""
+
+    def scanned(batches):
+        keys = Keys(percent, parts)
         for batch in batches:
             ids = batch.column(0)
             for first, end, data, offs in scan.chunks(batch.column(1)):
-                hashes, firsts = shingles(data, offs, size)
-                a, b = prints(hashes, firsts)
-                yield pa.RecordBatch.from_arrays([ids.slice(first, end - first), pa.array(np.diff(firsts), pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=[n for n, _ in SETS])
-
-    return described
-
-
-def _dealt(size: int, percent: int, parts: int):
-    """Packed (key, node) pairs. A node is the first fingerprint of a set, cut to 48 bits: copies are
-    one node, and a clash of two sets only makes their candidate clusters one."""
-
-    def dealt(batches):
-        keys, nodes, held = [], [], 0
-
-        def flush():
-            key, node = np.concatenate(keys), np.concatenate(nodes)
-            part = packed.scaled(key, parts)
-            order = np.lexsort((key, node, part))
-            key, node, part = key[order], node[order], part[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-            key, node, part = key[new], node[new], part[new]
-            rows = []
-            for a, b in zip(*packed.runs(part), strict=True):
-                begins, ends = packed.runs(node[a:b])
-                rows.append((part[a], b - a, len(begins), packed.pack(key[a:b]), packed.pack_rising(node[a:b][begins]), packed.pack(ends - begins)))
-            return packed.batch(PAIRS, rows)
+                hashes, others, firsts = shingles(data, offs, size)
+                a, b = prints(hashes, others, firsts)
+                vectors = [x.tobytes() for x in short_vectors(hashes, firsts)]
+                own = ids.slice(first, end - first)
+                yield _rows(SCANNED, {"doc_id": own, "n": np.diff(firsts), "print_a": a.view(np.int64), "print_b": b.view(np.int64), "vector": vectors}, end - first)
+                keys.add(hashes, firsts, a)
+                if keys.count >= PACK_KEYS:
+                    yield keys.flush()
+        if keys.count:
+            yield keys.flush()
+        scan.give_back()
+
+    return scanned
+
+
+def may_link(vector, size, left, right, percent: int) -> np.ndarray:
+    """Whether the count vectors let pairs of sets link; counts that were cut off let any."""
+    found = np.zeros(len(left), bool)
+    for k in range(0, len(left), 1 << 16):
+        a, b = left[k : k + (1 << 16)], right[k : k + (1 << 16)]
+        least = np.minimum(vector[a], vector[b])
+        enough = least.sum(axis=1, dtype=np.int64) * (100 + percent) >= percent * (size[a] + size[b])
+        found[k : k + (1 << 16)] = enough | (least == 255).any(axis=1)
+    return found
 
-        for batch in batches:
-            for _, _, data, offs in scan.chunks(batch.column(0)):
-                hashes, firsts = shingles(data, offs, size)
-                found, key_firsts = keys_of(hashes, firsts, percent)
-                keys.append(found)
-                nodes.append(np.repeat((prints(hashes, firsts)[0] & NODE_BITS).astype(np.int64), np.diff(key_firsts)))
-                held += len(found)
-                if held >= BUCKET_KEYS:
-                    yield flush()
-                    keys, nodes, held = [], [], 0
-        if held:
-            yield flush()
-
-    return dealt
-
-
-def _stars(table: pa.Table) -> pa.Table:
-    """Components within a part of the keys: each node, with the smallest node of its component."""
-    rows = table.select(["n", "m", "keys", "nodes", "counts"]).to_pylist()
-    key = np.concatenate([packed.unpack(r["keys"], r["n"]) for r in rows])
-    node = np.concatenate([np.repeat(packed.unpack_rising(r["nodes"], r["m"]), packed.unpack(r["counts"], r["m"])) for r in rows])
-    order = np.argsort(key)
-    key, node = key[order], node[order]
+
+def neighbours(key, node, crowded, size, vector, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join all sets which share a key and may link. ``key`` rises; ``node`` numbers the
+    rows of ``size`` and ``vector``. All sets of a crowded key are joined."""
     begins, ends = packed.runs(key)
-    low = np.repeat(np.minimum.reduceat(node, begins), ends - begins)
-    a, b = node[node > low], low[node > low]
-    order = np.lexsort((a, b))
-    a, b = a[order], b[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    a, b = graph.local_stars(a[new], b[new])
-    return pa.Table.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    count = ends - begins
+    crowd = (np.logical_or.reduceat(crowded, begins) if len(begins) else np.zeros(0, bool)) | (count > KEY_SETS)
+    heads = node[begins]
+    tail = np.ones(len(key), bool)
+    tail[begins] = False
+    run = np.repeat(np.arange(len(begins)), count)[tail]
+    low, high = heads[run], node[tail]
+    joined = crowd[run]
+    pairs, back = np.unique(low * len(size) + high, return_inverse=True)
+    fits = may_link(vector, size, pairs // len(size), pairs % len(size), percent)[back] | joined
+    found_a, found_b = [low[fits]], [high[fits]]
+    # Sets that don't fit their key's first one are compared with those others of the key that are not in
+    # their component yet.
+    failed = np.flatnonzero(~fits & (count[run] > 2))
+    label = np.arange(len(size))
+    members, least = graph.local_stars(np.concatenate(found_b), np.concatenate(found_a))
+    label[members] = least
+    parent = {}
+
+    def root(x):
+        while x in parent:
+            x = parent[x]
+        return x
+
+    seen = set()
+    for a, b in zip(*packed.runs(run[failed]), strict=True):
+        r = run[failed[a]]
+        own = node[begins[r] : ends[r]]
+        if (name := own.tobytes()) in seen:
+            continue
+        seen.add(name)
+        kind = np.array([root(x) for x in label[own].tolist()])
+        if (kind == kind[0]).all():
+            continue
+        for one in high[failed[a:b]].tolist():
+            same = root(int(label[one]))
+            rest = np.flatnonzero(kind != same)
+            rest = rest[may_link(vector, size, np.full(len(rest), one), own[rest], percent)]
+            for other, k in zip(*(x.tolist() for x in np.unique(kind[rest], return_index=True)), strict=True):
+                found_a.append(np.array([one]))
+                found_b.append(own[rest[k]][None])
+                parent[other] = same
+                kind[kind == other] = same
+    return np.concatenate(found_a), np.concatenate(found_b)
+
+
+def _stars(percent: int):
+    def stars(part: tuple, pairs: pa.Table, vectors: pa.Table) -> pa.Table:
+        """Components within a part of the keys: each node, with the smallest node of its component."""
+        rows = pairs.to_pylist()
+        edges = [r for r in rows if not r["nodes"]]
+        a, b = ([packed.unpack(r[x], r["pairs"]) for r in edges] for x in ("edge_a", "edge_b"))
+        key, node, crowded = _unpacked([r for r in rows if r["nodes"]])
+        if len(key):
+            vector = np.frombuffer(b"".join(vectors.column("vector").to_pylist()), np.uint8).reshape(-1, DIMENSIONS)
+            known, size, vector = _nodes(vectors.column("node").to_numpy(), vectors.column("n").to_numpy(), vector)
+            order = np.lexsort((node, key))
+            x, y = neighbours(key[order], np.searchsorted(known, node[order]), crowded[order], size, vector, percent)
+            a.append(known[x])
+            b.append(known[y])
+        a, b = graph.local_stars(*(np.concatenate([*x, np.zeros(0, np.int64)]) for x in (a, b)))
+        scan.give_back()
+        return pa.Table.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return stars
 
 
 def dimensions(size: int) -> int:
@@ -258,7 +411,7 @@ class CountTree:
 
 
 def bound_links(counts: np.ndarray, sizes: np.ndarray, nodes: np.ndarray, percent: int, side: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs whose bound suffices, as many as join their components; where both sides occur, only
+    """Pairs of a cluster whose bound suffices, as many as join their components; where both sides occur, only
     pairs between them."""
     _, label = np.unique(nodes, return_inverse=True)
     tree = CountTree(counts, sizes)
@@ -274,21 +427,24 @@ def bound_links(counts: np.ndarray, sizes: np.ndarray, nodes: np.ndarray, percen
     return found
 
 
-def links(sets: list[np.ndarray], nodes: np.ndarray, percent: int, left: np.ndarray | None = None) -> list[tuple[int, int]]:
+def links(sets: list[np.ndarray], nodes: np.ndarray, percent: int, left: np.ndarray | None = None, cluster: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that join the components of the sets; with ``left``, only between its two sides matter,
-    so links inside a side may be left out."""
+    so links inside a side may be left out. Sets of different clusters are not compared."""
     _, label = np.unique(nodes, return_inverse=True)
     sizes = np.array([len(x) for x in sets])
     groups = dimensions(int(np.median(sizes)))
     tree = CountTree(np.array([count_vector(x, groups) for x in sets]), sizes)
     label = label[tree.order]
     side = None if left is None else left[tree.order]
+    kind = None if cluster is None else cluster[tree.order]
     found = []
     for k in range(len(sets)):
         near = tree.after(k, percent)
         near = near[label[near] != label[k]]
         if side is not None:
             near = near[side[near] != side[k]]
+        if kind is not None:
+            near = near[kind[near] == kind[k]]
         own = sets[tree.order[k]]
         while len(near):
             other, near = int(near[0]), near[1:]
@@ -309,7 +465,7 @@ def _counted(size: int):
         for batch in batches:
             ids = batch.column(0)
             for first, end, data, offs in scan.chunks(batch.column(1)):
-                hashes, firsts = shingles(data, offs, size)
+                hashes, _, firsts = shingles(data, offs, size)
                 sizes = np.diff(firsts)
                 blobs = [count_vector(hashes[a:b], dimensions(int(b - a))).tobytes() for a, b in zip(firsts[:-1], firsts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([ids.slice(first, end - first), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "n", "counts"])
@@ -349,7 +505,7 @@ def _members(size: int):
         for batch in batches:
             ids = batch.column(0)
             for first, end, data, offs in scan.chunks(batch.column(1)):
-                hashes, firsts = shingles(data, offs, size)
+                hashes, _, firsts = shingles(data, offs, size)
                 raw, at = hashes.tobytes(), (firsts * 8).tolist()
                 blobs = pa.array([raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([ids.slice(first, end - first), pa.array(np.diff(firsts), pa.int64()), blobs], names=["doc_id", "n", "members"])
@@ -362,93 +518,122 @@ def _verified(percent: int):
         nodes = table.column("doc_id").to_numpy()
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("members")]
         side = table.column("side").to_numpy()
-        # Equal sides on all rows: a whole cluster, or a chunk against itself.
+        # Equal sides on all rows: a bin of whole clusters, or a chunk against itself.
         left = None if (side == side[0]).all() else side
-        found = np.array(links(sets, nodes, percent, left), np.int64).reshape(-1, 2)
+        found = np.array(links(sets, nodes, percent, left, table.column("root").to_numpy()), np.int64).reshape(-1, 2)
         a, b = graph.local_stars(found[:, 0], found[:, 1])
         return pa.Table.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return verified
 
 
-def _tasks(clustered: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, root, task, side): the tasks that each class of a cluster takes part in.
+def _weighed(clustered: DataFrame) -> DataFrame:
+    """(root, sets, weight) of each cluster, in the shared folder."""
+    return graph.cut_lineage(clustered.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("weight")))
+
 
-    A class of a large cluster is in chunk (band, part); chunks meet those of their own band and
-    of the next one."""
-    largest = clustered.agg(F.max("n")).first()[0] or 1
+def _tasks(clustered: DataFrame, weighed: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, n, root, task, side): the tasks that each class of a cluster takes part in.
+
+    Small clusters are dealt to bins. A class of a large cluster is in chunk (band, part); chunks
+    meet those of their own band and of the next one."""
+    small = (F.col("sets") <= CHUNK_SETS) & (F.col("weight") <= CHUNK_SHINGLES)
+    sums = weighed.where(small).agg(F.sum("sets").alias("sets"), F.sum("weight").alias("weight")).first()
+    bins = 1 + max((sums["sets"] or 0) // BIN_SETS, 4 * (sums["weight"] or 0) // CHUNK_SHINGLES)
+    rows = clustered.join(weighed.hint("merge"), "root")
+    task = F.concat(F.lit("bin "), F.pmod(F.xxhash64("root"), F.lit(bins)))
+    binned = rows.where(small).select("doc_id", "n", "root", task.alias("task"), F.lit(0).alias("side"))
+    if weighed.where(~small).isEmpty():
+        return binned
+
+    rows = rows.where(~small).drop("sets", "weight")
+    largest = rows.agg(F.max("n")).first()[0]
     lows = bands(percent, int(largest)).tolist()
     band = F.array_position(F.transform(F.array(*[F.lit(x) for x in lows]), lambda x: x > F.col("n")), True) - 1
-    rows = clustered.withColumn("band", F.when(band > 0, band).otherwise(len(lows)).cast("int"))
+    rows = rows.withColumn("band", F.when(band > 0, band).otherwise(len(lows)).cast("int"))
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int")
-    by_band = rows.groupBy("root", "band").agg(parts.alias("parts"), F.count(F.lit(1)).alias("sets"), F.sum("n").alias("weight"))
-    # A cluster has one row per band here, and there are few bands.
-    whole = by_band.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("band", "parts"))).alias("parts_of"), F.sum("sets").alias("sets"), F.sum("weight").alias("weight"))
+    by_band = rows.groupBy("root", "band").agg(parts.alias("parts"))
+    # A cluster has one row per band here, and there are few bands; large clusters are few as well.
+    whole = by_band.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("band", "parts"))).alias("parts_of"))
     b = F.col("band")
     of = lambda x: F.coalesce(F.try_element_at("parts_of", x.cast("int")), F.lit(0))
     rows = rows.join(whole.hint("merge"), "root").withColumn("parts", of(b)).withColumn("up", of(b + 1)).withColumn("down", of(b - 1))
     part = F.pmod(F.xxhash64("doc_id"), F.col("parts"))
-    task = lambda a, b, c, d: F.concat_ws("/", a, b, c, d)
+    name = lambda a, b, c, d: F.concat_ws("/", "root", a, b, c, d)
     to = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    own = F.transform(to(F.col("parts")), lambda x: F.struct(task(b, F.least(x, F.col("part")), b, F.greatest(x, F.col("part"))).alias("task"), F.when(x < F.col("part"), 1).otherwise(0).alias("side")))
-    higher = F.transform(to(F.col("up")), lambda x: F.struct(task(b, F.col("part"), b + 1, x).alias("task"), F.lit(0).alias("side")))
-    lower = F.transform(to(F.col("down")), lambda x: F.struct(task(b - 1, x, b, F.col("part")).alias("task"), F.lit(1).alias("side")))
-    small = (F.col("sets") <= CHUNK_SETS) & (F.col("weight") <= CHUNK_SHINGLES)
-    one = F.array(F.struct(F.lit("").alias("task"), F.lit(0).alias("side")))
-    rows = rows.withColumn("part", part.cast("int")).withColumn("tasks", F.when(small, one).otherwise(F.concat(own, higher, lower)))
-    return rows.select("doc_id", "n", "root", F.explode("tasks").alias("t")).select("doc_id", "n", "root", "t.task", "t.side")
-
-
-def _sized(ids: DataFrame) -> DataFrame:
-    """``ids`` (one column, kept in the shared folder) to be broadcast if they are few, else to be shuffled."""
-    ids = graph.cut_lineage(ids)
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
+    own = F.transform(to(F.col("parts")), lambda x: F.struct(name(b, F.least(x, F.col("part")), b, F.greatest(x, F.col("part"))).alias("task"), F.when(x < F.col("part"), 1).otherwise(0).alias("side")))
+    higher = F.transform(to(F.col("up")), lambda x: F.struct(name(b, F.col("part"), b + 1, x).alias("task"), F.lit(0).alias("side")))
+    lower = F.transform(to(F.col("down")), lambda x: F.struct(name(b - 1, x, b, F.col("part")).alias("task"), F.lit(1).alias("side")))
+    rows = rows.withColumn("part", part.cast("int")).withColumn("tasks", F.concat(own, higher, lower))
+    return binned.unionByName(rows.select("doc_id", "n", "root", F.explode("tasks").alias("t")).select("doc_id", "n", "root", "t.task", "t.side"))
 
 
 def _of(texts: DataFrame, entries: DataFrame) -> DataFrame:
     """The texts of the entries' ids."""
-    wanted = _sized(entries.select(F.col("doc_id").alias("wanted_id")).distinct())
+    wanted = skew.sized(entries.select(F.col("doc_id").alias("wanted_id")).distinct())
     return texts.join(wanted, F.col("doc_id") == F.col("wanted_id"), "left_semi")
 
 
+def _rooted(stars: DataFrame) -> DataFrame:
+    """(node, root) of every node of a graph's components, the roots among them."""
+    return stars.unionAll(stars.select(F.col("root").alias("node"), "root").distinct())
+
+
+def _parted(texts: DataFrame, entries: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc_id, root, n) of ``entries``, with the clusters of more than a chunk parted by full count vectors."""
+    weighed = _weighed(entries)
+    large = weighed.where((F.col("sets") > CHUNK_SETS) | (F.col("weight") > CHUNK_SHINGLES))
+    if large.isEmpty():
+        return entries
+    roots = F.broadcast(large.select("root"))  # each stands for more than a chunk
+    rest, large = entries.join(roots, "root", "left_anti"), graph.cut_lineage(entries.join(roots, "root", "left_semi"))
+    counted = _of(texts, large).mapInArrow(_counted(size), "doc_id long, n long, counts binary").where("n > 0")
+    dealt = counted.join(_tasks(large, weighed, percent).hint("merge"), ["doc_id", "n"])
+    near = graph.components(dealt.groupBy("task").applyInArrow(_bounded(percent), shape(EDGES)))
+    parted = large.select("doc_id", "n").join(_rooted(near).hint("merge"), F.col("doc_id") == F.col("node"))
+    return graph.cut_lineage(rest.select("doc_id", "root", "n").unionByName(parted.select("doc_id", "root", "n").distinct()))
+
+
 def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
     scan.small_batches(docs.sparkSession)
     texts = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
-    rows = graph.cut_lineage(texts.mapInArrow(_described(size), shape(SETS)))
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    expected = total // SHINGLE_BYTES * 2 * (100 - percent) // percent
+    scanned = graph.written(texts.mapInArrow(_scanned(size, percent, 1 + expected // PART_KEYS), shape(SCANNED)), "shingles")
+    rows = scanned.where("_part is null").select(*[name for name, _ in SETS])
 
     # Classes: the smallest id of each set. Rows of one id join the classes of their sets.
+    named = rows.where("doc_id is not null")
     by_set = ["n", "print_a", "print_b"]
-    classes = rows.where("n > 0 and doc_id is not null").groupBy(*by_set).agg(F.min("doc_id").alias("class"))
-    classed = graph.cut_lineage(rows.join(classes.hint("merge"), by_set, "left").withColumn("class", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id"))))
-    split = classed.where("doc_id is not null").groupBy("doc_id").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most").select("doc_id", "least")
+    classed = skew.with_least(named.where("n > 0"), by_set, "doc_id", "least").withColumn("class", F.coalesce("least", "doc_id")).drop("least")
+    classed = graph.cut_lineage(classed.unionByName(named.where("n = 0").withColumn("class", F.col("doc_id"))))
+    split = classed.groupBy("doc_id").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most").select("doc_id", "least")
     same_id = classed.join(split.hint("merge"), "doc_id").select(F.col("class").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
 
-    # Candidates: clusters of sets that share keys.
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    expected = total * 2 * (100 - percent) // percent
-    pairs = texts.where("doc_id is not null").select("text").mapInArrow(_dealt(size, percent, 1 + expected // BUCKET_KEYS), shape(PAIRS))
-    stars = pairs.groupBy("_part").applyInArrow(_stars, shape(EDGES)).distinct()
-    clusters = graph.components(stars)
-    rooted = clusters.unionAll(clusters.select(F.col("root").alias("node"), "root").distinct())
+    # Candidates: clusters of sets that share keys and may link.
     node = F.col("print_a").bitwiseAND(F.lit(int(NODE_BITS)))
-    heads = classes.select(F.col("class").alias("doc_id"), "n", node.alias("node"))
-    entries = graph.cut_lineage(heads.join(rooted.hint("merge"), "node").select("doc_id", "root", "n").distinct())
-
-    # Bounds: count vectors, which are small, part the clusters by pairs that may link.
-    counted = _of(texts, entries).mapInArrow(_counted(size), "doc_id long, n long, counts binary").where("n > 0")
-    dealt = counted.join(_tasks(entries, percent).hint("merge"), ["doc_id", "n"])
-    near = graph.components(dealt.groupBy("root", "task").applyInArrow(_bounded(percent), shape(EDGES)))
-
-    # Verification, on the sets of what is left.
-    rooted = near.unionAll(near.select(F.col("root").alias("node"), "root").distinct())
-    entries = graph.cut_lineage(entries.select("doc_id", "n").join(rooted.hint("merge"), F.col("doc_id") == F.col("node")).select("doc_id", "root", "n").distinct())
+    pairs = scanned.where("_part is not null").select(*[name for name, _ in PAIRS])
+    shared = graph.written(pairs.groupBy("_part").applyInArrow(_shared, shape(PAIRS)), "keys")
+    wanted = graph.written(shared.mapInArrow(_wanted, shape(VECTORS[:2])), "wanted")
+    few = skew.sized(wanted.select(F.col("node").alias("wanted_node")).distinct())
+    vectors = scanned.where("n > 0").select(node.alias("node"), "n", "vector").join(few, F.col("node") == F.col("wanted_node"), "left_semi").distinct()
+    vectors = wanted.join(vectors.hint("merge"), "node").select(*[name for name, _ in VECTORS])
+    edges = shared.groupBy("_part").cogroup(vectors.groupBy("_part")).applyInArrow(_stars(percent), shape(EDGES))
+    clusters = _rooted(graph.components(edges))
+    heads = classed.where("class = doc_id and n > 0").select("doc_id", "n", node.alias("node"))
+    entries = graph.cut_lineage(heads.join(clusters.hint("merge"), "node").select("doc_id", "root", "n").distinct())
+
+    # Verification, on the sets themselves.
+    entries = _parted(texts, entries, size, percent)
     sets = _of(texts, entries).mapInArrow(_members(size), "doc_id long, n long, members binary").where("n > 0")
-    dealt = sets.join(_tasks(entries, percent).hint("merge"), ["doc_id", "n"])
-    found = dealt.groupBy("root", "task").applyInArrow(_verified(percent), shape(EDGES))
+    dealt = sets.join(_tasks(entries, _weighed(entries), percent).hint("merge"), ["doc_id", "n"])
+    found = dealt.groupBy("task").applyInArrow(_verified(percent), shape(EDGES))
     roots = graph.components(found.unionAll(same_id))
     done = classed.join(roots.hint("merge"), F.col("class") == F.col("node"), "left")
-    return done.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "class").alias("component_id"))
+    done = done.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "class").alias("component_id"))
+    nameless = rows.where("doc_id is null and n is not null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return done.unionAll(nameless)
 
 
 def representatives(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -459,7 +644,7 @@ def representatives(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
     while name in docs.columns:
         name = "_" + name
     keyed = docs.withColumn(name, F.col("doc_id").cast("long"))
-    return keyed.join(_sized(gone), F.col(name) == F.col("gone_id"), "left_anti").drop(name)
+    return keyed.join(skew.sized(gone), F.col(name) == F.col("gone_id"), "left_anti").drop(name)
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
