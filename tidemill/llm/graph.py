@@ -41,12 +41,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, kind: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, for large rows that several steps read."""
+    """``df`` as a Parquet table in the shared folder, for large rows that several steps read. A result may read it
+    whenever it runs, so it stays; the folder may be cleared when the session's results have been read."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark, path: str) -> None:
+    """Removes a folder in any store."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def contracted(edges: DataFrame) -> DataFrame:
     """Each partition's edges (high, low) as stars around the smallest nodes of their components."""
 
