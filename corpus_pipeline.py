@@ -50,10 +50,15 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """All stages over ``documents``; what each returns is written to the shared folder."""
+    """All stages over ``documents``; what each returns is written to the shared folder, and removed there when
+    the next one's is. The last but one's stays, as the result reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{graph.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            graph.remove(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -160,3 +160,23 @@ def test_slots_follow_the_data(spark, monkeypatch):
         assert sorted(rows(series.delta(df))) == [(b, b - a) for a, b in zip(t, t[1:], strict=False)]
         assert sorted(rows(series.ranked(df).select("timestamp", "rank"))) == list(zip(t, range(len(t)), strict=True))
     assert rows(series.delta(df.where("false"))) == []
+
+
+def test_nulls_and_empty_tables(spark):
+    from tidemill.operators import blocks, coded
+
+    data = [(1, 1.0, 1), (None, 5.0, 2), (3, None, 3), (3, 2.0, None), (4, 4.0, 4), (None, None, None)]
+    df = spark.createDataFrame(data, "timestamp long, value double, seq long")
+    assert sorted(rows(lww.newest(df.where("timestamp is not null"), "seq")), key=str) == [(1, 1.0), (3, None), (4, 4.0)]
+    assert lww.newest(df, "seq").where("timestamp is null").count() == 1
+    assert rows(lww.between(df, 0, 9).select("timestamp").distinct().orderBy("timestamp")) == [(1,), (3,), (4,)]
+    assert rows(lww.distinct_count(df, 192, 64)) == [(3, True, False)]
+    one = df.where("timestamp is null or seq is not null")
+    assert sorted(rows(series.delta(one))) == [(3, 2), (4, 1)]
+    assert sorted(rows(series.running_sum(one, "timestamp").select("timestamp", "running"))) == [(1, 1), (3, 4), (4, 8)]
+    assert rows(blocks.index(one)) == [(0, 1, 4, 3)] and rows(blocks.dod_bits(one)) == [(0, 64 + 64 + 9)]
+    back = sorted(rows(coded.decode(coded.encode(one))))
+    assert [t for t, _ in back] == [1, 3, 4] and back[0][1] == 1.0 and back[1][1] != back[1][1] and back[2][1] == 4.0
+    empty = df.where("false")
+    assert [x.count() for x in (lww.newest(empty, "seq"), series.delta(empty), series.delta_of_delta(empty), blocks.index(empty), blocks.dod_bits(empty), coded.decode(coded.encode(empty)))] == [0] * 6
+    assert rows(blocks.header(empty)) == [(None, None, 0, 0)]

@@ -1,4 +1,8 @@
-"""Blocks of 1024 points: sparse index, file header, pruning, coded sizes."""
+"""Blocks of 1024 points: sparse index, file header, pruning, coded sizes.
+
+Defined results: as in ``series``, rows with a null timestamp are in no block; a null value is a
+point like others here; an empty table has no blocks and a header of nulls and zeros.
+"""
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F

@@ -1,4 +1,8 @@
-"""Blocks of points as coded bytes, one row per block."""
+"""Blocks of points as coded bytes, one row per block.
+
+Defined results: rows with a null timestamp are in no block; a null value becomes NaN; an
+empty table gives no rows.
+"""
 
 import pyarrow as pa
 from pyspark.sql import DataFrame

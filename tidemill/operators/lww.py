@@ -2,6 +2,10 @@
 
 The version is a BIGINT, which keeps ``max_by`` a hash aggregate with partial
 aggregation before the shuffle; a struct version would sort.
+
+Defined results: versions of one timestamp differ (of equal ones any may win); a null version
+loses to all others; rows with a null timestamp are one group, as in any grouping; an empty table
+gives no rows. ``between`` drops null timestamps, and ``distinct_count`` does not count them.
 """
 
 from pyspark.sql import DataFrame
