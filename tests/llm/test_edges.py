@@ -2,7 +2,7 @@
 
 import pytest
 
-from tests.llm.conftest import bag
+from tests.llm.conftest import bag, prose
 from tidemill.llm import chat, classifier, decontaminate, extract, jaccard, licences, packing, quality, sharding, substrings
 
 
@@ -78,3 +78,50 @@ def test_pages(spark):
     assert [r["text"] for r in found if r["page_id"] == 1] == ["", ""]
     assert len(found) == 4
     assert extract.extract(pages.where("false")).count() == 0
+
+
+def test_long_conversations_and_other_columns(spark):
+    long = prose(9, 60_000) + " ###\\</turn>\n" * 500
+    rows = [(1, 0, "user", long, "a"), (1, 1, "assistant", long, "b"), (1, 2, "assistant", None, "c"), (2, 0, "assistant", "x", "d")]
+    names = "seq kind k cut parts piece span formatted loss n at".split()
+    talk = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, extra string")
+    for given in (talk, talk.selectExpr("*", *[f"'own {c}' as {c}" for c in names])):
+        for eventful in (False, True):
+            out = chat.render(chat.fold(chat.as_log(given, eventful)))
+            got = {r["conv_id"]: r for r in out.select("conv_id", chat.parse(out["formatted"]).alias("turns"), chat.masked(out["formatted"], out["loss"]).alias("learnt")).collect()}
+            assert [(t["role"], t["text"]) for t in got[1]["turns"]] == [("user", long), ("assistant", long), ("assistant", "")]
+            assert got[1]["learnt"] == long and got[2]["learnt"] == "x"
+
+
+def test_long_pages(spark):
+    blocks = [prose(k, 40) + "." for k in range(3000)]
+    html = "<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article></body></html>"
+    whole = prose(5, 90_000)
+    pages = spark.createDataFrame([(1, "u", html), (2, "v", f"<article><p>{whole}</p></article>")], "page_id long, url string, html string")
+    found = {r["page_id"]: (r["text"], r["n_chars"]) for r in extract.extract(pages).collect()}
+    assert found == {1: ("\n".join(blocks), len("\n".join(blocks))), 2: (whole, len(whole))}
+
+
+def test_pipeline_on_awkward_and_empty_tables(spark, documents, crowded, benchmark_items, tmp_path):
+    import corpus_pipeline
+
+    labels = documents.selectExpr("doc_id", "1 as quality", "cast(null as int) as toxic")
+    for name, docs in (("plain", documents), ("crowded", crowded), ("empty", documents.where("false"))):
+        folder = str(tmp_path / name)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        (labels if name != "empty" else labels.where("false")).write.parquet(f"{folder}/labels.parquet")
+        (benchmark_items if name != "empty" else benchmark_items.where("false")).write.parquet(f"{folder}/benchmark.parquet")
+        pieces = corpus_pipeline.run(spark, folder).toPandas()
+        if name == "empty":
+            assert not len(pieces)
+            continue
+        assert set(pieces.doc_id.dropna()) <= {r["doc_id"] for r in documents.collect()}
+        assert {4, 5} & set(pieces.doc_id) and 2 not in set(pieces.doc_id)
+        assert (pieces[pieces.offset == 0].groupby("sequence_id").size() == 1).all()
+        counts = pieces.dropna(subset=["doc_id"]).groupby("doc_id").length.sum()
+        assert (counts >= 1).all()
+        if name == "plain":
+            plain = pieces
+        else:
+            key = ["doc_id", "doc_tokens"]
+            assert sorted(map(str, pieces[key].drop_duplicates().to_numpy().tolist())) == sorted(map(str, plain[key].drop_duplicates().to_numpy().tolist()))

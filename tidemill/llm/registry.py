@@ -1,6 +1,5 @@
-"""Queries of this subpackage and, where SQL can express them, their SQL."""
+"""Queries of the ten operators and, where SQL can express them, their SQL."""
 
-import corpus_pipeline
 from tidemill.llm import chat, classifier, decontaminate, extract, jaccard, licences, packing, quality, sharding, substrings
 
 QUERIES = {
@@ -14,7 +13,6 @@ QUERIES = {
     "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op9_packing": packing.op9_packing,
     "op10_licences": licences.op10_licences,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op2_chat": chat.SQL,
@@ -24,4 +22,4 @@ ORACLES = {
     "op6_sharding": sharding.SQL,
     "op8_jaccard_join": jaccard.SQL,
     "op10_licences": licences.SQL,
-} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+}
