@@ -96,16 +96,18 @@ def xor(spark, sf_dir):
 
 def dod_decode(spark, sf_dir):
     """Second differences, seeded by the first value and the first difference, summed twice."""
-    zero = F.lit(0)
-    first = series.previous(points(spark, sf_dir), "timestamp").select("timestamp", (F.col("timestamp") - F.coalesce("previous", zero)).alias("step"))
-    second = series.previous(first, "step").select("timestamp", (F.col("step") - F.coalesce("previous", zero)).alias("dod"))
-    steps = series.running_sum(second, "dod").select("timestamp", F.col("running").alias("step"))
-    return series.running_sum(steps, "step").select("timestamp", F.col("running").alias("decoded"))
+    zero, given = F.lit(0), points(spark, sf_dir)
+    slot = series.slot_of(given)
+    first = series.previous(given, "timestamp", slot).select("timestamp", (F.col("timestamp") - F.coalesce("previous", zero)).alias("step"))
+    second = series.previous(first, "step", slot).select("timestamp", (F.col("step") - F.coalesce("previous", zero)).alias("dod"))
+    steps = series.running_sum(second, "dod", slot).select("timestamp", F.col("running").alias("step"))
+    return series.running_sum(steps, "step", slot).select("timestamp", F.col("running").alias("decoded"))
 
 
 def xor_decode(spark, sf_dir):
-    coded_bits = series.previous(_bits(spark, sf_dir), "bits").select("timestamp", F.col("bits").bitwiseXOR(F.coalesce("previous", F.lit(0))).alias("xor"))
-    return series.running_xor(coded_bits, "xor").select("timestamp", F.col("running").alias("bits"))
+    slot = series.slot_of(points(spark, sf_dir))
+    coded_bits = series.previous(_bits(spark, sf_dir), "bits", slot).select("timestamp", F.col("bits").bitwiseXOR(F.coalesce("previous", F.lit(0))).alias("xor"))
+    return series.running_xor(coded_bits, "xor", slot).select("timestamp", F.col("running").alias("bits"))
 
 
 def memtable_stats(spark, sf_dir):
