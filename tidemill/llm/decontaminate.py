@@ -4,7 +4,8 @@ Words are runs of ASCII letters and digits and of all other code points than ASC
 with A-Z in lower case. A window of a benchmark item is 13 of its consecutive words,
 or all its words if it has fewer but any. Hashes of all windows are broadcast in
 blocks of at most ``BLOCK`` windows, each loaded by itself, so a task holds one block
-whatever the benchmark's size. Every window of a document is looked up; a hit is
+whatever the benchmark's size; where there are several, a task loads each once for every
+``BUFFER`` bytes of documents. Every window of a document is looked up; a hit is
 verified word by word before it counts. A document word inside a verified hit is hit,
 and a document is contaminated if at least one in ``SHARE`` of its words is hit.
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from tidemill.llm import scan
 
 SIZE, SHARE = 13, 20
-BLOCK = 1_000_000
+BLOCK, BUFFER = 1_000_000, 16 << 20
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 MEASURES = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
@@ -75,32 +76,65 @@ def blocks(benchmark: DataFrame, size: int, limit: int):
         yield Block(found, size)
 
 
-def hits(data, offs, index):
-    """(starts, ends, firsts, hit words as a mask, item sets per text) of a chunk."""
-    low = scan.LOWER[data]
-    starts, ends, firsts = scan.words(low, offs, scan.ALNUM)
-    hashes = scan.word_hashes(low, starts, ends)
-    edges = np.zeros(len(starts) + 1, np.int64)
-    items: dict[int, set] = {}
-    for one in index:
-        block = one.value
+class Text:
+    """The words of a chunk of documents and what was found in them."""
+
+    def __init__(self, data, offs):
+        self.low = scan.LOWER[data]
+        self.starts, self.ends, self.firsts = scan.words(self.low, offs, scan.ALNUM)
+        self.hashes = scan.word_hashes(self.low, self.starts, self.ends)
+        self.edges = np.zeros(len(self.starts) + 1, np.int64)
+        self.items: dict[int, set] = {}  # by document
+
+    def look_up(self, block: Block) -> None:
         for size, (known, item, begins, stops, marks) in block.by_size.items():
-            at, found = scan.windows(hashes, firsts, size)
+            at, found = scan.windows(self.hashes, self.firsts, size)
             near = np.flatnonzero(marks[(found >> np.uint64(44)).astype(np.int64)])
             at, found = at[near], found[near]
             lo, hi = np.searchsorted(known, found, "left"), np.searchsorted(known, found, "right")
-            owners = np.searchsorted(firsts, at, side="right") - 1
+            owners = np.searchsorted(self.firsts, at, side="right") - 1
             for k in np.flatnonzero(lo < hi).tolist():
                 first = int(at[k])
-                words = b" ".join(low[a:b].tobytes() for a, b in zip(starts[first : first + size].tolist(), ends[first : first + size].tolist(), strict=True))
+                spans = zip(self.starts[first : first + size].tolist(), self.ends[first : first + size].tolist(), strict=True)
+                words = b" ".join(self.low[a:b].tobytes() for a, b in spans)
                 same = [int(item[j]) for j in range(lo[k], hi[k]) if block.text[begins[j] : stops[j]] == words]
                 if same:
-                    edges[first] += 1
-                    edges[first + size] -= 1
-                    items.setdefault(int(owners[k]), set()).update(block.names[j] for j in same if block.names[j] is not None)
-        if len(index) > 1:
-            _release(one)
-    return starts, ends, firsts, np.cumsum(edges[:-1]) > 0, items
+                    self.edges[first] += 1
+                    self.edges[first + size] -= 1
+                    self.items.setdefault(int(owners[k]), set()).update(block.names[j] for j in same if block.names[j] is not None)
+
+    @property
+    def hit(self) -> np.ndarray:
+        return np.cumsum(self.edges[:-1]) > 0
+
+    def verdicts(self):
+        """(words, hit words, contaminated) of each document."""
+        n_words, n_hit = np.diff(self.firsts), scan.tally(self.hit, self.firsts)
+        return n_words, n_hit, judged(n_words, n_hit)
+
+
+def looked_up(batches, place: int, index: list):
+    """(batch, data, offsets, Text) of the chunks of all batches, whose column ``place`` holds the texts."""
+    held, size = [], 0
+
+    def done():
+        for one in index:
+            block = one.value
+            for *_, text in held:
+                text.look_up(block)
+            if len(index) > 1:
+                _release(one)
+        yield from held
+        held.clear()
+
+    for batch in batches:
+        for first, end, data, offs in scan.chunks(batch.column(place)):
+            held.append((batch.slice(first, end - first), data, offs, Text(data, offs)))
+            size += len(data)
+            if len(index) < 2 or size >= BUFFER:
+                yield from done()
+                size = 0
+    yield from done()
 
 
 def _release(one) -> None:
@@ -126,23 +160,20 @@ def measure(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, block: int
     index = _index(benchmark, size, block)
 
     def measured(batches):
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for first, end, data, offs in scan.chunks(texts):
-                _, _, firsts, mask, items = hits(data, offs, index)
-                n_words, n_hit = np.diff(firsts), scan.tally(mask, firsts)
-                names = [",".join(sorted(items.get(k, ()))) for k in range(end - first)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(first, end - first),
-                        pa.array(n_words, pa.int64()),
-                        pa.array(n_hit, pa.int64()),
-                        pa.array([len(items.get(k, ())) for k in range(end - first)], pa.int64()),
-                        pa.array([hashlib.sha256(x.encode()).hexdigest() for x in names]),
-                        pa.array(judged(n_words, n_hit)),
-                    ],
-                    names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-                )
+        for batch, _, _, text in looked_up(batches, 1, index):
+            n_words, n_hit, contaminated = text.verdicts()
+            items = [text.items.get(k, ()) for k in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array(n_words, pa.int64()),
+                    pa.array(n_hit, pa.int64()),
+                    pa.array([len(x) for x in items], pa.int64()),
+                    pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items], pa.string()),
+                    pa.array(contaminated),
+                ],
+                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+            )
 
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(measured, MEASURES)
 
@@ -161,21 +192,19 @@ def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", size
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def kept(batches):
-        for batch in batches:
-            for first, end, data, offs in scan.chunks(batch.column(place)):
-                part = batch.slice(first, end - first)
-                starts, ends, firsts, mask, _ = hits(data, offs, index)
-                if remove == "documents":
-                    yield part.filter(pa.array(~judged(np.diff(firsts), scan.tally(mask, firsts))))
-                    continue
-                texts = part.column(place).to_pylist()
-                for k in np.flatnonzero(scan.tally(mask, firsts)).tolist():
-                    texts[k] = cut(data, offs[k], offs[k + 1], starts, ends, mask, firsts[k], firsts[k + 1])
-                columns = part.columns
-                columns[place] = pa.array(texts, part.schema.field(place).type)
-                if chars is not None:
-                    columns[chars] = pa.array([None if t is None else len(t) for t in texts], part.schema.field(chars).type)
-                yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+        for part, data, offs, text in looked_up(batches, place, index):
+            if remove == "documents":
+                yield part.filter(pa.array(~text.verdicts()[2]))
+                continue
+            mask, firsts = text.hit, text.firsts
+            texts = part.column(place).to_pylist()
+            for k in np.flatnonzero(scan.tally(mask, firsts)).tolist():
+                texts[k] = cut(data, offs[k], offs[k + 1], text.starts, text.ends, mask, firsts[k], firsts[k + 1])
+            columns = part.columns
+            columns[place] = pa.array(texts, part.schema.field(place).type)
+            if chars is not None:
+                columns[chars] = pa.array([None if t is None else len(t) for t in texts], part.schema.field(chars).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
     return docs.mapInArrow(kept, docs.schema)
 
