@@ -9,18 +9,22 @@ smallest hash of its ``GRAM``-byte grams; equal windows have equal anchors. Neig
 windows with one anchor make a fragment.
 
 1. Anchors, packed, are dealt by hash. Those found in one document only are dropped.
-2. Texts meet the other anchors, bucket by bucket, and give the fragments, dealt by anchor.
+2. Texts meet the other anchors, bucket by bucket, and give the fragments, dealt by anchor. Equal
+   fragments of a bucket go as one, with their smallest and largest document id.
 3. A shard joins its distinct fragments to one text, sorts its suffixes by induced sorting
    (``suffix``) and takes the permuted common prefixes. Windows whose prefixes reach
-   ``LENGTH`` form a class with a smallest document id; what is larger loses its windows.
-4. Texts meet the cuts, bucket by bucket.
+   ``LENGTH`` form a class with a smallest document id. Each bucket is told, for its distinct
+   fragments, runs of windows with their smallest ids.
+4. Texts meet anchors and runs, bucket by bucket, and find their fragments again; a document
+   loses the windows that have a smaller id than its own.
 
 Copies of an entire text are found by digest (128 bits), aggregated before the shuffle, with
 digests of very many rows joined by broadcast: a copy of a smaller id's text goes at once,
 whole, and takes no part in the rest; copies in one batch give anchors once, as the smallest id
-among them. Fragments count as equal by their bytes. An anchor is in a document at most once, so
-one anchor's share of the rows is small where documents have many. Buckets and shards hold a
-bounded number of bytes of text; their count follows the input. Rows with a null id are in no bucket.
+among them. Fragments count as equal by their bytes. Buckets and shards hold a bounded number of
+bytes of text; their count follows the input. A fragment that every document has comes once from
+each bucket, and of an anchor that every document has some eight bytes a document meet in one
+task. Rows with a null id are in no bucket.
 
 Defined results: a null text counts as empty; a row with a null id loses nothing and
 removes nothing; rows of one id never remove from one another; repeated rows are all
@@ -45,8 +49,8 @@ ANCHOR_BYTES, TEXT_BYTES, SHARD_BYTES = 8 << 20, 8 << 20, 8 << 20
 SORT_BYTES = 3 << 19
 KEPT_ANCHORS = 500_000
 ANCHORS = [("_part", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary())]
-NOTES = [("_bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())]
-FRAGMENTS = [("_shard", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64()), *((x, pa.binary()) for x in ("docs", "slots", "places", "sizes", "keys", "text"))]
+NOTES = [("_bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())]
+FRAGMENTS = [("_shard", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64()), *((x, pa.binary()) for x in ("docs", "spans", "refs", "sizes", "keys", "text"))]
 WORDS = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
 KEYS, COPIES, CUTS = 0, 1, 2
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -158,7 +162,7 @@ def _repeated(buckets: int):
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])
         key, bucket = key[new], bucket[new]
-        return pa.Table.from_batches([packed.batch(NOTES, [(bucket[a], KEYS, b - a, packed.pack_rising(key[a:b]), None, None) for a, b in zip(*packed.runs(bucket), strict=True)])])
+        return pa.Table.from_batches([packed.batch(NOTES, [(bucket[a], KEYS, b - a, packed.pack_rising(key[a:b]), None, None, None) for a, b in zip(*packed.runs(bucket), strict=True)])])
 
     return found
 
@@ -180,7 +184,7 @@ def _ordered(table: pa.Table, id_name: str, text_name: str):
 
 
 def _notes(table: pa.Table, kind: int):
-    return [row for row in table.select(["kind", "n", "a", "b", "c"]).to_pylist() if row["kind"] == kind]
+    return [row for row in table.select(["kind", "n", "a", "b", "c", "d"]).to_pylist() if row["kind"] == kind]
 
 
 def _is_copy(number, missing, texts, notes: pa.Table) -> np.ndarray:
@@ -191,30 +195,50 @@ def _is_copy(number, missing, texts, notes: pa.Table) -> np.ndarray:
     return np.array([not m and i in ids and (i, hashlib.md5((t.as_py() or "").encode()).digest()) in known for i, m, t in zip(number.tolist(), missing.tolist(), texts, strict=True)], bool)
 
 
-def _fragments(shards: int, length: int, gram: int, id_name: str, text_name: str):
-    def found(key: tuple, texts: pa.Table, notes: pa.Table) -> pa.Table:
-        known = _notes(notes, KEYS)
-        if not known or not len(texts):
-            return pa.Table.from_batches([packed.batch(FRAGMENTS, [])])
-        keys = np.sort(np.concatenate([packed.unpack_rising(row["a"], row["n"]) for row in known]))
-        _, number, missing, column = _ordered(texts, id_name, text_name)
-        out = ~(missing | _is_copy(number, missing, column, notes))
-        rows = []
+class Fragments:
+    """The fragments of a bucket's texts with known anchors, in an order that depends on rows and anchors only.
+
+    ``slot``: the text of each, ``begin``: its place in the bytes of all texts, ``ref``: the number of its
+    bytes among the distinct ones, ``heads``: the first of each distinct one."""
+
+    def __init__(self, column, use: np.ndarray, notes: pa.Table, length: int, gram: int):
+        keys = np.sort(np.concatenate([packed.unpack_rising(row["a"], row["n"]) for row in _notes(notes, KEYS)]))
+        self.data, self.offs = scan.column_bytes(column)
+        parts = []
         for first, _, data, offs in scan.chunks(column, CHUNK):
             begins, ends, full = anchors(data, offs, length, gram)
             small = (full & np.uint64((1 << 48) - 1)).astype(np.int64)
             spot = np.minimum(np.searchsorted(keys, small), len(keys) - 1)
             text = np.searchsorted(offs, begins, side="right") - 1
-            keep = (keys[spot] == small) & out[first + text]
-            begins, sizes, text, full = begins[keep], (ends - begins)[keep] + length - 1, text[keep], full[keep]
-            shard = packed.scaled(full, shards)
-            order = np.argsort(shard, kind="stable")
-            begins, sizes, text, small, shard = begins[order], sizes[order], text[order], small[keep][order], shard[order]
-            for a, b in zip(*packed.runs(shard), strict=True):
-                size = sizes[a:b]
-                spread = np.repeat(begins[a:b] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                slots = first + text[a:b]
-                rows.append((shard[a], key[0].as_py(), b - a, packed.pack(number[slots]), packed.pack(slots), packed.pack(begins[a:b] - offs[text[a:b]]), packed.pack(size), packed.pack(small[a:b]), data[spread].tobytes()))
+            keep = (keys[spot] == small) & use[first + text]
+            begins, sizes = begins[keep], (ends - begins)[keep] + length - 1
+            hashes = scan.span(scan.prefix(scan._byte_values()[data]), begins, begins + sizes)
+            parts.append((first + text[keep], begins + self.offs[first], sizes, small[keep], full[keep], hashes))
+        slot, begin, size, key, full, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((hashes, size, key))
+        self.slot, self.begin, self.size, self.key, self.full, hashes = (x[order] for x in (slot, begin, size, key, full, hashes))
+        new = np.ones(len(order), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (self.key[1:] != self.key[:-1]) | (self.size[1:] != self.size[:-1])
+        new |= ~_as_before(self.data, self.begin, self.size, ~new)
+        self.ref, self.heads = np.cumsum(new) - 1, np.flatnonzero(new)
+
+
+def _fragments(shards: int, length: int, gram: int, id_name: str, text_name: str):
+    def found(key: tuple, texts: pa.Table, notes: pa.Table) -> pa.Table:
+        rows = []
+        if _notes(notes, KEYS) and len(texts):
+            _, number, missing, column = _ordered(texts, id_name, text_name)
+            own = Fragments(column, ~(missing | _is_copy(number, missing, column, notes)), notes, length, gram)
+            if len(own.heads):
+                docs = number[own.slot]
+                low, high = np.minimum.reduceat(docs, own.heads), np.maximum.reduceat(docs, own.heads)
+                shard = packed.scaled(own.full[own.heads], shards)
+                refs = np.argsort(shard, kind="stable")
+                shard, heads = shard[refs], own.heads[refs]
+                for a, b in zip(*packed.runs(shard), strict=True):
+                    at, ref = heads[a:b], refs[a:b]
+                    columns = (low[ref], high[ref] - low[ref], ref, own.size[at], own.key[at])
+                    rows.append((shard[a], key[0].as_py(), b - a, *map(packed.pack, columns), _gathered(own.data, own.begin[at], own.size[at])))
         scan.give_back()
         return pa.Table.from_batches([packed.batch(FRAGMENTS, rows)])
 
@@ -251,19 +275,20 @@ def window_minima(data: np.ndarray, offs: np.ndarray, docs: np.ndarray, length:
 
 
 def _cuts(length: int):
-    """Parts of documents to cut that a shard of fragments shows."""
+    """Runs of windows, with their smallest documents, of the fragments that a shard got from each bucket."""
 
     def found(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         column = lambda name: np.concatenate([packed.unpack(r[name], r["n"]) for r in rows])
-        docs, slots, places, sizes, keys = map(column, ("docs", "slots", "places", "sizes", "keys"))
+        docs, spans, refs, sizes, keys = map(column, ("docs", "spans", "refs", "sizes", "keys"))
         buckets = np.concatenate([np.full(r["n"], r["bucket"], np.int64) for r in rows])
         data = np.frombuffer(b"".join(r["text"] for r in rows), np.uint8)
         offs = np.concatenate([[0], np.cumsum(sizes)])
         hashes = np.concatenate([scan.span(scan.prefix(scan._byte_values()[data[offs[a] : offs[b]]]), offs[a:b] - offs[a], offs[a + 1 : b + 1] - offs[a]) for a, b in _slices(offs, CHUNK)])
         # Equal fragments, of one anchor, stand together; the first of them has the smallest document.
         order = np.lexsort((docs, hashes, keys))
-        docs, slots, places, sizes, keys, buckets, hashes, offs = docs[order], slots[order], places[order], sizes[order], keys[order], buckets[order], hashes[order], offs[:-1][order]
+        tops = (docs + spans)[order]
+        docs, refs, sizes, keys, buckets, hashes, offs = docs[order], refs[order], sizes[order], keys[order], buckets[order], hashes[order], offs[:-1][order]
         new = np.ones(len(order), bool)
         new[1:] = (hashes[1:] != hashes[:-1]) | (keys[1:] != keys[:-1]) | (sizes[1:] != sizes[:-1])
         new |= ~_as_before(data, offs, sizes, ~new)
@@ -273,23 +298,22 @@ def _cuts(length: int):
         load = np.concatenate([[0], np.cumsum(sizes[heads] + 1)])
         key_begins = np.flatnonzero(np.append(True, keys[heads][1:] != keys[heads][:-1]))
         block = load[key_begins] // SORT_BYTES
-        tops = [*key_begins[np.flatnonzero(np.append(True, block[1:] != block[:-1]))].tolist(), len(heads)]
+        tops_of = [*key_begins[np.flatnonzero(np.append(True, block[1:] != block[:-1]))].tolist(), len(heads)]
         pieces = []
-        for a, b in zip(tops[:-1], tops[1:], strict=True):
+        for a, b in zip(tops_of[:-1], tops_of[1:], strict=True):
             head = heads[a:b]
             size = sizes[head]
             own = np.concatenate([[0], np.cumsum(size)])
             spread = np.repeat(offs[head] - own[:-1], size) + np.arange(own[-1])
             firsts, minima = window_minima(data[spread], own, docs[head], length)
             last = heads[b] if b < len(heads) else len(order)
-            for c in range(int(head[0]), int(last), 50_000):
-                d = min(c + 50_000, int(last))
-                pieces.append(_runs(group[c:d] - a, docs[c:d], firsts, minima, c))
-        row, begin, count = (np.concatenate(x) for x in zip(*pieces, strict=True))
+            pieces.append(_runs(group[head[0] : last] - a, tops[head[0] : last], firsts, minima, head[0]))
+        row, begin, count, low = (np.concatenate(x) for x in zip(*pieces, strict=True))
         bucket = buckets[row]
-        order = np.lexsort((slots[row], bucket))
-        row, begin, count, bucket = row[order], begin[order], count[order], bucket[order]
-        out = [(bucket[a], CUTS, b - a, packed.pack(slots[row[a:b]]), packed.pack(places[row[a:b]] + begin[a:b]), packed.pack(count[a:b] + length - 1)) for a, b in zip(*packed.runs(bucket), strict=True)]
+        order = np.lexsort((refs[row], bucket))
+        row, begin, count, low, bucket = row[order], begin[order], count[order], low[order], bucket[order]
+        columns = refs[row], begin, count, low
+        out = [(bucket[a], CUTS, b - a, *(packed.pack(x[a:b]) for x in columns)) for a, b in zip(*packed.runs(bucket), strict=True)]
         scan.give_back()
         return pa.Table.from_batches([packed.batch(NOTES, out)])
 
@@ -312,6 +336,15 @@ def _as_before(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, asked: n
     return same
 
 
+def _gathered(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> bytes:
+    """The bytes of ranges, one after the other."""
+    offs, parts = np.concatenate([[0], np.cumsum(sizes)]), []
+    for a, b in _slices(offs, CHUNK):
+        spread = np.repeat(begins[a:b] - offs[a:b], sizes[a:b]) + np.arange(offs[a], offs[b])
+        parts.append(data[spread].tobytes())
+    return b"".join(parts)
+
+
 def _slices(offs: np.ndarray, limit: int):
     first, n = 0, len(offs) - 1
     while first < n:
@@ -320,37 +353,54 @@ def _slices(offs: np.ndarray, limit: int):
         first = end
 
 
-def _runs(group, docs, firsts, minima, base: int):
-    """(occurrence, first window, windows) of runs of windows that a smaller document has."""
-    windows = (firsts[1:] - firsts[:-1])[group]
-    begins = np.cumsum(windows) - windows
-    row = np.repeat(np.arange(len(group)), windows)
-    local = np.arange(len(row)) - begins[row]
-    gone = minima[firsts[group][row] + local] < docs[row]
-    rise = gone.copy()
-    rise[1:] &= ~gone[:-1] | (row[1:] != row[:-1])
-    fall = gone.copy()
-    fall[:-1] &= ~gone[1:] | (row[1:] != row[:-1])
-    rise, fall = np.flatnonzero(rise), np.flatnonzero(fall)
-    return base + row[rise], local[rise], fall - rise + 1
-
-
-def _applied(id_name: str, text_name: str, columns: list[str], kinds: dict, length: int, digest: bool):
+def _runs(group: np.ndarray, tops: np.ndarray, firsts: np.ndarray, minima: np.ndarray, base: int):
+    """(row, first window, windows, smallest document) of the runs of windows of each row's fragment that a document
+    smaller than the row's largest has."""
+    # Runs of equal minima in each distinct fragment.
+    change = np.ones(len(minima), bool)
+    change[1:] = minima[1:] != minima[:-1]
+    change[firsts[:-1]] = True
+    begins = np.flatnonzero(change)
+    sizes = np.diff(np.append(begins, len(minima)))
+    owned = np.searchsorted(begins, firsts)
+    count = np.diff(owned)[group]
+    row = np.repeat(np.arange(len(group)), count)
+    run = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + owned[group[row]]
+    low = minima[begins[run]]
+    keep = low < tops[row]
+    row, run, low = row[keep], run[keep], low[keep]
+    return base + row, begins[run] - firsts[group[row]], sizes[run], low
+
+
+def _cut_places(own: Fragments, number: np.ndarray, notes: list[dict]):
+    """(first byte, windows) of all that is cut from the bytes of a bucket's texts."""
+    ref, begin, count, low = (np.concatenate([packed.unpack(r[x], r["n"]) for r in notes]) for x in "abcd")
+    first, last = np.searchsorted(own.ref, ref, "left"), np.searchsorted(own.ref, ref, "right")
+    cut = np.repeat(np.arange(len(ref)), last - first)
+    at = np.arange(len(cut)) - np.repeat(np.cumsum(last - first) - (last - first), last - first) + first[cut]
+    gone = low[cut] < number[own.slot[at]]
+    cut, at = cut[gone], at[gone]
+    return own.begin[at] + begin[cut], count[cut]
+
+
+def _applied(id_name: str, text_name: str, columns: list[str], kinds: dict, length: int, gram: int, digest: bool):
     def found(key: tuple, texts: pa.Table, notes: pa.Table) -> pa.Table:
         order, number, missing, column = _ordered(texts, id_name, text_name)
         copy = _is_copy(number, missing, column, notes)
-        cuts = [(packed.unpack(r["a"], r["n"]), packed.unpack(r["b"], r["n"]), packed.unpack(r["c"], r["n"])) for r in _notes(notes, CUTS)]
-        slots, begins, counts = (np.concatenate(x) for x in zip(*cuts, strict=True)) if cuts else [np.zeros(0, np.int64)] * 3
-        by_slot = np.argsort(slots, kind="stable")
-        slots, begins, counts = slots[by_slot], begins[by_slot], counts[by_slot]
-        kept, stats = [], []
+        told = _notes(notes, CUTS)
+        begins = counts = np.zeros(0, np.int64)
+        if told:
+            begins, counts = _cut_places(Fragments(column, ~(missing | copy), notes, length, gram), number, told)
+            by_place = np.argsort(begins, kind="stable")
+            begins, counts = begins[by_place], counts[by_place]
+        kept, stats, base = [], [], 0
         for first, end, data, offs in scan.chunks(column, CHUNK):
-            a, b = np.searchsorted(slots, [first, end])
+            a, b = np.searchsorted(begins, [base, base + len(data)])
             edges = np.zeros(len(data) + 1, np.int64)
-            at = offs[slots[a:b] - first] + begins[a:b]
-            np.add.at(edges, at, 1)
-            np.add.at(edges, at + counts[a:b], -1)
+            np.add.at(edges, begins[a:b] - base, 1)
+            np.add.at(edges, begins[a:b] - base + counts[a:b] + length - 1, -1)
             gone = np.cumsum(edges[:-1]) > 0
+            base += len(data)
             sizes = np.diff(offs)
             for k in np.flatnonzero(copy[first:end] & (sizes >= length)).tolist():
                 gone[offs[k] : offs[k + 1]] = True
@@ -408,11 +458,11 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, digest: bool
 
     def noted(table: pa.Table) -> pa.Table:
         ids, found = table.column("doc_id").to_numpy(), b"".join(table.column("digest").to_pylist())
-        return pa.Table.from_batches([packed.batch(NOTES, [(table.column("_bucket")[0].as_py(), COPIES, len(ids), packed.pack(ids), found, None)])])
+        return pa.Table.from_batches([packed.batch(NOTES, [(table.column("_bucket")[0].as_py(), COPIES, len(ids), packed.pack(ids), found, None, None)])])
 
     copies = copies.groupBy("_bucket").applyInArrow(noted, shape(NOTES))
     pairs = texts.where("doc_id is not null").selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_anchor_rows(parts, length, gram), shape(ANCHORS))
-    keys = pairs.groupBy("_part").applyInArrow(_repeated(buckets), shape(NOTES))
+    keys = graph.written(pairs.groupBy("_part").applyInArrow(_repeated(buckets), shape(NOTES)), "anchors")
 
     name = _free("_bucket", docs.columns)
     side = (texts if digest else docs).where("doc_id is not null").withColumn(name, bucket)
@@ -421,8 +471,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, digest: bool
     cuts = fragments.groupBy("_shard").applyInArrow(_cuts(length), shape(NOTES))
     columns = [c for c in side.columns if c != name]
     schema = DIGEST if digest else docs.schema
-    applied = _applied("doc_id", "text", columns, {"text": pa.string()}, length, digest)
-    done = held.cogroup(cuts.unionAll(copies).groupBy("_bucket")).applyInArrow(applied, schema)
+    applied = _applied("doc_id", "text", columns, {"text": pa.string()}, length, gram, digest)
+    done = held.cogroup(cuts.unionAll(keys).unionAll(copies).groupBy("_bucket")).applyInArrow(applied, schema)
     nameless = (texts if digest else docs).where("doc_id is null")
     if digest:
         raw = F.coalesce("text", F.lit("")).cast("binary")
