@@ -65,6 +65,8 @@ def test_regular_texts_are_told_apart(spark):
 def test_crowded_keys_and_many_tasks(spark, monkeypatch, crowd, flush):
     monkeypatch.setattr(jaccard, "KEY_SETS", crowd)
     monkeypatch.setattr(jaccard, "PACK_KEYS", flush)
+    monkeypatch.setattr(jaccard, "PART_KEYS", flush)
+    monkeypatch.setattr(jaccard, "GROUP_PAIRS", flush)
     monkeypatch.setattr(jaccard, "CHUNK_SETS", 25)
     monkeypatch.setattr(jaccard, "BIN_SETS", 5)
     rows = near_copies(31, 260)

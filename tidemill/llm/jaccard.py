@@ -47,13 +47,18 @@ SIZE, PERCENT = 5, 80
 DIMENSIONS, MOST_DIMENSIONS, PER_GROUP, FANOUT = 64, 4096, 8, 16
 #: Most sets, and about the most shingles, of one side of a task; sets of small clusters in a bin.
 CHUNK_SETS, CHUNK_SHINGLES, BIN_SETS = 2_000, 1 << 22, 500
-#: (key, set) pairs behind each part of the keys and in each pack of them, and bytes of text taken for one shingle.
-PART_KEYS, PACK_KEYS, SHINGLE_BYTES = 1 << 20, 1 << 18, 6
+#: (key, set) pairs behind each part of the keys, most parts, and bytes of text taken for one shingle.
+PART_KEYS, MOST_PARTS, SHINGLE_BYTES = 1 << 18, 1 << 18, 6
+#: (key, set) pairs that ask for count vectors, behind each group of vectors.
+GROUP_PAIRS = 1 << 19
+#: Least and most pairs that a task packs at once; in between, as many as fill rows of 16 pairs.
+PACK_KEYS, MOST_PACK_KEYS = 1 << 18, 1 << 22
 #: Most sets of a key that are compared by their short count vectors.
 KEY_SETS = 1_000
 SETS = [("doc_id", pa.int64()), ("n", pa.int64()), ("print_a", pa.int64()), ("print_b", pa.int64())]
 PAIRS = [("_part", pa.int32()), ("pairs", pa.int64()), ("nodes", pa.int64()), *((x, pa.binary()) for x in ("key", "node", "per_node", "edge_a", "edge_b"))]
-VECTORS = [("node", pa.int64()), ("_part", pa.int32()), ("n", pa.int64()), ("vector", pa.binary())]
+WANTED = [("_group", pa.int32()), ("_part", pa.int32()), ("nodes", pa.int64()), ("node", pa.binary())]
+VECTORS = [*WANTED[1:], ("size", pa.binary()), ("vector", pa.binary())]
 SCANNED = [*SETS, ("vector", pa.binary()), *PAIRS]
 NODE_BITS = np.uint64((1 << 62) - 1)
 EDGES = [("a", pa.int64()), ("b", pa.int64())]
@@ -167,6 +172,7 @@ class Keys:
 
     def __init__(self, percent: int, parts: int):
         self.percent, self.parts = percent, parts
+        self.most = max(PACK_KEYS, min(16 * parts, MOST_PACK_KEYS))
         self.key, self.node, self.count = [], [], 0
 
     def add(self, hashes, firsts, print_a) -> None:
@@ -241,12 +247,47 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([packed.batch(PAIRS, found)])
 
 
-def _wanted(batches):
-    """(node, part) of the nodes whose count vectors a part needs."""
-    for batch in batches:
-        for r in batch.to_pylist():
-            if r["nodes"]:
-                yield pa.RecordBatch.from_arrays([pa.array(packed.unpack_rising(r["node"], r["nodes"])), pa.array(np.full(r["nodes"], r["_part"], np.int32))], names=["node", "_part"])
+def _wanted(groups: int):
+    """The nodes whose count vectors a part needs, packed by group of nodes."""
+
+    def wanted(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["nodes"]:
+                    node = packed.unpack_rising(r["node"], r["nodes"])
+                    group = _group_of(node, groups)
+                    order = np.argsort(group, kind="stable")
+                    group, node = group[order], node[order]
+                    yield packed.batch(WANTED, [(group[a], r["_part"], b - a, packed.pack_rising(node[a:b])) for a, b in zip(*packed.runs(group), strict=True)])
+
+    return wanted
+
+
+def _group_of(node: np.ndarray, groups: int) -> np.ndarray:
+    return packed.scaled(scan.mix(node.view(np.uint64)), groups)
+
+
+def _grouped(groups: int):
+    def grouped(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_group_of(batch.column(0).to_numpy(), groups), pa.int32()), *batch.columns], names=["_group", "node", "n", "vector"])
+
+    return grouped
+
+
+def _sent(wanted: pa.Table, vectors: pa.Table) -> pa.Table:
+    """The sizes and count vectors of a group's nodes for each part that wants them."""
+    known, size, vector = _nodes(*_table_vectors(vectors))
+    rows = []
+    for r in wanted.to_pylist():
+        spot = np.searchsorted(known, packed.unpack_rising(r["node"], r["nodes"]))
+        rows.append((r["_part"], r["nodes"], r["node"], packed.pack(size[spot]), vector[spot].T.tobytes()))
+    return pa.Table.from_batches([packed.batch(VECTORS, rows)])
+
+
+def _table_vectors(vectors: pa.Table):
+    vector = np.frombuffer(b"".join(vectors.column("vector").to_pylist()), np.uint8).reshape(-1, DIMENSIONS)
+    return vectors.column("node").to_numpy(), vectors.column("n").to_numpy(), vector
 
 
 def _nodes(node: np.ndarray, size: np.ndarray, vector: np.ndarray):
@@ -273,7 +314,7 @@ def _scanned(size: int, percent: int, parts: int):
                 own = ids.slice(first, end - first)
                 yield _rows(SCANNED, {"doc_id": own, "n": np.diff(firsts), "print_a": a.view(np.int64), "print_b": b.view(np.int64), "vector": vectors}, end - first)
                 keys.add(hashes, firsts, a)
-                if keys.count >= PACK_KEYS:
+                if keys.count >= keys.most:
                     yield keys.flush()
         if keys.count:
             yield keys.flush()
@@ -351,8 +392,12 @@ def _stars(percent: int):
         a, b = ([packed.unpack(r[x], r["pairs"]) for r in edges] for x in ("edge_a", "edge_b"))
         key, node, crowded = _unpacked([r for r in rows if r["nodes"]])
         if len(key):
-            vector = np.frombuffer(b"".join(vectors.column("vector").to_pylist()), np.uint8).reshape(-1, DIMENSIONS)
-            known, size, vector = _nodes(vectors.column("node").to_numpy(), vectors.column("n").to_numpy(), vector)
+            sent = vectors.to_pylist()
+            known, size, vector = _nodes(
+                np.concatenate([packed.unpack_rising(r["node"], r["nodes"]) for r in sent]),
+                np.concatenate([packed.unpack(r["size"], r["nodes"]) for r in sent]),
+                np.concatenate([np.frombuffer(r["vector"], np.uint8).reshape(DIMENSIONS, -1).T for r in sent]),
+            )
             order = np.lexsort((node, key))
             x, y = neighbours(key[order], np.searchsorted(known, node[order]), crowded[order], size, vector, percent)
             a.append(known[x])
@@ -600,7 +645,7 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
     texts = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     expected = total // SHINGLE_BYTES * 2 * (100 - percent) // percent
-    scanned = graph.written(texts.mapInArrow(_scanned(size, percent, 1 + expected // PART_KEYS), shape(SCANNED)), "shingles")
+    scanned = graph.written(texts.mapInArrow(_scanned(size, percent, min(1 + expected // PART_KEYS, MOST_PARTS)), shape(SCANNED)), "shingles")
     rows = scanned.where("_part is null").select(*[name for name, _ in SETS])
 
     # Classes: the smallest id of each set. Rows of one id join the classes of their sets.
@@ -615,10 +660,10 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
     node = F.col("print_a").bitwiseAND(F.lit(int(NODE_BITS)))
     pairs = scanned.where("_part is not null").select(*[name for name, _ in PAIRS])
     shared = graph.written(pairs.groupBy("_part").applyInArrow(_shared, shape(PAIRS)), "keys")
-    wanted = graph.written(shared.mapInArrow(_wanted, shape(VECTORS[:2])), "wanted")
-    few = skew.sized(wanted.select(F.col("node").alias("wanted_node")).distinct())
-    vectors = scanned.where("n > 0").select(node.alias("node"), "n", "vector").join(few, F.col("node") == F.col("wanted_node"), "left_semi").distinct()
-    vectors = wanted.join(vectors.hint("merge"), "node").select(*[name for name, _ in VECTORS])
+    groups = 1 + (shared.agg(F.sum("nodes")).first()[0] or 0) // GROUP_PAIRS
+    vectors = scanned.where("n > 0").select(node.alias("node"), "n", "vector").distinct().mapInArrow(_grouped(groups), "_group int, node long, n long, vector binary")
+    wanted = shared.mapInArrow(_wanted(groups), shape(WANTED))
+    vectors = wanted.groupBy("_group").cogroup(vectors.groupBy("_group")).applyInArrow(_sent, shape(VECTORS))
     edges = shared.groupBy("_part").cogroup(vectors.groupBy("_part")).applyInArrow(_stars(percent), shape(EDGES))
     clusters = _rooted(graph.components(edges))
     heads = classed.where("class = doc_id and n > 0").select("doc_id", "n", node.alias("node"))
