@@ -154,3 +154,26 @@ def test_ranges_are_compared_by_their_bytes():
     data = np.frombuffer(b"abcdefghijabcdefghijabcdefghiXabcdefgh1abcdefgh2", np.uint8)
     begins, sizes = np.array([0, 10, 20, 30, 39]), np.array([10, 10, 10, 9, 9])
     assert substrings._as_before(data, begins, sizes, np.array([False, True, True, False, True])).tolist() == [False, True, False, False, False]
+
+
+def test_a_passage_of_all_documents_is_combined_before_its_shuffles():
+    """Of its anchors two documents a pack go on, and each bucket sends its bytes once."""
+    import pyarrow as pa
+
+    r = random.Random(3)
+    text = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    passage, n = text(300), 400
+    texts = pa.table({"doc_id": list(range(n)), "text": [text(60) + passage + text(60) for _ in range(n)]})
+    batches = texts.to_batches(max_chunksize=100)
+    packs = list(substrings._anchor_rows(1, 5, 50, 20)(iter(batches)))
+    rows = [row for pack in packs for row in pack.to_pylist()]
+    pairs = [x for row in rows if row["bucket"] is None for x in packed.unpack(row["keys"], row["n"]).tolist()]
+    told = {row["bucket"]: set(packed.unpack_rising(row["keys"], row["n"]).tolist()) for row in rows if row["bucket"] is not None}
+    inside = set.intersection(*told.values())  # the passage's own anchors
+    assert len(inside) >= 10 and all(pairs.count(key) == 2 * len(packs) for key in inside)
+    notes = substrings._repeated(5)(pa.Table.from_pylist(rows, pa.schema(substrings.ANCHORS)))
+    own = texts.filter(pa.array([i % 5 == 2 for i in range(n)]))
+    sent = substrings._fragments(1, 50, 20, "doc_id", "text")((pa.scalar(2),), own, notes.filter(pa.array([b == 2 for b in notes.column("_bucket").to_pylist()])))
+    keys = [x for row in sent.to_pylist() for x in packed.unpack(row["keys"], row["n"]).tolist()]
+    # The outermost anchors have windows that reach into the texts around the passage.
+    assert sum(keys.count(key) == 1 for key in inside) > len(inside) // 2

@@ -8,7 +8,9 @@ Windows are dealt to shards so that equal ones meet. The anchor of a window is t
 smallest hash of its ``GRAM``-byte grams; equal windows have equal anchors. Neighbouring
 windows with one anchor make a fragment.
 
-1. Anchors, packed, are dealt by hash. Those found in one document only are dropped.
+1. Anchors, packed, are dealt by hash. Those found in one document only are dropped. An anchor that a
+   task finds in several documents is known to be kept: buckets are told of it at once, and only two
+   of its documents go on, for what other tasks have.
 2. Texts meet the other anchors, bucket by bucket, and give the fragments, dealt by anchor. Equal
    fragments of a bucket go as one, with their smallest and largest document id.
 3. A shard joins its distinct fragments to one text, sorts its suffixes by induced sorting
@@ -23,8 +25,8 @@ digests of very many rows joined by broadcast: a copy of a smaller id's text goe
 whole, and takes no part in the rest; copies in one batch give anchors once, as the smallest id
 among them. Fragments count as equal by their bytes. Buckets and shards hold a bounded number of
 bytes of text; their count follows the input. A fragment that every document has comes once from
-each bucket, and of an anchor that every document has some eight bytes a document meet in one
-task. Rows with a null id are in no bucket.
+each bucket, and an anchor that every document has a few times from each task. Rows with a null id
+are in no bucket.
 
 Defined results: a null text counts as empty; a row with a null id loses nothing and
 removes nothing; rows of one id never remove from one another; repeated rows are all
@@ -48,7 +50,7 @@ ANCHOR_BYTES, TEXT_BYTES, SHARD_BYTES = 8 << 20, 8 << 20, 8 << 20
 #: Bytes of distinct fragments that are sorted at once.
 SORT_BYTES = 3 << 19
 KEPT_ANCHORS = 500_000
-ANCHORS = [("_part", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary())]
+ANCHORS = [("_part", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary())]
 NOTES = [("_bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())]
 FRAGMENTS = [("_shard", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64()), *((x, pa.binary()) for x in ("docs", "spans", "refs", "sizes", "keys", "text"))]
 WORDS = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
@@ -106,19 +108,28 @@ def _smallest_of_equal(column, ids: np.ndarray) -> np.ndarray:
     return chosen
 
 
-def _anchor_rows(parts: int, length: int, gram: int):
+def _anchor_rows(parts: int, buckets: int, length: int, gram: int):
     """Packed (anchor, document) pairs, each once per batch; of equal texts in a batch the smallest
-    document has them, as copies of it take no part in the rest."""
+    document has them, as copies of it take no part in the rest. Rows with a bucket have anchors
+    for that bucket instead, which several documents of the task have."""
 
     def dealt(batches):
         keys, docs, held = [], [], 0
 
         def flush():
             key, doc = np.concatenate(keys), np.concatenate(docs)
+            order = np.lexsort((doc, key))
+            key, doc = key[order], doc[order]
+            begins, ends = packed.runs(key)
+            several = np.repeat(doc[begins] != doc[ends - 1], ends - begins)
+            rows = [(bucket % parts, bucket, n, own, None) for bucket, n, own in _by_bucket(_short(key[several]), doc[several] % buckets)]
+            stay = ~several
+            stay[begins] = stay[ends - 1] = True
+            key, doc = key[stay], doc[stay]
             part = packed.scaled(key, parts)
             order = np.lexsort((doc, part))
-            key, doc, part = key[order], doc[order], part[order]
-            return packed.batch(ANCHORS, [(part[a], b - a, packed.pack(key[a:b] & np.uint64((1 << 48) - 1)), packed.pack_rising(doc[a:b])) for a, b in zip(*packed.runs(part), strict=True)])
+            key, doc, part = _short(key[order]), doc[order], part[order]
+            return packed.batch(ANCHORS, rows + [(part[a], None, b - a, packed.pack(key[a:b]), packed.pack_rising(doc[a:b])) for a, b in zip(*packed.runs(part), strict=True)])
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -144,25 +155,41 @@ def _anchor_rows(parts: int, length: int, gram: int):
     return dealt
 
 
+def _short(key: np.ndarray) -> np.ndarray:
+    return (key & np.uint64((1 << 48) - 1)).astype(np.int64)
+
+
+def _by_bucket(key: np.ndarray, bucket: np.ndarray) -> list[tuple]:
+    """(bucket, count, packed anchors) of the distinct anchors of each bucket."""
+    order = np.lexsort((key, bucket))
+    key, bucket = key[order], bucket[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])
+    key, bucket = key[new], bucket[new]
+    return [(int(bucket[a]), int(b - a), packed.pack_rising(key[a:b])) for a, b in zip(*packed.runs(bucket), strict=True)]
+
+
 def _repeated(buckets: int):
-    """Anchors of a part that two documents have, for each bucket that has such a document."""
+    """Anchors of a part that two documents have, for each bucket that has such a document, and those
+    that were known to be such."""
 
     def found(table: pa.Table) -> pa.Table:
-        rows = table.select(["n", "keys", "docs"]).to_pydict()
-        key = np.concatenate([packed.unpack(k, n) for n, k in zip(rows["n"], rows["keys"], strict=True)])
-        doc = np.concatenate([packed.unpack_rising(d, n) for n, d in zip(rows["n"], rows["docs"], strict=True)])
-        order = np.argsort(key)
-        key, doc = key[order], doc[order]
-        begins, ends = packed.runs(key)
-        several = np.minimum.reduceat(doc, begins) != np.maximum.reduceat(doc, begins)
-        keep = np.repeat(several, ends - begins)
-        key, bucket = key[keep], doc[keep] % buckets
-        order = np.lexsort((key, bucket))
-        key, bucket = key[order], bucket[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])
-        key, bucket = key[new], bucket[new]
-        return pa.Table.from_batches([packed.batch(NOTES, [(bucket[a], KEYS, b - a, packed.pack_rising(key[a:b]), None, None, None) for a, b in zip(*packed.runs(bucket), strict=True)])])
+        rows = table.to_pylist()
+        told = [r for r in rows if r["bucket"] is not None]
+        rows = [r for r in rows if r["bucket"] is None]
+        keys = [packed.unpack_rising(r["keys"], r["n"]) for r in told]
+        places = [np.full(r["n"], r["bucket"], np.int64) for r in told]
+        if rows:
+            key = np.concatenate([packed.unpack(r["keys"], r["n"]) for r in rows])
+            doc = np.concatenate([packed.unpack_rising(r["docs"], r["n"]) for r in rows])
+            order = np.argsort(key)
+            key, doc = key[order], doc[order]
+            begins, ends = packed.runs(key)
+            several = np.repeat(np.minimum.reduceat(doc, begins) != np.maximum.reduceat(doc, begins), ends - begins)
+            keys.append(key[several])
+            places.append(doc[several] % buckets)
+        out = [(bucket, KEYS, n, own, None, None, None) for bucket, n, own in _by_bucket(np.concatenate(keys), np.concatenate(places))]
+        return pa.Table.from_batches([packed.batch(NOTES, out)])
 
     return found
 
@@ -461,7 +488,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, digest: bool
         return pa.Table.from_batches([packed.batch(NOTES, [(table.column("_bucket")[0].as_py(), COPIES, len(ids), packed.pack(ids), found, None, None)])])
 
     copies = copies.groupBy("_bucket").applyInArrow(noted, shape(NOTES))
-    pairs = texts.where("doc_id is not null").selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_anchor_rows(parts, length, gram), shape(ANCHORS))
+    pairs = texts.where("doc_id is not null").selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_anchor_rows(parts, buckets, length, gram), shape(ANCHORS))
     keys = graph.written(pairs.groupBy("_part").applyInArrow(_repeated(buckets), shape(NOTES)), "anchors")
 
     name = _free("_bucket", docs.columns)
