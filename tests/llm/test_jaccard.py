@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tests.llm.conftest import prose
-from tidemill.llm import jaccard
+from tidemill.llm import jaccard, scan
 
 
 def brute(rows, size, percent):
@@ -60,6 +60,19 @@ def test_regular_texts_are_told_apart(spark):
     assert sorted(map(tuple, jaccard.join(docs, 3, 90).collect()), key=str) == brute(rows, 3, 90)
 
 
+def test_digests_differ_where_bytes_do():
+    r = random.Random(12)
+    words = sorted({bytes(r.choice(b"ab\x00\xff") for _ in range(r.randint(1, 20))) for _ in range(5000)} | {b"\0" * n for n in range(1, 20)})
+    r.shuffle(words)
+    words += words[:1000]
+    data, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words])
+    low, high = scan.digests(data, ends - [len(w) for w in words], ends)
+    bits = list(zip(low.tolist(), high.tolist(), strict=True))
+    assert len(set(bits)) == len(set(words)) and dict(zip(words, bits, strict=True)) == dict(zip(reversed(words), reversed(bits), strict=True))
+    assert len(set(low.tolist())) == len(set(high.tolist())) == len(set(words))
+    assert not len(scan.digests(data[:0], np.zeros(0, np.int64), np.zeros(0, np.int64))[0])
+
+
 @pytest.mark.parametrize("crowd", [1000, 4])
 @pytest.mark.parametrize("flush", [1 << 20, 300])
 def test_crowded_keys_and_many_tasks(spark, monkeypatch, crowd, flush):

@@ -2,7 +2,7 @@
 
 A document is the set of its distinct shingles: runs of ``size`` words, or all its words
 if it has fewer but any. Two documents link if 100 * intersection >= percent * union.
-A shingle is known by 128 bits made from BLAKE2b digests of its words.
+A shingle is known by 128 bits made from those of its words, which differ for different words (``scan.digests``).
 
 1. Documents with one set are one class; its smallest id stands for it.
 2. Candidates. Sets in one size band (or in neighbouring bands) are dealt to G groups

@@ -127,7 +127,7 @@ class Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, CHUNK + 1)
+            size = 1 << (n - 1).bit_length()
             for name, base in (("up", BASE), ("down", INVERSE)):
                 steps = np.full(size, base, np.uint64)
                 steps[0] = 1
@@ -167,13 +167,30 @@ def same_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     return numbered.indices.to_numpy().astype(np.int64), numbered.dictionary
 
 
+#: Constants of the rounds of ``digests``.
+ROUNDS = tuple(map(np.uint64, (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)))
+
+
 def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two halves of a 128-bit BLAKE2b digest of each range; see ``same_bytes``."""
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    number, distinct = same_bytes(data, starts, ends)
-    halves = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in distinct.to_pylist()), "<u8").reshape(-1, 2)
-    return halves[number, 0], halves[number, 1]
+    """The two halves of 128 bits for each range; see ``same_bytes``. Those of up to 15 bytes are their
+    bytes and length, mixed by a bijection, so different ranges have different bits; longer ones have a
+    BLAKE2b digest."""
+    sizes = ends - starts
+    padded = np.append(data, np.zeros(16, np.uint8))
+    words = np.ndarray((len(data) + 9,), "<u8", padded, 0, (1,))
+    kept = np.append(np.uint64(0), ~np.uint64(0) >> (np.uint64(64) - np.arange(8, 72, 8, dtype=np.uint64)))
+    low = words[starts] & kept[np.minimum(sizes, 8)]
+    high = words[starts + np.minimum(sizes, 8)] & kept[np.clip(sizes - 8, 0, 7)] | sizes.astype(np.uint64) << np.uint64(56)
+    high ^= mix(low ^ ROUNDS[0])
+    low ^= mix(high ^ ROUNDS[1])
+    high ^= mix(low ^ ROUNDS[2])
+    low, high = mix(low), mix(high)
+    long = np.flatnonzero(sizes > 15)
+    if len(long):
+        number, distinct = same_bytes(data, starts[long], ends[long])
+        halves = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in distinct.to_pylist()), "<u8").reshape(-1, 2)
+        low[long], high[long] = halves[number, 0], halves[number, 1]
+    return low, high
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
