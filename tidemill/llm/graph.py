@@ -1,6 +1,6 @@
 """Connected components of a distributed graph.
 
-Edges are first replaced, partition by partition, by stars around the smallest nodes that a
+Edges are replaced, partition by partition, by stars around the smallest nodes that a
 union-find shows; where at most ``PER_TASK`` are left, which is checked, one task finishes them so. Alternating large-star and small-star steps then bring every node next to the
 smallest node of its component in a number of rounds that grows with the logarithm of the
 longest path. A step groups edges by node for a minimum, which combines before the shuffle, and
@@ -118,7 +118,8 @@ def local_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def components(edges: DataFrame, per_task: int = PER_TASK) -> DataFrame:
     """(node, root) of every node of an edge but the roots; edges are columns ``a`` and ``b``."""
     stars = edges.select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).where("a is not null and b is not null and high > low")
-    stars = cut_lineage(contracted(stars))
+    # Edges are kept first: what makes them may be a Python function, and two in one task take twice the workers.
+    stars = cut_lineage(stars)
     before = (-1, 0)
     # While the edges are more than a task takes; else a union-find has them all at once.
     while (mark := _mark(stars)) != before and mark[0] > per_task:
