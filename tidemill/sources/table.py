@@ -11,7 +11,6 @@ import time
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemill.operators import lww
 from tidemill.schema import POINT, POINT_BYTES, POINT_SEQ, checked
