@@ -118,3 +118,60 @@ def test_bounded_open_sequences_lose_nothing():
             assert ids.tolist() == list(range(start, start + len(ids))) and total == len(docs[doc])
             seen[doc] = seen.get(doc, 0) + len(ids)
     assert seen == {k: len(ids) for k, ids in enumerate(docs)}
+
+
+def test_whole_query_against_a_plain_version(spark, small, reference):
+    """The same packing by trying every level and counting all squares anew."""
+    capacity = 256
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").coalesce(1)
+    given = [(r["doc_id"], len(reference.encode(r["text"], add_special_tokens=False).ids) + 1) for r in docs.collect()]
+    opened: list[list] = []  # [fill, pieces], those put back last behind the others of their level
+    done = []
+    for doc, n in given:
+        done += [[(doc, at, capacity)] for at in range(0, n - capacity + 1, capacity)]
+        start, size = n - n % capacity, n % capacity
+        if not size:
+            continue
+
+        def squares(level):
+            counts = [0] * (capacity + 1)
+            for fill, _ in opened:
+                counts[fill] += 1
+            counts[level] -= level > 0
+            counts[level + size] += 1  # noqa: B023
+            return sum(c * c for c in counts[1:capacity])
+
+        level = min({0, *(fill for fill, _ in opened if fill + size <= capacity)}, key=lambda h: (squares(h), -h))
+        own = [0, []]
+        if level:
+            own = [x for x in opened if x[0] == level][-1]
+            opened.remove(own)
+        own = [level + size, [*own[1], (doc, start, size)]]
+        (done.append(own[1]) if own[0] == capacity else opened.append(own))
+    while opened:
+        top = [x for x in opened if x[0] == max(f for f, _ in opened)][-1]
+        opened.remove(top)
+        fill, pieces = top
+        while fill < capacity and opened:
+            low = [x for x in opened if x[0] == min(f for f, _ in opened)][-1]
+            opened.remove(low)
+            doc, start, size = low[1].pop()
+            cut = min(size, capacity - fill)
+            pieces.append((doc, start, cut))
+            fill += cut
+            if cut < size:
+                low[1].append((doc, start + cut, size - cut))
+            if low[1]:
+                opened.append([low[0] - cut, low[1]])
+        if fill == capacity:
+            done.append(pieces)
+        else:
+            rest = [(doc, start + k) for doc, start, size in pieces for k in range(size)]
+            for bit in reversed(range(fill.bit_length())):
+                if fill >> bit & 1:
+                    part, rest = rest[: 1 << bit], rest[1 << bit :]
+                    runs = [k for k in range(len(part)) if not k or part[k] != (part[k - 1][0], part[k - 1][1] + 1)]
+                    done.append([(*part[a], b - a) for a, b in zip(runs, [*runs[1:], len(part)], strict=True)])
+    rows = packing.pack(docs, packing.default_vocabulary(), capacity).toPandas().sort_values(["sequence_id", "offset"])
+    found = [[(int(r.doc_id), int(r.start), int(r.length)) for r in own.itertuples()] for _, own in rows.groupby("sequence_id")]
+    assert sorted(found) == sorted(done)
