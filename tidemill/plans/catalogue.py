@@ -234,21 +234,19 @@ def log_records(spark, sf_dir):
 
 
 def log_files(spark, sf_dir):
-    """Events appended by many writers to logs on disk, some of which are discarded, and replayed."""
+    """Events appended by many writers to logs on disk and replayed. Each writer first discards a log of wrong values."""
     folder = new_folder(spark, "logs")
 
     def appended(batches):
         for batch in batches:
             for part, rows in zip(batch.column("part").to_pylist(), batch.column("rows").to_pylist(), strict=True):
-                log = files.Log(f"{folder}/{part}")
-                for k, row in enumerate(rows):
-                    log.append(row["timestamp"], row["value"])
-                    if k % 250 == 0:
-                        log.sync()
-                if part % 5 == 4:
-                    log.discard()
-                else:
-                    log.close()
+                for right in (False, True):
+                    log = files.Log(f"{folder}/{part}")
+                    for k, row in enumerate(rows):
+                        log.append(row["timestamp"], row["value"] if right else -1.0)
+                        if k % 250 == 0:
+                            log.sync()
+                    log.close() if right else log.discard()
                 yield pa.RecordBatch.from_arrays([pa.array([part])], names=["part"])
 
     _by_thousand(spark, sf_dir).mapInArrow(appended, "part long").write.format("noop").mode("overwrite").save()
@@ -263,11 +261,13 @@ def sst_files(spark, sf_dir):
 
 
 def recover_folder(spark, sf_dir):
-    """A folder of block files and a log, as a stopped engine leaves it, opened as a table."""
+    """A folder of block files and a log, as a stopped engine leaves it, opened as a table: the log has the
+    last 5,000 events, times ten, and the files all but the last 2,500."""
     folder = new_folder(spark, "folder")
     rows = _by(60_000_000, events(spark, sf_dir))
-    files.write_block_files(lww.newest(rows.where("seq < 5000"), "seq"), folder, per_file=1000)
-    late = rows.where("seq >= 2500 and seq < 7500").groupBy().agg(F.array_sort(F.collect_list(F.struct("seq", "timestamp", "value"))).alias("rows"))
+    end = rows.agg(F.max("seq") + 1).first()[0] or 0
+    files.write_block_files(lww.newest(rows.where(F.col("seq") < end - 2500), "seq"), folder, per_file=1000)
+    late = rows.where(F.col("seq") >= end - 5000).groupBy().agg(F.array_sort(F.collect_list(F.struct("seq", "timestamp", "value"))).alias("rows"))
 
     def appended(batches):
         for batch in batches:
@@ -277,7 +277,7 @@ def recover_folder(spark, sf_dir):
             log.close()
             yield pa.RecordBatch.from_arrays([pa.array([1])], names=["done"])
 
-    late.mapInArrow(appended, "done long").write.format("noop").mode("overwrite").save()  # one log, of at most 5,000 records
+    late.mapInArrow(appended, "done long").write.format("noop").mode("overwrite").save()
     return Table.from_folder(spark, folder, new_folder(spark, "table")).scan_all()
 
 
@@ -349,10 +349,10 @@ ORACLES = {
         bit_count(xor({_X}, lag({_X}) OVER w)) AS x FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts)))
         SELECT user_id, count(d1) AS deltas, CAST(coalesce(sum(d1), 0) AS BIGINT) AS delta_sum, count(d2) AS dods,
         CAST(coalesce(sum(d2), 0) AS BIGINT) AS dod_sum, count(x) AS xors, CAST(coalesce(sum(x), 0) AS BIGINT) AS xor_bits FROM d GROUP BY 1""",
-    "log_files": f"WITH {_P} SELECT timestamp, value FROM p WHERE event_id // 1000 % 5 <> 4",
-    "recover_folder": f"""WITH {_P}, r AS (
-        SELECT timestamp // 60000000 AS timestamp, 0 AS g, arg_max(value, event_id) AS value FROM p WHERE event_id < 5000 GROUP BY 1
-        UNION ALL SELECT timestamp // 60000000, 1, arg_max(value, event_id) * 10 + 1 FROM p WHERE event_id >= 2500 AND event_id < 7500 GROUP BY 1)
+    "log_files": f"WITH {_P} SELECT timestamp, value FROM p",
+    "recover_folder": f"""WITH {_P}, n AS (SELECT max(event_id) + 1 AS n FROM p), r AS (
+        SELECT timestamp // 60000000 AS timestamp, 0 AS g, arg_max(value, event_id) AS value FROM p, n WHERE event_id < n - 2500 GROUP BY 1
+        UNION ALL SELECT timestamp // 60000000, 1, arg_max(value, event_id) * 10 + 1 FROM p, n WHERE event_id >= n - 5000 GROUP BY 1)
         SELECT timestamp, arg_max(value, g) AS value FROM r GROUP BY 1""",
     "auto_compaction": f"""WITH {_P}, s AS (SELECT range AS step FROM range(6))
         SELECT step, CASE WHEN step < 3 THEN step + 1 ELSE (step - 3) % 3 + 1 END AS runs,
