@@ -49,7 +49,8 @@ CHUNK = 1 << 19
 ANCHOR_BYTES, TEXT_BYTES, SHARD_BYTES = 8 << 20, 8 << 20, 8 << 20
 #: Bytes of distinct fragments that are sorted at once.
 SORT_BYTES = 3 << 19
-KEPT_ANCHORS = 500_000
+#: Most parts of anchors; least and most anchors that a task packs at once, in between 16 a part.
+MOST_PARTS, KEPT_ANCHORS, MOST_KEPT_ANCHORS = 1 << 18, 500_000, 1 << 22
 ANCHORS = [("_part", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary())]
 NOTES = [("_bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())]
 FRAGMENTS = [("_shard", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64()), *((x, pa.binary()) for x in ("docs", "spans", "refs", "sizes", "keys", "text"))]
@@ -115,6 +116,7 @@ def _anchor_rows(parts: int, buckets: int, length: int, gram: int):
 
     def dealt(batches):
         keys, docs, held = [], [], 0
+        most = max(KEPT_ANCHORS, min(16 * parts, MOST_KEPT_ANCHORS))
 
         def flush():
             key, doc = np.concatenate(keys), np.concatenate(docs)
@@ -146,7 +148,7 @@ def _anchor_rows(parts: int, buckets: int, length: int, gram: int):
                 keys.append(key[new])
                 docs.append(ids[first:end][text[new]])
                 held += int(new.sum())
-                if held >= KEPT_ANCHORS:
+                if held >= most:
                     yield flush()
                     keys, docs, held = [], [], 0
         if held:
@@ -475,7 +477,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, digest: bool
     scan.small_batches(docs.sparkSession)
     texts = docs.select("doc_id", "text")
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts, shards = 1 + total // ANCHOR_BYTES, 1 + total // SHARD_BYTES
+    parts, shards = min(1 + total // ANCHOR_BYTES, MOST_PARTS), 1 + total // SHARD_BYTES
     buckets = packed.prime_from(1 + total // TEXT_BYTES)
     bucket = F.coalesce(F.pmod(F.col("doc_id"), F.lit(buckets)), F.lit(0)).cast("int")
 
