@@ -108,7 +108,7 @@ def test_series_operators_do_not_depend_on_slots(spark, width):
     assert sorted(rows(series.running_sum(df, "timestamp", width).select("timestamp", "running")))[-1][1] == sum(t)
 
 
-def test_a_reference_folder_becomes_a_table(spark, tmp_path):
+def test_a_folder_of_files_becomes_a_table(spark, tmp_path):
     from tidemill.sources import files
 
     folder = tmp_path / "data"
