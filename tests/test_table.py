@@ -180,3 +180,27 @@ def test_nulls_and_empty_tables(spark):
     empty = df.where("false")
     assert [x.count() for x in (lww.newest(empty, "seq"), series.delta(empty), series.delta_of_delta(empty), blocks.index(empty), blocks.dod_bits(empty), coded.decode(coded.encode(empty)))] == [0] * 6
     assert rows(blocks.header(empty)) == [(None, None, 0, 0)]
+
+
+def test_a_table_with_repeats_keeps_every_write(spark, tmp_path):
+    path, want = f"file://{tmp_path}/t", [(1, 2.0), (1, 2.0), (1, 3.0), (2, 1.0), (2, 1.0)]
+    table = Table(spark, path, repeats=True)
+    table.write_batch(batch(spark, [(1, 3), (1, 2), (2, 1)]))
+    assert table.pending_count() == 3
+    table.flush()
+    table.write_batch(batch(spark, [(2, 1), (1, 2)]))
+    assert rows(table.scan_all()) == want and rows(table.scan_range(2, 9)) == want[3:]
+    table.flush()
+    again = Table(spark, path)  # is still a table of that kind
+    again.compact()
+    assert again.run_count() == 1 and rows(again.scan_all()) == want
+    assert again.add_run(batch(spark, [(2, 0), (2, 0)]), "q", 0) and rows(again.scan_range(2, 2)) == [(2, 0.0), (2, 0.0), *want[3:]]
+    full = Table(spark, f"file://{tmp_path}/full", capacity=64 * 4, repeats=True)
+    for k in range(2):
+        full.write_batch(batch(spark, [(7, 1), (7, 1)]))
+        assert full.run_count() == k
+    unique = Table(spark, f"file://{tmp_path}/u")
+    unique.write(1, 1.0)
+    unique.flush()
+    with pytest.raises(ValueError, match="one point"):
+        Table(spark, unique.path, repeats=True)

@@ -17,13 +17,17 @@ def newest(points: DataFrame, version: str, *keep: str) -> DataFrame:
     return points.groupBy(*keep, "timestamp").agg(F.max_by("value", version).alias("value"))
 
 
+def joined(runs: list[DataFrame]) -> DataFrame:
+    """All rows of all runs, repeated timestamps too."""
+    union = runs[0]
+    for run in runs[1:]:
+        union = union.unionByName(run)
+    return union
+
+
 def merged(runs: list[DataFrame]) -> DataFrame:
     """Union of runs, oldest first, with the newest run's value for each timestamp."""
-    ranked = [run.select("timestamp", "value", F.lit(k).cast("long").alias("generation")) for k, run in enumerate(runs)]
-    union = ranked[0]
-    for run in ranked[1:]:
-        union = union.unionByName(run)
-    return newest(union, "generation")
+    return newest(joined([run.select("timestamp", "value", F.lit(k).cast("long").alias("generation")) for k, run in enumerate(runs)]), "generation")
 
 
 def between(points: DataFrame, start: int, end: int) -> DataFrame:

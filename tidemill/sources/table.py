@@ -5,6 +5,10 @@ points. ``flush`` turns them into one sorted generation. Opening a table always
 sees committed generations and journal batches alike, so nothing is lost when a
 writer stops. Runs that are no longer live stay for ``grace`` seconds, for readers that
 began before. Every scan gives one row per timestamp, the newest write, in order.
+
+A table that is made with ``repeats`` keeps every write as a point of its own, whatever
+its timestamp; of equal timestamps a scan gives the smaller value first. The list of runs
+says which kind a table is, so it stays that kind however it is opened.
 """
 
 import time
@@ -26,26 +30,38 @@ LAYOUT = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parqu
 
 
 class Table:
-    def __init__(self, spark: SparkSession, path: str, capacity: int = 4 << 20, compact_at: int = COMPACT_AT, grace: float = GRACE):
+    def __init__(self, spark: SparkSession, path: str, capacity: int = 4 << 20, compact_at: int = COMPACT_AT, grace: float = GRACE, repeats: bool = False):
         self.spark, self.path, self.capacity, self.compact_at, self.grace = spark, path.rstrip("/"), capacity, compact_at, grace
         self.store = Store(spark, self.path)
+        if repeats and not self.store.versions():
+            self.store.commit(Snapshot(repeats=True))
+        self.repeats = self.store.read().repeats
+        if repeats and not self.repeats:
+            raise ValueError(f"{self.path} keeps one point of a timestamp")
+        self.order = ("timestamp", "value") if self.repeats else ("timestamp",)
 
     @classmethod
     def from_folder(cls, spark: SparkSession, folder: str, path: str, **options) -> "Table":
         """A new table at ``path`` with the points of a folder of numbered block files and a log: the
         files' points are one run, those of the log are pending. Of several values of a timestamp the log's
-        last one counts, else that of the highest number."""
+        last one counts, else that of the highest number; with ``repeats`` all do."""
         table = cls(spark, path, **options)
         found = [name for name in table.store.names(folder) if name.endswith(".sst")]
         if found:
             stored = files.read_block_files(spark, f"{folder.rstrip('/')}/*.sst", numbered=True)
             snapshot = table.store.read()
-            run = table._store_run(lww.newest(stored, "generation"), snapshot)
+            run = table._store_run(table._newest(stored, "generation"), snapshot)
             table.store.commit(replace(snapshot, runs=(*snapshot.runs, (run, run)), next_id=run + 1))
         if table.store.exists(f"{folder.rstrip('/')}/{files.LOG}"):
             table.write_batch(files.read_logs(spark, f"{folder.rstrip('/')}/{files.LOG}"))
         return table
 
+    def _newest(self, points: DataFrame, version: str) -> DataFrame:
+        return points.select("timestamp", "value") if self.repeats else lww.newest(points, version)
+
+    def _merged(self, runs: list[DataFrame]) -> DataFrame:
+        return lww.joined(runs) if self.repeats else lww.merged(runs)
+
     # Reading
 
     def _run_path(self, run: int) -> str:
@@ -56,11 +72,11 @@ class Table:
         return sorted((n for n in self.store.names(f"{self.path}/journal") if n not in done and self.store.exists(f"{self.path}/journal/{n}/_SUCCESS")), key=int)
 
     def pending(self, snapshot: Snapshot | None = None) -> DataFrame:
-        """Points not yet flushed, newest per timestamp."""
+        """Points not yet flushed, newest per timestamp or all."""
         names = self._journal(snapshot or self.store.read())
         runs = [self.spark.read.schema(POINT_SEQ).parquet(f"{self.path}/journal/{n}") for n in names]
-        runs = [lww.newest(run, "seq") for run in runs]
-        return lww.merged(runs) if runs else self.spark.createDataFrame([], POINT)
+        runs = [self._newest(run, "seq") for run in runs]
+        return self._merged(runs) if runs else self.spark.createDataFrame([], POINT)
 
     def runs(self, snapshot: Snapshot | None = None) -> list[DataFrame]:
         """Live generations, oldest first."""
@@ -69,14 +85,14 @@ class Table:
 
     def _all(self) -> DataFrame:
         snapshot = self.store.read()
-        return lww.merged([*self.runs(snapshot), self.pending(snapshot)])
+        return self._merged([*self.runs(snapshot), self.pending(snapshot)])
 
     def scan_range(self, start: int, end: int) -> DataFrame:
         """Points with start <= timestamp <= end; none if start > end."""
-        return lww.between(self._all(), start, end).orderBy("timestamp")
+        return lww.between(self._all(), start, end).orderBy(*self.order)
 
     def scan_all(self) -> DataFrame:
-        return self._all().orderBy("timestamp")
+        return self._all().orderBy(*self.order)
 
     def pending_count(self) -> int:
         return self.pending().count()
@@ -96,10 +112,14 @@ class Table:
         if self._full(snapshot, batch):
             self.flush()
 
+    def _fill(self, points: DataFrame) -> int:
+        """Points that these writes are: distinct timestamps, or all of them."""
+        return points.count() if self.repeats else lww.distinct_count(points, self.capacity, POINT_BYTES).first()["len"]
+
     def _full(self, snapshot: Snapshot, batch: int) -> bool:
         """Whether the pending points use up the capacity.
 
-        A file ``fill/<batch>.<count>.<kind>`` keeps the distinct timestamps of a batch (``own``) or of all that
+        A file ``fill/<batch>.<count>.<kind>`` keeps the points of a batch (``own``) or of all that
         were pending with it (``all``). Their sum is an upper bound, so all pending points are
         counted only when it reaches the capacity."""
         marks = {}
@@ -108,15 +128,15 @@ class Table:
             marks[int(number), kind] = int(count)
         names = [int(n) for n in self._journal(snapshot)]
         own = self.spark.read.schema(POINT_SEQ).parquet(f"{self.path}/journal/{batch}")
-        marks[batch, "own"] = lww.distinct_count(own, self.capacity, POINT_BYTES).first()["len"]
+        marks[batch, "own"] = self._fill(own)
         self.store.touch(f"{self.path}/fill/{batch}.{marks[batch, 'own']}.own")
         whole = max((n for n, kind in marks if kind == "all" and n >= names[0]), default=None)
         bound = (marks[whole, "all"] if whole else 0) + sum(marks.get((n, "own"), self.capacity) for n in names if not whole or n > whole)
         if bound * POINT_BYTES < self.capacity:
             return False
-        found = lww.distinct_count(self.pending(snapshot), self.capacity, POINT_BYTES).first()
-        self.store.touch(f"{self.path}/fill/{batch}.{found['len']}.all")
-        return found["is_full"]
+        found = self._fill(self.pending(snapshot))
+        self.store.touch(f"{self.path}/fill/{batch}.{found}.all")
+        return found * POINT_BYTES >= self.capacity
 
     def write(self, timestamp: int, value: float) -> None:
         self.write_batch(self.spark.createDataFrame([(timestamp, value, 0)], POINT_SEQ))
@@ -124,7 +144,7 @@ class Table:
     def _store_run(self, points: DataFrame, snapshot: Snapshot) -> int:
         """Writes a sorted run under an id that no live run has."""
         run = snapshot.next_id
-        points.repartitionByRange("timestamp").sortWithinPartitions("timestamp").write.mode("overwrite").options(**LAYOUT).parquet(self._run_path(run))
+        points.repartitionByRange(*self.order).sortWithinPartitions(*self.order).write.mode("overwrite").options(**LAYOUT).parquet(self._run_path(run))
         return run
 
     def flush(self) -> None:
@@ -151,7 +171,7 @@ class Table:
         done = dict(snapshot.batches)
         if batch <= done.get(query, -1):
             return False
-        run = self._store_run(lww.newest(points, "seq"), snapshot)
+        run = self._store_run(self._newest(points, "seq"), snapshot)
         self.store.commit(replace(snapshot, runs=(*snapshot.runs, (run, run)), next_id=run + 1, batches=tuple((done | {query: batch}).items())))
         self.settle()
         return True
@@ -165,7 +185,7 @@ class Table:
         snapshot = self.store.read()
         if len(snapshot.runs) < 2:
             return
-        run = self._store_run(lww.merged(self.runs(snapshot)), snapshot)
+        run = self._store_run(self._merged(self.runs(snapshot)), snapshot)
         rank = max(generation for _, generation in snapshot.runs)
         self.store.commit(replace(snapshot, runs=((run, rank),), next_id=run + 1))
         self.clean()
